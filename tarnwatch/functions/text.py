@@ -9,8 +9,17 @@ from pyspark.sql import functions as F
 
 
 def fixed(value: Column, digits: int) -> Column:
-    """Fixed-point text with half-even ties."""
-    return F.format_string(f"%.{digits}f", F.bround(value.cast("double"), digits))
+    """Fixed-point text, rounded by the exact binary value with ties to even.
+
+    Spark rounds by the shortest decimal text of a double, so it takes 1.005 for a tie although the
+    double lies below it. The side of the closest half step a value lies on is found exactly (the
+    product is taken in two halves that fit a double) and the value moved a little that way.
+    """
+    x = value.cast("double")
+    scale = 10.0 ** (digits + 1)
+    upper = x * 134217729.0 - (x * 134217729.0 - x)
+    side = F.signum((upper * scale - F.rint(x * scale)) + (x - upper) * scale)
+    return F.format_string(f"%.{digits}f", F.bround(x + side * F.abs(x) * 1e-12, digits))
 
 
 # Words that mark a place name as a water body (matched anywhere in the name).

@@ -15,6 +15,10 @@ from tarnwatch.session import staging_dir
 from tarnwatch.sources import geojson, gridded
 
 
+# Means and differences of chl_a are exact in both engines and compared as they are.
+INEXACT = ["chl_a_rolling_std", "chl_a_zscore"]
+
+
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
@@ -92,46 +96,44 @@ def bbox_window_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT region_id, cell_id, date, ROUND(chl_a_rolling_mean, 6) AS chl_a_rolling_mean, ROUND(chl_a_rolling_std, 6) AS chl_a_rolling_std,
-  ROUND(chl_a_zscore, 6) AS chl_a_zscore, ROUND(chl_a_delta_1w, 6) AS chl_a_delta_1w, ROUND(chl_a_delta_2w, 6) AS chl_a_delta_2w
+SELECT region_id, cell_id, date, chl_a_rolling_mean, ROUND(chl_a_rolling_std, 6) AS chl_a_rolling_std,
+  ROUND(chl_a_zscore, 6) AS chl_a_zscore, chl_a_delta_1w, chl_a_delta_2w
 FROM rolled""", ("rolled",))
 def rolling_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rolled = feats.rolling_features(views.observations(spark, sf_dir))
-    return rounded(rolled.select(*KEYS, *feats.ROLLING), *feats.ROLLING)
+    return rounded(rolled.select(*KEYS, *feats.ROLLING), *INEXACT)
 
 
 @query("""
-SELECT region_id, cell_id, date, ROUND(chl_a_rolling_mean, 6) AS chl_a_rolling_mean, ROUND(chl_a_rolling_std, 6) AS chl_a_rolling_std,
-  ROUND(chl_a_zscore, 6) AS chl_a_zscore, ROUND(chl_a_delta_1w, 6) AS chl_a_delta_1w, ROUND(chl_a_delta_2w, 6) AS chl_a_delta_2w
+SELECT region_id, cell_id, date, chl_a_rolling_mean, ROUND(chl_a_rolling_std, 6) AS chl_a_rolling_std,
+  ROUND(chl_a_zscore, 6) AS chl_a_zscore, chl_a_delta_1w, chl_a_delta_2w
 FROM rolled""", ("rolled",))
 def rolling_features_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same features with every cell cut into years, as for cells without a bound."""
     rolled = feats.rolling_features(views.observations(spark, sf_dir), slice_by=F.year("date"))
-    return rounded(rolled.select(*KEYS, *feats.ROLLING), *feats.ROLLING)
+    return rounded(rolled.select(*KEYS, *feats.ROLLING), *INEXACT)
 
 
-@query("SELECT region_id, cell_id, date, ROUND(chl_a_seasonal_residual, 6) AS chl_a_seasonal_residual FROM rolled", ("rolled",))
+@query("SELECT region_id, cell_id, date, chl_a_seasonal_residual FROM rolled", ("rolled",))
 def seasonal_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = feats.seasonal_residual(views.observations(spark, sf_dir))
-    return rounded(rows.select(*KEYS, "chl_a_seasonal_residual"), "chl_a_seasonal_residual")
+    return rows.select(*KEYS, "chl_a_seasonal_residual")
 
 
-@query("SELECT region_id, cell_id, CAST(EXTRACT(WEEK FROM date) AS INTEGER) AS iso_week, ROUND(AVG(chl_a), 6) AS seasonal_mean, COUNT(*) AS n FROM observations GROUP BY ALL",
+@query("SELECT region_id, cell_id, CAST(EXTRACT(WEEK FROM date) AS INTEGER) AS iso_week, SUM(chl_a) / COUNT(chl_a) AS seasonal_mean, COUNT(*) AS n FROM observations GROUP BY ALL",
        ("observations",))
 def seasonal_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(feats.seasonal_means(views.observations(spark, sf_dir)), "seasonal_mean")
+    return feats.seasonal_means(views.observations(spark, sf_dir))
 
 
 FEATURE_COLUMNS = [*feats.ROLLING, "chl_a_seasonal_residual"]
-FEATURE_SQL = ", ".join(f"ROUND({c}, 6) AS {c}" for c in FEATURE_COLUMNS)
+FEATURE_SQL = ", ".join(f"ROUND({c}, 6) AS {c}" if c in INEXACT else c for c in FEATURE_COLUMNS)
 
 
 @query(f"SELECT region_id, cell_id, date, {FEATURE_SQL}, recent_heavy_rain, high_wind FROM features", ("features",))
 def ffill_features_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.features(spark, sf_dir)
-    return rounded(
-        rows.select(*KEYS, *FEATURE_COLUMNS, "recent_heavy_rain", "high_wind"), *FEATURE_COLUMNS
-    )
+    return rounded(rows.select(*KEYS, *FEATURE_COLUMNS, "recent_heavy_rain", "high_wind"), *INEXACT)
 
 
 _FILLED = ", ".join(
@@ -149,7 +151,7 @@ WHERE chl_a_rolling_std IS NOT NULL AND chl_a_delta_2w IS NOT NULL AND chl_a_zsc
 def ffill_features_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.with_arrival(views.observations(spark, sf_dir))
     filled = feats.compute_features(rows, scope="region")
-    return rounded(filled.select(*KEYS, *FEATURE_COLUMNS), *FEATURE_COLUMNS)
+    return rounded(filled.select(*KEYS, *FEATURE_COLUMNS), *INEXACT)
 
 
 @query("""
@@ -199,7 +201,7 @@ def spatial_votes_same_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DETECTION_SQL = """
-SELECT region_id, cell_id, date, severity, ROUND(confidence, 6) AS confidence, chl_a_value, ROUND(chl_a_baseline, 6) AS chl_a_baseline,
+SELECT region_id, cell_id, date, severity, ROUND(confidence, 6) AS confidence, chl_a_value, chl_a_baseline,
   ROUND(z_score, 6) AS z_score, weather_context, event_id FROM {view}"""
 DETECTION_COLUMNS = [
     *KEYS, "severity", "confidence", "chl_a_value", "chl_a_baseline", "z_score", "weather_context", "event_id",
@@ -209,13 +211,13 @@ DETECTION_COLUMNS = [
 @query(DETECTION_SQL.format(view="detections"), ("detections",))
 def ensemble_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.detections(spark, sf_dir).select(*DETECTION_COLUMNS)
-    return rounded(rows, "confidence", "chl_a_baseline", "z_score")
+    return rounded(rows, "confidence", "z_score")
 
 
 @query(DETECTION_SQL.format(view="detections_exact"), ("detections_exact",))
 def ensemble_vote_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.detections(spark, sf_dir, exact=True).select(*DETECTION_COLUMNS)
-    return rounded(rows, "confidence", "chl_a_baseline", "z_score")
+    return rounded(rows, "confidence", "z_score")
 
 
 @query()
@@ -266,11 +268,11 @@ def severity_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT region_id, COUNT(*) AS n_rows, MIN(chl_a) AS min_chl_a, ROUND(AVG(chl_a), 6) AS mean_chl_a, MAX(chl_a) AS max_chl_a,
+SELECT region_id, COUNT(*) AS n_rows, MIN(chl_a) AS min_chl_a, SUM(chl_a) / COUNT(chl_a) AS mean_chl_a, MAX(chl_a) AS max_chl_a,
   MIN(date) AS first_date, MAX(date) AS last_date, COUNT(DISTINCT date) AS n_dates, COUNT(DISTINCT cell_id) AS n_cells
 FROM observations GROUP BY region_id""", ("observations",))
 def pipeline_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(serve.observation_profile(views.observations(spark, sf_dir)), "mean_chl_a")
+    return serve.observation_profile(views.observations(spark, sf_dir))
 
 
 @query("""

@@ -30,11 +30,11 @@ def rolling(source: str, keys: str) -> str:
 SELECT *, (chl_a - chl_a_rolling_mean) / CASE WHEN chl_a_rolling_std IS NOT NULL THEN GREATEST(chl_a_rolling_std, 1e0) END AS chl_a_zscore
 FROM (
   SELECT *,
-    AVG(chl_a) OVER ({trailing}) AS chl_a_rolling_mean,
+    SUM(chl_a) OVER ({trailing}) / NULLIF(COUNT(chl_a) OVER ({trailing}), 0) AS chl_a_rolling_mean,
     STDDEV_SAMP(chl_a) OVER ({trailing}) AS chl_a_rolling_std,
     chl_a - LAG(chl_a, 1) OVER ({along}) AS chl_a_delta_1w,
     chl_a - LAG(chl_a, 2) OVER ({along}) AS chl_a_delta_2w,
-    chl_a - AVG(chl_a) OVER (PARTITION BY {keys}, EXTRACT(WEEK FROM date)) AS chl_a_seasonal_residual,
+    chl_a - SUM(chl_a) OVER (PARTITION BY {keys}, EXTRACT(WEEK FROM date)) / COUNT(chl_a) OVER (PARTITION BY {keys}, EXTRACT(WEEK FROM date)) AS chl_a_seasonal_residual,
     CASE WHEN precipitation_7d > 50 THEN 1 ELSE 0 END AS recent_heavy_rain,
     CASE WHEN wind_speed > 8 THEN 1 ELSE 0 END AS high_wind
   FROM {source}) t"""

@@ -40,5 +40,4 @@ def differences(actual: pa.Table, expected: pa.Table) -> list[str]:
 
 
 def expected(connection: duckdb.DuckDBPyConnection, sql: str) -> pa.Table:
-    result = connection.execute(sql).arrow()
-    return result.read_all() if hasattr(result, "read_all") else result
+    return connection.sql(sql).to_arrow_table()
