@@ -83,11 +83,10 @@ def search_groups(element_type: Column, tags: Column) -> Column:
     return F.array_compact(numbered)
 
 
-def dedup_key(name: Column, kind: Column, lat: Column, lon: Column) -> Column:
-    """Identity of a facility for duplicate removal: name, type and position to 3 decimals."""
-    return F.struct(
-        name.alias("name"),
-        kind.alias("type"),
-        F.round(lat * 1000).cast("long").alias("lat3"),
-        F.round(lon * 1000).cast("long").alias("lon3"),
-    )
+def identity(name: Column, kind: Column, lat: Column, lon: Column) -> Column:
+    """Identity of a facility for duplicate removal: name, type and position to 3 decimals.
+
+    Kept as two independent 64-bit hashes, so that ranking candidates need not carry the texts.
+    """
+    parts = name, kind, F.round(lat * 1000).cast("long"), F.round(lon * 1000).cast("long")
+    return F.struct(F.xxhash64(F.lit(1), *parts).alias("h1"), F.xxhash64(F.lit(2), *parts).alias("h2"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwatch.functions.text import fixed
@@ -76,33 +76,34 @@ def region_struct(lat: Column, lon: Column, name: Column, country: Column, delta
     )
 
 
+def _number(value: Column | float) -> Column:
+    return value if isinstance(value, Column) else F.lit(float(value))
+
+
 class SphereGrid:
     """Equal-size bins on the sphere: latitude bands, each cut into its own number of columns.
 
     A bin is at most ``size_km`` tall and wide everywhere, so two points of one bin are never
     further apart than ``size_km * sqrt(2)``. Longitudes wrap and columns widen towards the poles,
     which makes :meth:`cover` exact at the antimeridian and at the poles. Bins are packed into one
-    long, so a range join is an ordinary equi-join on an integer.
+    long, so a range join is an ordinary equi-join on an integer. The size may be a column, which
+    lets rows use grids of different sizes in one pass.
     """
 
-    def __init__(self, size_km: float):
-        self.size_km = size_km
-        self.step = size_km / KM_PER_DEGREE
+    def __init__(self, size_km: Column | float):
+        self.step = _number(size_km) / KM_PER_DEGREE
 
     def _band(self, lat: Column) -> Column:
         return F.floor(lat / self.step)
 
     def _columns(self, band: Column) -> Column:
-        low_edge = F.greatest(
-            F.lit(0.0), F.when(band >= 0, band * self.step).otherwise(-(band + 1) * self.step)
-        )
-        return F.greatest(
-            F.lit(1), F.ceil(F.cos(F.radians(F.least(low_edge, F.lit(90.0)))) * (360.0 / self.step))
-        ).cast("long")
+        # The edge nearest to the equator is the longest.
+        edge = F.greatest(band, -(band + 1)) * self.step
+        return F.greatest(F.lit(1), F.ceil(F.cos(F.radians(F.least(edge, F.lit(90.0)))) * 360.0 / self.step))
 
     @staticmethod
     def _pack(band: Column, column: Column) -> Column:
-        return band.cast("long") * 4_294_967_296 + column.cast("long")
+        return band * 4_294_967_296 + column
 
     def bin(self, lat: Column, lon: Column) -> Column:
         band = self._band(lat)
@@ -110,30 +111,33 @@ class SphereGrid:
         column = F.floor(F.pmod(lon + 180.0, F.lit(360.0)) / 360.0 * columns)
         return self._pack(band, F.least(column, columns - 1))
 
-    def cover(self, lat: Column, lon: Column, radius_km: float | Column) -> Column:
-        """Array of all bins that can hold a point within ``radius_km``."""
-        radius = radius_km if isinstance(radius_km, Column) else F.lit(float(radius_km))
+    def cover(self, df: DataFrame, lat: str, lon: str, radius_km: Column | float, name: str = "_bin") -> DataFrame:
+        """Copies of each row, one per bin that can hold a point within ``radius_km`` of it."""
         slack = 1e-9
+        radius = _number(radius_km)
         dlat = radius / KM_PER_DEGREE + slack
         reach = F.sin(radius / EARTH_RADIUS_KM) / F.cos(F.radians(lat))
         polar = (F.abs(lat) + dlat >= 90.0) | (reach >= 1.0)
-        dlon = F.when(polar, F.lit(180.0)).otherwise(
-            F.degrees(F.asin(F.least(reach, F.lit(1.0)))) + slack
+        dlon = F.when(polar, 180.0).otherwise(F.degrees(F.asin(F.least(reach, F.lit(1.0)))) + slack)
+        south, north = (F.least(F.greatest(F.col(lat) + d, F.lit(-90.0)), F.lit(90.0)) for d in (-dlat, dlat))
+        bands = df.withColumn("_dlon", dlon).withColumn(
+            "_band", F.explode(F.sequence(self._band(south), self._band(north)))
         )
-        bands = F.sequence(
-            self._band(F.greatest(lat - dlat, F.lit(-90.0))),
-            self._band(F.least(lat + dlat, F.lit(90.0))),
+        columns, west = F.col("_columns"), F.col(lon) + 180.0
+        spans = bands.withColumn("_columns", self._columns(F.col("_band"))).withColumns(
+            {
+                "_first": F.floor((west - F.col("_dlon")) / 360.0 * columns),
+                "_last": F.floor((west + F.col("_dlon")) / 360.0 * columns),
+            }
+        )
+        whole = F.col("_last") - F.col("_first") + 1 >= columns
+        span = F.sequence(
+            F.when(whole, F.lit(0).cast("long")).otherwise(F.col("_first")),
+            F.when(whole, columns - 1).otherwise(F.col("_last")),
+        )
+        column = F.pmod(F.col("_column"), columns)
+        return (
+            spans.withColumn("_column", F.explode(span))
+            .withColumn(name, self._pack(F.col("_band"), column))
+            .drop("_dlon", "_band", "_columns", "_first", "_last", "_column")
         )
-
-        def row(band: Column) -> Column:
-            columns = self._columns(band)
-            first = F.floor((lon + 180.0 - dlon) / 360.0 * columns)
-            last = F.floor((lon + 180.0 + dlon) / 360.0 * columns)
-            whole = last - first + 1 >= columns
-            span = F.sequence(
-                F.when(whole, F.lit(0).cast("long")).otherwise(first),
-                F.when(whole, columns - 1).otherwise(last),
-            )
-            return F.transform(span, lambda c: self._pack(band, F.pmod(c, columns)))
-
-        return F.array_distinct(F.flatten(F.transform(bands, row)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwatch.functions import facility
@@ -16,6 +16,7 @@ RINGS_KM = (0.4, 1.6, 6.4)
 # compared after rounding to 100 m: a ring with enough facilities decides once widened by this.
 RING_SLACK_KM = 0.5
 BINS_PER_RING = 5.0
+SITE = ["site_lat", "site_lon"]
 
 
 def classify(elements: DataFrame) -> DataFrame:
@@ -45,52 +46,57 @@ def classify(elements: DataFrame) -> DataFrame:
 
 
 def _useful(facilities: DataFrame) -> DataFrame:
-    """One row per (facility, group), without copies that no event can ever list.
+    """Positions of the facilities: one row per facility and group, without hopeless copies.
 
-    Copies at one position are equally far from every event and are taken in order of arrival, so
-    in the uncapped groups only the first of each name and type can be listed, and in the capped
-    groups only the first rows up to the cap. This bounds positions that hold many copies.
+    Only what the search and the ranking need is kept; ``same`` stands for the identity used in
+    duplicate removal. Copies at one position are equally far from every event and are taken in
+    order of arrival, so in the uncapped groups only the first of each identity can be listed, and
+    in the capped groups only the first rows up to the cap. This bounds positions with many copies.
     """
-    rows = facilities.select("*", F.explode("groups").alias("group")).drop("groups")
+    same = facility.identity(F.col("name"), F.col("type"), F.col("lat"), F.col("lon"))
+    rows = facilities.select("element_id", "lat", "lon", same.alias("same"), F.explode("groups").alias("group"))
+    # Uncapped groups count distinct facilities, capped ones count elements of any identity.
     capped = F.col("group").isin(list(facility.GROUP_CAPS))
-    # Uncapped groups count distinct facilities, capped ones count elements of any name.
-    name, kind = (F.when(~capped, F.col(c)).alias(f"_{c}") for c in ("name", "type"))
-    most = F.lit(1)
-    for group, cap in facility.GROUP_CAPS.items():
-        most = F.when(F.col("group") == group, cap).otherwise(most)
+    counted = F.when(~capped, F.col("same")).alias("_counted")
+    most = _group_cap(F.lit(1))
     return (
-        rows.select("*", name, kind)
-        .withColumn("_copy", rank_within(["lat", "lon", "group", "_name", "_type"], "element_id"))
+        rows.select("*", counted)
+        .withColumn("_copy", rank_within(["lat", "lon", "group", "_counted"], "element_id"))
         .where(F.col("_copy") <= most)
-        .drop("_copy", "_name", "_type")
+        .drop("_copy", "_counted")
     )
 
 
-def _ring_copies(df: DataFrame, rings: list[float]) -> DataFrame:
-    """Each row once per ring, with its bin in the grid of that ring."""
-    lat, lon = F.col("lat"), F.col("lon")
-    bins = F.array(
-        *[F.struct(F.lit(i).alias("_ring"), SphereGrid(r / BINS_PER_RING).bin(lat, lon).alias("_bin"))
-          for i, r in enumerate(rings)]
-    )
-    return df.select("*", F.explode(bins).alias("_at")).select("*", "_at.*").drop("_at")
+def _group_cap(otherwise: Column) -> Column:
+    cap = otherwise
+    for group, most in facility.GROUP_CAPS.items():
+        cap = F.when(F.col("group") == group, most).otherwise(cap)
+    return cap
 
 
-def _ring_covers(sites: DataFrame, rings: list[float], reach: list[float]) -> DataFrame:
-    """Each site once per ring and bin within the ring's reach."""
-    covers = F.array(
-        *[F.struct(F.lit(i).alias("_ring"),
-                   SphereGrid(r / BINS_PER_RING).cover(F.col("site_lat"), F.col("site_lon"), far).alias("_bins"))
-          for i, (r, far) in enumerate(zip(rings, reach))]
-    )
-    return (
-        sites.select("*", F.explode(covers).alias("_at"))
-        .select("*", "_at._ring", F.explode("_at._bins").alias("_bin"))
-        .drop("_at")
+def _rings(radius_km: float, rings: tuple[float, ...]) -> list[tuple[int, float, float]]:
+    """Number, width and reach of the rings, the innermost first.
+
+    The last two are the search radius and twice that, for sites without anything inside it.
+    """
+    inner = [(r, r + RING_SLACK_KM) for r in rings if r + RING_SLACK_KM < radius_km]
+    outer = [(radius_km, radius_km), (2 * radius_km, 2 * radius_km)]
+    return [(i, float(width), float(reach)) for i, (width, reach) in enumerate(inner + outer)]
+
+
+def _per_ring(df: DataFrame, rings: list[tuple[int, float, float]]) -> DataFrame:
+    """Each row once per ring, with the ring's number, width and reach."""
+    numbered = F.array(
+        *[F.struct(F.lit(i).alias("ring"), F.lit(w).alias("width"), F.lit(r).alias("reach")) for i, w, r in rings]
     )
+    return df.select("*", F.explode(numbered).alias("_ring")).select("*", "_ring.*").drop("_ring")
 
 
-def _inner_ring(sites: DataFrame, useful: DataFrame, rings: list[float]) -> DataFrame:
+def _grid() -> SphereGrid:
+    return SphereGrid(F.col("width") / BINS_PER_RING)
+
+
+def _inner_rings(sites: DataFrame, useful: DataFrame, rings: list[tuple[int, float, float]]) -> DataFrame:
     """The innermost ring that surely holds enough distinct facilities, per site.
 
     Works on counts per bin only. A bin counts if it lies inside the ring as a whole, judged from
@@ -98,29 +104,27 @@ def _inner_ring(sites: DataFrame, useful: DataFrame, rings: list[float]) -> Data
     """
     distinct = (
         useful.where(~F.col("group").isin(list(facility.GROUP_CAPS)))
-        .groupBy(facility.dedup_key(F.col("name"), F.col("type"), F.col("lat"), F.col("lon")).alias("_key"))
+        .groupBy("same")
         .agg(F.min(F.struct("lat", "lon")).alias("_at"))
-        .select("_at.*")
     )
     counts = (
-        _ring_copies(distinct, rings)
-        .groupBy("_ring", "_bin")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("lat", "lon")).alias("_member"))
+        _per_ring(distinct, rings)
+        .groupBy("ring", _grid().bin(F.col("_at.lat"), F.col("_at.lon")).alias("_bin"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_member"))
     )
-    widths = F.array(*[F.lit(r) for r in rings])
-    radius = F.element_at(widths, F.col("_ring") + 1)
     to_member = haversine_km(
         F.col("site_lat"), F.col("site_lon"), F.col("_member.lat"), F.col("_member.lon")
     )
+    diameter = F.col("width") * (2**0.5 / BINS_PER_RING)
     return (
-        _ring_covers(sites, rings, rings)
-        .join(counts, ["_ring", "_bin"])
-        .where(to_member + radius * (2**0.5 / BINS_PER_RING) <= radius)
-        .groupBy("site_lat", "site_lon", "_ring")
+        _grid().cover(_per_ring(sites, rings), *SITE, F.col("width"))
+        .join(counts, ["ring", "_bin"])
+        .where(to_member + diameter <= F.col("width"))
+        .groupBy(*SITE, "ring")
         .agg(F.sum("_n").alias("_n"))
         .where(F.col("_n") >= LIMIT)
-        .groupBy("site_lat", "site_lon")
-        .agg(F.min("_ring").alias("_chosen"))
+        .groupBy(*SITE)
+        .agg(F.min("ring").alias("_chosen"))
     )
 
 
@@ -130,26 +134,21 @@ def _search(sites: DataFrame, useful: DataFrame, radius_km: float, rings: tuple[
     Sites with plenty of facilities search the smallest ring that decides. The others look within
     twice the radius and drop what lies beyond it if there is anything inside.
     """
-    inner = [r for r in rings if r + RING_SLACK_KM < radius_km]
-    ladder = [*inner, radius_km, 2 * radius_km]
-    reach = [*(r + RING_SLACK_KM for r in inner), radius_km, 2 * radius_km]
-    chosen = sites.join(_inner_ring(sites, useful, ladder[:-1]), ["site_lat", "site_lon"], "left")
+    ladder = _rings(radius_km, rings)
+    binned = _per_ring(useful, ladder).withColumn("_bin", _grid().bin(F.col("lat"), F.col("lon")))
+    chosen = sites.join(_inner_rings(sites, useful, ladder[:-1]), SITE, "left")
     outermost = F.lit(len(ladder) - 1)
-    covers = (
-        _ring_covers(chosen, ladder, reach)
-        .where(F.col("_ring") == F.coalesce("_chosen", outermost))
-        .drop("_chosen")
-    )
-    limits = F.array(*[F.lit(r) for r in reach])
+    searching = _per_ring(chosen, ladder).where(F.col("ring") == F.coalesce("_chosen", outermost))
+    probes = _grid().cover(searching.drop("_chosen"), *SITE, F.col("reach")).drop("width")
     distance = haversine_km(F.col("site_lat"), F.col("site_lon"), F.col("lat"), F.col("lon"))
-    nearest = F.min("_distance").over(Window.partitionBy("site_lat", "site_lon"))
+    nearest = F.min("_distance").over(Window.partitionBy(*SITE))
     return (
-        covers.join(_ring_copies(useful, ladder), ["_ring", "_bin"])
+        probes.join(binned.drop("width", "reach"), ["ring", "_bin"])
         .withColumn("_distance", distance)
-        .where(F.col("_distance") <= F.element_at(limits, F.col("_ring") + 1))
+        .where(F.col("_distance") <= F.col("reach"))
         .withColumn("_nearest", nearest)
         .where((F.col("_distance") <= radius_km) | (F.col("_nearest") > radius_km))
-        .drop("_ring", "_bin", "_nearest")
+        .select(*SITE, "element_id", "group", "same", "_distance")
     )
 
 
@@ -160,37 +159,27 @@ def nearest_facilities(
 
     Events without any facility within ``radius_km`` look within twice the radius. ``events`` has
     ``event_id, lat, lon``. Events repeat at the same grid points, so the search runs once per
-    distinct location; only the final lists are joined back to the events.
+    distinct location and on bare positions; names and tags are joined to the final lists.
     """
-    useful = _useful(classify(elements))
-    located = events.select(
-        "event_id", F.col("lat").alias("site_lat"), F.col("lon").alias("site_lon")
-    )
-    sites = located.select("site_lat", "site_lon").distinct()
-    found = _search(sites, useful, radius_km, rings)
-
-    site = ["site_lat", "site_lon"]
-    cap = F.lit(None).cast("int")
-    for group, most in facility.GROUP_CAPS.items():
-        cap = F.when(F.col("group") == group, most).otherwise(cap)
-    in_group = rank_within([*site, "group"], "_distance", "element_id")
-    kept = found.withColumn("_in_group", in_group).where(cap.isNull() | (F.col("_in_group") <= cap))
-    same = facility.dedup_key(F.col("name"), F.col("type"), F.col("lat"), F.col("lon"))
-    unique = (
-        kept.withColumn("_same", same)
-        .withColumn("_copy", rank_within([*site, "_same"], "group", "element_id"))
+    classified = classify(elements)
+    located = events.select("event_id", F.col("lat").alias("site_lat"), F.col("lon").alias("site_lon"))
+    sites = located.select(*SITE).distinct()
+    found = _search(sites, _useful(classified), radius_km, rings)
+
+    cap = _group_cap(F.lit(None).cast("int"))
+    ranked = (
+        found.withColumn("_in_group", rank_within([*SITE, "group"], "_distance", "element_id"))
+        .where(cap.isNull() | (F.col("_in_group") <= cap))
+        .withColumn("_copy", rank_within([*SITE, "same"], "group", "element_id"))
         .where(F.col("_copy") == 1)
-    )
-    shown = unique.withColumns(
-        {
-            "distance_km": F.bround("_distance", 1),
-            "direction": bearing_label(F.col("site_lat"), F.col("site_lon"), F.col("lat"), F.col("lon")),
-        }
-    )
-    ranked = shown.withColumn(
-        "rank", rank_within(site, "distance_km", "group", "element_id")
-    ).where(F.col("rank") <= LIMIT)
-    return located.join(ranked, site).select(
+        .withColumn("distance_km", F.bround("_distance", 1))
+        .withColumn("rank", rank_within(SITE, "distance_km", "group", "element_id"))
+        .where(F.col("rank") <= LIMIT)
+        .select(*SITE, "element_id", "distance_km", "rank")
+    )
+    direction = bearing_label(F.col("site_lat"), F.col("site_lon"), F.col("lat"), F.col("lon"))
+    listed = ranked.join(classified.drop("groups"), "element_id").withColumn("direction", direction)
+    return located.join(listed, SITE).select(
         "event_id", "rank", "element_id", "name", "type", "source_category",
         F.bround("lat", 5).alias("lat"), F.bround("lon", 5).alias("lon"),
         "distance_km", "direction", "tags",

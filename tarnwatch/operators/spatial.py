@@ -50,13 +50,10 @@ def spatial_votes(
     )
     settled = counted.where((F.col("_probes") > 0) & (F.col("_in_bin") >= needed)).select(*site)
 
-    open_sites = (
-        counted.where((F.col("_probes") > 0) & (F.col("_in_bin") < needed))
-        .select(
-            *site, F.col("_lat").alias("_plat"), F.col("_lon").alias("_plon"),
-            F.explode(grid.cover(F.col("_lat"), F.col("_lon"), radius_km)).alias("_bin"),
-        )
+    unsettled = counted.where((F.col("_probes") > 0) & (F.col("_in_bin") < needed)).select(
+        *site, F.col("_lat").alias("_plat"), F.col("_lon").alias("_plon")
     )
+    open_sites = grid.cover(unsettled, "_plat", "_plon", radius_km)
     around = sites.select(*scope, "_bin", "_lat", "_lon", "_hot")
     found = (
         open_sites.join(around, [*scope, "_bin"])
