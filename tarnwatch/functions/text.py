@@ -16,10 +16,13 @@ def fixed(value: Column, digits: int) -> Column:
     product is taken in two halves that fit a double) and the value moved a little that way.
     """
     x = value.cast("double")
+    size = F.abs(x)
     scale = 10.0 ** (digits + 1)
-    upper = x * 134217729.0 - (x * 134217729.0 - x)
-    side = F.signum((upper * scale - F.rint(x * scale)) + (x - upper) * scale)
-    return F.format_string(f"%.{digits}f", F.bround(x + side * F.abs(x) * 1e-12, digits))
+    upper = size * 134217729.0 - (size * 134217729.0 - size)
+    side = F.signum((upper * scale - F.rint(size * scale)) + (size - upper) * scale)
+    rounded = F.bround(size * (1.0 + side * 1e-12), digits)
+    # Negation keeps the sign of values that round to zero.
+    return F.format_string(f"%.{digits}f", F.when(x < 0, -rounded).otherwise(rounded))
 
 
 # Words that mark a place name as a water body (matched anywhere in the name).
