@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -45,21 +46,31 @@ def fixed_chunks(documents: DataFrame, size: int = CHUNK_SIZE, overlap: int = CH
     )
 
 
-def _pieces(text: str, separators: tuple[str, ...], size: int) -> list[str]:
-    """Cut ``text`` at the coarsest separators that give pieces of at most ``size`` characters.
+def _cut(text: str, mark: str) -> list[str]:
+    """Cut before every occurrence of ``mark``, so a part keeps the separator it begins with."""
+    if not mark:
+        return list(text)
+    head, *rest = text.split(mark)
+    return [part for part in [head, *(mark + r for r in rest)] if part]
+
 
-    A piece keeps the separator that precedes it.
+def _pack(parts: Iterable[str], size: int, overlap: int) -> list[str]:
+    """Join parts greedily; a new chunk begins with the last parts of the one before it.
+
+    As many are repeated as fit into ``overlap`` characters and leave room for the next part.
     """
-    if len(text) <= size:
-        return [text]
-    finest = len(separators) - 1
-    level = next((i for i, s in enumerate(separators) if s and s in text), finest)
-    mark = separators[level]
-    if not mark:
-        return [text[i : i + size] for i in range(0, len(text), size)]
-    parts = [p for p in re.split(f"(?={re.escape(mark)})", text) if p]
-    finer = separators[level + 1 :]
-    return [piece for part in parts for piece in _pieces(part, finer or ("",), size)]
+    chunks: list[str] = []
+    held: deque[str] = deque()
+    length = 0
+    for part in parts:
+        if held and length + len(part) > size:
+            chunks.append("".join(held).strip())
+            while held and (length > overlap or length + len(part) > size):
+                length -= len(held.popleft())
+        held.append(part)
+        length += len(part)
+    chunks.append("".join(held).strip())
+    return [chunk for chunk in chunks if chunk]
 
 
 def split_recursive(
@@ -67,27 +78,17 @@ def split_recursive(
 ) -> list[str]:
     """Chunks of at most ``size`` characters cut at natural breaks.
 
-    Pieces are packed greedily; a new chunk starts with the last pieces of the one before it, as
-    many as fit into ``overlap`` characters and leave room for the next piece.
+    The text is cut at the coarsest separator it contains. Runs of small parts are packed into
+    chunks; a part that is still too long is split on its own, at finer separators.
     """
+    level = next(i for i, mark in enumerate(separators) if mark in text)
     chunks: list[str] = []
-    held: list[str] = []
-    length = 0
-
-    def emit() -> None:
-        chunk = "".join(held).strip()
-        if chunk:
-            chunks.append(chunk)
-
-    for piece in _pieces(text, separators, size):
-        if held and length + len(piece) > size:
-            emit()
-            while held and (length > overlap or length + len(piece) > size):
-                length -= len(held.pop(0))
-        held.append(piece)
-        length += len(piece)
-    if held:
-        emit()
+    for small, run in groupby(_cut(text, separators[level]), key=lambda part: len(part) < size):
+        if small:
+            chunks += _pack(run, size, overlap)
+        else:
+            for part in run:
+                chunks += split_recursive(part, size, overlap, separators[level + 1 :])
     return chunks
 
 

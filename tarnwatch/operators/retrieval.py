@@ -58,7 +58,7 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
 def vector_topk(
@@ -87,7 +87,7 @@ def vector_topk(
         share = F.pmod(F.xxhash64(*query_id), F.lit(passes))
         tables = (prepared.where(share == i).toArrow() for i in range(passes))
     id_fields = [f for f in prepared.schema.fields if f.name in query_id]
-    best = [_scored_pass(part, id_fields, corpus, k, per) for part in tables]
+    best = [_scored_pass(part, id_fields, corpus, k, per) for part in tables if part.num_rows or part is table]
     merged = best[0]
     for more in best[1:]:
         merged = merged.unionByName(more)
@@ -103,7 +103,9 @@ def _scored_pass(
         (_unit(_matrix(table["embedding"])), table.select(names))
     )
     doc_type, group_type = (to_arrow_type(corpus.schema[c].dataType) for c in ("doc_id", per))
-    documents = corpus.select("doc_id", per, F.col("embedding").cast("array<double>"))
+    documents = corpus.where(F.col("embedding").isNotNull()).select(
+        "doc_id", per, F.col("embedding").cast("array<double>")
+    )
     schema = T.StructType(
         [*id_fields, corpus.schema[per], corpus.schema["doc_id"], T.StructField("distance", T.DoubleType())]
     )
@@ -112,7 +114,7 @@ def _scored_pass(
         vectors, ids = shared.value
         held: dict = {}
         for batch in batches:
-            if batch.num_rows == 0:
+            if batch.num_rows == 0 or len(vectors) == 0:
                 continue
             doc = np.array(batch.column(0).to_pylist(), dtype=object)
             group = pd.Series(batch.column(1).to_pylist())
