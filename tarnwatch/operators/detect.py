@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwatch.functions import votes
-from tarnwatch.operators.features import compute_features
+from tarnwatch.operators.features import MODEL_INPUTS, compute_features
 from tarnwatch.operators.forest import isolation_flags
 from tarnwatch.operators.spatial import spatial_votes
+from tarnwatch.session import stage
+
+IDENTITY = ["region_id", "cell_id", "date", "lat", "lon"]
+VOTE_INPUTS = ["chl_a", "chl_a_rolling_mean", "chl_a_zscore", "recent_heavy_rain", "high_wind"]
 
 
 def ensemble(flagged: DataFrame, exact: bool = False) -> DataFrame:
@@ -34,8 +38,15 @@ def ensemble(flagged: DataFrame, exact: bool = False) -> DataFrame:
 def detect(
     features: DataFrame, same_date: bool = False, exact: bool = False, seed: int = 42, **forest
 ) -> DataFrame:
-    """Isolation forest, spatial votes and the ensemble on a feature table."""
-    return ensemble(spatial_votes(isolation_flags(features, seed=seed, **forest), same_date=same_date), exact)
+    """Isolation forest, spatial votes and the ensemble on a feature table.
+
+    Forest, quantile and spatial votes each need the features several times. They are computed
+    once into a staged table, with the columns the detector uses.
+    """
+    needed = [c for c in [*IDENTITY, *MODEL_INPUTS, *VOTE_INPUTS] if c in features.columns]
+    stored = stage(features.select(*dict.fromkeys(needed)), "features")
+    flagged = isolation_flags(stored, seed=seed, **forest)
+    return ensemble(spatial_votes(flagged, same_date=same_date), exact)
 
 
 def run_pipeline(observations: DataFrame, scope: str = "cell", **options) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnwatch.functions import votes
 from tarnwatch.operators.carry import carry_forward, with_preceding_rows
+from tarnwatch.session import stage
 
 CELL = ["region_id", "cell_id"]
 ROLLING = [
@@ -134,7 +135,7 @@ def fill_and_drop(features: DataFrame, scope: str = "cell") -> DataFrame:
     ``ordinal`` column holding the arrival order.
     """
     if scope == "region":
-        filled = _fill_across_cells(features)
+        filled = _fill_across_cells(stage(features, "unfilled"))
     elif scope == "cell":
         filled = carry_forward(features, CELL, ["date"], ROLLING)
     else:

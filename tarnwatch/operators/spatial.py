@@ -27,6 +27,8 @@ def spatial_votes(
     enough hot rows settles its sites by its own total. What is left for the distance join are the
     sites of bins with at most ``min_neighbors`` hot rows, so a crowded bin is only ever probed by
     the few sites around it and the number of pairs stays linear in the number of sites.
+
+    ``features`` is read three times, so it should be a stored table.
     """
     grid = SphereGrid(0.999 * radius_km / math.sqrt(2.0))
     scope = ["region_id", "date"] if same_date else ["region_id"]
@@ -66,11 +68,8 @@ def spatial_votes(
         .select(*site)
     )
     flagged = settled.unionByName(found).withColumn("_near_enough", F.lit(True))
-    return (
-        features.join(flagged, site, "left")
-        .withColumn(
-            "spatial_flag",
-            F.when((size > 2) & F.coalesce("_near_enough", F.lit(False)), 1.0).otherwise(0.0),
-        )
-        .drop("_near_enough")
-    )
+    # Only rows that can be flagged take part in the join; the others never leave their partition.
+    probes = features.where(size > 2).join(flagged, site, "left")
+    probes = probes.withColumn("spatial_flag", F.when(F.col("_near_enough"), 1.0).otherwise(0.0))
+    rest = features.where(size <= 2).withColumn("spatial_flag", F.lit(0.0))
+    return rest.unionByName(probes.drop("_near_enough"))

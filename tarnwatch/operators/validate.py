@@ -9,6 +9,7 @@ from tarnwatch.functions import votes
 from tarnwatch.functions.text import fixed
 from tarnwatch.operators.detect import anomalies, run_pipeline
 from tarnwatch.operators.nearby import within_box, within_radius
+from tarnwatch.session import stage
 
 MATCH_DAYS = 30
 MATCH_KM = 50.0
@@ -55,6 +56,12 @@ def event_observations(events: DataFrame, observations: DataFrame) -> DataFrame:
     )
 
 
+def with_enough_rows(windowed: DataFrame) -> DataFrame:
+    """Rows of the events that have at least five."""
+    counts = windowed.groupBy("region_id").agg(F.count(F.lit(1)).alias("_n"))
+    return windowed.join(counts.where(F.col("_n") >= MIN_ROWS).drop("_n"), "region_id")
+
+
 def event_matches(events: DataFrame, detections: DataFrame, same_region: bool = True) -> DataFrame:
     """What the detections say about each event.
 
@@ -177,9 +184,8 @@ def false_negatives(details: DataFrame) -> DataFrame:
 
 def run_validation(events: DataFrame, observations: DataFrame, **options) -> dict[str, DataFrame]:
     """The validation suite: window, features, detection and match for all events in one job."""
-    windowed = event_observations(events, observations)
-    enough = windowed.groupBy("region_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= MIN_ROWS)
-    detections = run_pipeline(windowed.join(enough.drop("_n"), "region_id"), **options)
+    windowed = stage(event_observations(events, observations), "event-windows")
+    detections = stage(run_pipeline(with_enough_rows(windowed), **options), "event-detections")
     details = event_details(events, windowed, detections)
     matrix = confusion_matrix(details)
     return {

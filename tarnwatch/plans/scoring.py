@@ -10,6 +10,7 @@ from tarnwatch.operators import detect, features, spatial, validate
 from tarnwatch.plans import views
 from tarnwatch.plans.registry import query
 from tarnwatch.plans.sqlviews import haversine
+from tarnwatch.session import stage
 
 
 @query(f"""
@@ -28,10 +29,10 @@ def event_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _details(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = views.labelled_events(spark, sf_dir)
-    windowed = validate.event_observations(events, views.observations(spark, sf_dir))
-    enough = windowed.groupBy("region_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= validate.MIN_ROWS)
-    rows = features.compute_features(windowed.join(enough.drop("_n"), "region_id"))
-    detections = detect.ensemble(spatial.spatial_votes(views.with_stand_in(rows)))
+    windowed = stage(validate.event_observations(events, views.observations(spark, sf_dir)), "event-windows")
+    rows = features.compute_features(validate.with_enough_rows(windowed))
+    voted = spatial.spatial_votes(stage(views.with_stand_in(rows), "event-features"))
+    detections = detect.ensemble(voted)
     return validate.event_details(events, windowed, detections)
 
 

@@ -185,7 +185,7 @@ def climatology_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT region_id, cell_id, date, spatial_flag FROM voted", ("voted",))
 def spatial_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.spatial_votes(views.features(spark, sf_dir)).select(*KEYS, "spatial_flag")
+    return spatial.spatial_votes(views.stored_features(spark, sf_dir)).select(*KEYS, "spatial_flag")
 
 
 def _same_date_sql() -> str:
@@ -196,7 +196,7 @@ def _same_date_sql() -> str:
 
 @query(_same_date_sql(), ("features",))
 def spatial_votes_same_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.features(spark, sf_dir)
+    rows = views.stored_features(spark, sf_dir)
     return spatial.spatial_votes(rows, same_date=True).select(*KEYS, "spatial_flag")
 
 
@@ -222,7 +222,7 @@ def ensemble_vote_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def iforest_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = forest.isolation_flags(views.features(spark, sf_dir))
+    rows = forest.isolation_flags(views.stored_features(spark, sf_dir))
     return rows.select(*KEYS, "iso_score", "iso_flag")
 
 

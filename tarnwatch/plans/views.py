@@ -13,6 +13,7 @@ from pyspark.ml.stat import Summarizer
 from tarnwatch.operators.detect import ensemble
 from tarnwatch.operators.features import compute_features
 from tarnwatch.operators.spatial import spatial_votes
+from tarnwatch.session import stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,8 +91,13 @@ def with_stand_in(rows: DataFrame) -> DataFrame:
     return rows.withColumn("iso_flag", F.when(far, 1e0).otherwise(0e0))
 
 
+def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features with the stand-in flag, staged for the consumers that read them repeatedly."""
+    return stage(with_stand_in(features(spark, sf_dir)), "features")
+
+
 def detections(spark: SparkSession, sf_dir: str, exact: bool = False) -> DataFrame:
-    return ensemble(spatial_votes(with_stand_in(features(spark, sf_dir))), exact=exact)
+    return ensemble(spatial_votes(stored_features(spark, sf_dir)), exact=exact)
 
 
 def facility_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
