@@ -63,14 +63,15 @@ def _useful(facilities: DataFrame) -> DataFrame:
         rows.select("*", counted)
         .withColumn("_copy", rank_within(["lat", "lon", "group", "_counted"], "element_id"))
         .where(F.col("_copy") <= most)
+        .withColumn("list", _list_of(F.col("group")))
         .drop("_copy", "_counted")
     )
 
 
-def _group_cap(otherwise: Column) -> Column:
+def _group_cap(otherwise: Column, column: str = "group") -> Column:
     cap = otherwise
     for group, most in facility.GROUP_CAPS.items():
-        cap = F.when(F.col("group") == group, most).otherwise(cap)
+        cap = F.when(F.col(column) == group, most).otherwise(cap)
     return cap
 
 
@@ -96,34 +97,40 @@ def _grid() -> SphereGrid:
     return SphereGrid(F.col("width") / BINS_PER_RING)
 
 
+def _list_of(group: Column) -> Column:
+    """Which list a row competes for: 0 for the open groups together, else its capped group."""
+    return F.when(group.isin(list(facility.GROUP_CAPS)), group).otherwise(0)
+
+
 def _inner_rings(sites: DataFrame, useful: DataFrame, rings: list[tuple[int, float, float]]) -> DataFrame:
-    """The innermost ring that surely holds enough distinct facilities, per site.
+    """Per site and list, the innermost ring that surely holds enough facilities to fill it.
 
     Works on counts per bin only. A bin counts if it lies inside the ring as a whole, judged from
     one of its members and the diameter of a bin.
     """
-    distinct = (
-        useful.where(~F.col("group").isin(list(facility.GROUP_CAPS)))
-        .groupBy("same")
-        .agg(F.min(F.struct("lat", "lon")).alias("_at"))
-    )
+    # The open groups count distinct facilities, the capped ones count elements.
+    is_open = F.col("list") == 0
+    distinct = useful.groupBy(
+        "list", F.when(is_open, F.col("same")).alias("_same"), F.when(~is_open, F.col("element_id")).alias("_element")
+    ).agg(F.min(F.struct("lat", "lon")).alias("_at"))
     counts = (
         _per_ring(distinct, rings)
-        .groupBy("ring", _grid().bin(F.col("_at.lat"), F.col("_at.lon")).alias("_bin"))
+        .groupBy("ring", "list", _grid().bin(F.col("_at.lat"), F.col("_at.lon")).alias("_bin"))
         .agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_member"))
     )
     to_member = haversine_km(
         F.col("site_lat"), F.col("site_lon"), F.col("_member.lat"), F.col("_member.lon")
     )
     diameter = F.col("width") * (2**0.5 / BINS_PER_RING)
+    needed = _group_cap(F.lit(LIMIT), "list")
     return (
         _grid().cover(_per_ring(sites, rings), *SITE, F.col("width"))
         .join(counts, ["ring", "_bin"])
         .where(to_member + diameter <= F.col("width"))
-        .groupBy(*SITE, "ring")
+        .groupBy(*SITE, "ring", "list")
         .agg(F.sum("_n").alias("_n"))
-        .where(F.col("_n") >= LIMIT)
-        .groupBy(*SITE)
+        .where(F.col("_n") >= needed)
+        .groupBy(*SITE, "list")
         .agg(F.min("ring").alias("_chosen"))
     )
 
@@ -131,19 +138,21 @@ def _inner_rings(sites: DataFrame, useful: DataFrame, rings: list[tuple[int, flo
 def _search(sites: DataFrame, useful: DataFrame, radius_km: float, rings: tuple[float, ...]) -> DataFrame:
     """Facilities around each site, as far as they can make its list.
 
-    Sites with plenty of facilities search the smallest ring that decides. The others look within
-    twice the radius and drop what lies beyond it if there is anything inside.
+    Each list searches the smallest ring that fills it. Where none does, the search covers twice
+    the radius, and what lies beyond the radius is dropped if the site has anything inside.
     """
     ladder = _rings(radius_km, rings)
-    binned = _per_ring(useful, ladder).withColumn("_bin", _grid().bin(F.col("lat"), F.col("lon")))
-    chosen = sites.join(_inner_rings(sites, useful, ladder[:-1]), SITE, "left")
+    lists = F.explode(F.array(*[F.lit(n) for n in (0, *facility.GROUP_CAPS)]))
+    wanted = sites.withColumn("list", lists)
+    chosen = wanted.join(_inner_rings(sites, useful, ladder[:-1]), [*SITE, "list"], "left")
     outermost = F.lit(len(ladder) - 1)
     searching = _per_ring(chosen, ladder).where(F.col("ring") == F.coalesce("_chosen", outermost))
     probes = _grid().cover(searching.drop("_chosen"), *SITE, F.col("reach")).drop("width")
+    binned = _per_ring(useful, ladder).withColumn("_bin", _grid().bin(F.col("lat"), F.col("lon")))
     distance = haversine_km(F.col("site_lat"), F.col("site_lon"), F.col("lat"), F.col("lon"))
     nearest = F.min("_distance").over(Window.partitionBy(*SITE))
     return (
-        probes.join(binned.drop("width", "reach"), ["ring", "_bin"])
+        probes.join(binned.drop("width", "reach"), ["ring", "list", "_bin"])
         .withColumn("_distance", distance)
         .where(F.col("_distance") <= F.col("reach"))
         .withColumn("_nearest", nearest)
@@ -160,6 +169,9 @@ def nearest_facilities(
     Events without any facility within ``radius_km`` look within twice the radius. ``events`` has
     ``event_id, lat, lon``. Events repeat at the same grid points, so the search runs once per
     distinct location and on bare positions; names and tags are joined to the final lists.
+
+    How far a list has to look is decided on counts per grid bin, so crowded surroundings are
+    searched within a few hundred metres and no site is paired with everything in its radius.
     """
     classified = classify(elements)
     located = events.select("event_id", F.col("lat").alias("site_lat"), F.col("lon").alias("site_lon"))

@@ -131,3 +131,16 @@ def test_place_names(spark):
     table = spark.createDataFrame([(i, a) for i, a in enumerate(answers)], "i int, a string")
     place = text.compose_place_name(F.from_json("a", schemas.PLACE), F.lit("fallback"))
     assert [r[0] for r in table.orderBy("i").select(place).collect()] == ["Spencer Gulf, South Australia, Australia", "A, B, C", "fallback"]
+
+
+def test_stream_stores_each_file_once(spark, tmp_path):
+    from tarnwatch.streaming import ingest
+
+    incoming, store, marks = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "marks")
+    incoming.mkdir()
+    header = CSV.split("\n")[0].split(",")
+    for name, value in (("a", "12.4"), ("b", "13.5")):
+        (incoming / f"{name}.csv").write_text(CSV.replace("12.4", value))
+        ingest.store_stream(ingest.gridded_stream(spark, str(incoming), header), store, marks)
+    rows = spark.read.parquet(store).orderBy("chl_a").collect()
+    assert [r["chl_a"] for r in rows] == [12.4, 13.5]
