@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,8 +19,9 @@ from tarnwatch.operators.nearby import rank_within
 TOP_K = 3
 CONTEXT_CHARS = 8000
 SEPARATOR = "\n---\n"
-# Query vectors travel to every task; sets larger than this are scored in several passes.
+# Query sets up to this size are shared with every task; larger ones are scored in blocks.
 QUERY_BYTES = 64 << 20
+DOCUMENTS_PER_BLOCK = 100_000
 
 
 def retrieval_queries(events: DataFrame) -> DataFrame:
@@ -71,74 +72,95 @@ def vector_topk(
 ) -> DataFrame:
     """The ``k`` documents closest to each query in each collection, by cosine distance.
 
-    Exact: every document is scored. The query matrix goes to the tasks, each task multiplies its
-    documents with it and emits only its own ``k`` best per query and collection, so pairs are
-    never materialised; a ranked filter merges the task results. Query sets above ``query_bytes``
-    are scored in passes of that size.
+    Exact: every document is scored. Tasks multiply their documents with a matrix of queries and
+    emit only their own ``k`` best per query and collection, so pairs are never materialised; a
+    ranked filter merges the task results. A query set of at most ``query_bytes`` is shared with
+    all tasks. A larger one never leaves the executors: queries and documents are cut into blocks
+    and every pair of blocks is scored on its own.
     """
-    prepared = queries.select(*query_id, F.col("embedding").cast("array<double>"))
-    first = prepared.select(F.size("embedding").alias("width")).first()
-    per_pass = max(1, query_bytes // (8 * (first["width"] if first else 1)))
-    table = prepared.limit(per_pass + 1).toArrow()
-    if table.num_rows <= per_pass:
-        tables = [table]
-    else:
-        passes = -(-prepared.count() // per_pass)
-        share = F.pmod(F.xxhash64(*query_id), F.lit(passes))
-        tables = (prepared.where(share == i).toArrow() for i in range(passes))
-    id_fields = [f for f in prepared.schema.fields if f.name in query_id]
-    best = [_scored_pass(part, id_fields, corpus, k, per) for part in tables if part.num_rows or part is table]
-    merged = best[0]
-    for more in best[1:]:
-        merged = merged.unionByName(more)
-    ranked = merged.withColumn("rank", rank_within([*query_id, per], "distance", "doc_id"))
-    return ranked.where(F.col("rank") <= k)
-
-
-def _scored_pass(
-    table: pa.Table, id_fields: list[T.StructField], corpus: DataFrame, k: int, per: str
-) -> DataFrame:
-    names = [f.name for f in id_fields]
-    shared = corpus.sparkSession.sparkContext.broadcast(
-        (_unit(_matrix(table["embedding"])), table.select(names))
+    prepared = queries.where(F.col("embedding").isNotNull()).select(
+        *query_id, F.col("embedding").cast("array<double>")
     )
-    doc_type, group_type = (to_arrow_type(corpus.schema[c].dataType) for c in ("doc_id", per))
     documents = corpus.where(F.col("embedding").isNotNull()).select(
         "doc_id", per, F.col("embedding").cast("array<double>")
     )
+    first = prepared.select(F.size("embedding").alias("width")).first()
+    shared = max(1, query_bytes // (8 * (first["width"] if first else 1)))
+    table = prepared.limit(shared + 1).toArrow()
+    id_fields = [f for f in prepared.schema.fields if f.name in query_id]
     schema = T.StructType(
-        [*id_fields, corpus.schema[per], corpus.schema["doc_id"], T.StructField("distance", T.DoubleType())]
+        [*id_fields, documents.schema[per], documents.schema["doc_id"], T.StructField("distance", T.DoubleType())]
     )
+    score = _block_scorer(schema, [f.name for f in id_fields], per, k)
+    if table.num_rows <= shared:
+        best = _score_shared(table, documents, schema, score)
+    else:
+        best = _score_blocks(prepared, documents, schema, score, shared)
+    ranked = best.withColumn("rank", rank_within([*query_id, per], "distance", "doc_id"))
+    return ranked.where(F.col("rank") <= k)
+
+
+def _block_scorer(schema: T.StructType, ids: list[str], per: str, k: int):
+    """Function of a query table and document batches giving the ``k`` best per query and group."""
+    arrow_types = [to_arrow_type(f.dataType) for f in schema.fields]
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, ids = shared.value
+    def score(queries: pa.Table, batches: Iterable[pa.RecordBatch | pa.Table]) -> pa.Table:
+        vectors = _unit(_matrix(queries["embedding"]))
         held: dict = {}
         for batch in batches:
             if batch.num_rows == 0 or len(vectors) == 0:
                 continue
-            doc = np.array(batch.column(0).to_pylist(), dtype=object)
-            group = pd.Series(batch.column(1).to_pylist())
-            distance = 1.0 - _unit(_matrix(batch.column(2))) @ vectors.T
+            doc = np.array(batch.column("doc_id").to_pylist(), dtype=object)
+            group = pd.Series(batch.column(per).to_pylist())
+            distance = 1.0 - _unit(_matrix(batch.column("embedding"))) @ vectors.T
             for name, rows in group.groupby(group, sort=False).indices.items():
-                names, values = doc[rows], distance[rows]
+                values = distance[rows]
+                names = np.broadcast_to(doc[rows][:, None], values.shape)
                 if name in held:
-                    names = np.concatenate([np.broadcast_to(names[:, None], values.shape), held[name][0]])
+                    names = np.concatenate([names, held[name][0]])
                     values = np.concatenate([values, held[name][1]])
-                else:
-                    names = np.broadcast_to(names[:, None], values.shape)
                 held[name] = _smallest(names, values, k)
+        pieces = [pa.table({f.name: pa.array([], t) for f, t in zip(schema.fields, arrow_types)})]
         for name, (names, values) in held.items():
-            rows, columns = np.nonzero(np.ones(values.shape, dtype=bool))
-            taken = ids.take(pa.array(columns))
-            yield pa.RecordBatch.from_arrays(
-                [*(taken[f.name].combine_chunks() for f in id_fields),
-                 pa.array([name] * len(rows), group_type),
-                 pa.array(names[rows, columns].tolist(), doc_type),
-                 pa.array(values[rows, columns])],
-                names=schema.fieldNames(),
-            )
-
-    return documents.mapInArrow(score, schema)
+            columns = np.tile(np.arange(values.shape[1]), len(values))
+            taken = queries.select(ids).take(pa.array(columns))
+            found = [pa.array([name] * len(columns)), pa.array(names.ravel().tolist()), pa.array(values.ravel())]
+            arrays = [*(taken[c].combine_chunks() for c in ids), *found]
+            pieces.append(pa.table([a.cast(t) for a, t in zip(arrays, arrow_types)], names=schema.fieldNames()))
+        return pa.concat_tables(pieces)
+
+    return score
+
+
+def _score_shared(table: pa.Table, documents: DataFrame, schema: T.StructType, score) -> DataFrame:
+    shared = documents.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from score(shared.value, batches).to_batches()
+
+    return documents.mapInArrow(run, schema)
+
+
+def _score_blocks(
+    queries: DataFrame, documents: DataFrame, schema: T.StructType, score, per_block: int
+) -> DataFrame:
+    """Every block of queries against every block of documents, co-grouped."""
+    n_query = -(-queries.count() // per_block)
+    n_document = -(-documents.count() // DOCUMENTS_PER_BLOCK)
+
+    def blocks(df: DataFrame, own: str, count: int, other: str, copies: int, *identity: str) -> DataFrame:
+        numbered = df.withColumn(own, F.pmod(F.xxhash64(*identity), F.lit(count)).cast("int"))
+        return numbered.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(max(copies, 1) - 1))))
+
+    ids = [c for c in queries.columns if c != "embedding"]
+    left = blocks(queries, "_q", n_query, "_d", n_document, *ids)
+    right = blocks(documents, "_d", max(n_document, 1), "_q", n_query, "doc_id")
+    pair = ["_q", "_d"]
+
+    def run(query_block: pa.Table, document_block: pa.Table) -> pa.Table:
+        return score(query_block, [document_block])
+
+    return left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInArrow(run, schema)
 
 
 def _smallest(names: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

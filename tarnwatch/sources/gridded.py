@@ -47,7 +47,8 @@ def clean(df: DataFrame, low: float = 0.0, high: float = 300.0) -> DataFrame:
     value = F.col("chl_a").cast("string").try_cast("double")
     typed = df.withColumns(
         {
-            "date": F.to_date(F.try_to_timestamp(F.col("date").cast("string"))),
+            # Times are UTC as written; the session's time zone plays no part.
+            "date": F.to_date(F.col("date").cast("string").try_cast("timestamp_ntz")),
             "lat": snap(F.col("lat").cast("string").try_cast("double")),
             "lon": snap(F.col("lon").cast("string").try_cast("double")),
             "chl_a": F.when(~F.isnan(value), value),

@@ -82,7 +82,8 @@ def exact_topk(queries, corpus, k):
 
 
 @pytest.mark.parametrize("query_bytes", [64 << 20, 200])
-def test_vector_topk_is_exact(spark, query_bytes):
+def test_vector_topk_is_exact(spark, query_bytes, monkeypatch):
+    monkeypatch.setattr(retrieval, "DOCUMENTS_PER_BLOCK", 150)
     rng = np.random.default_rng(3)
     corpus = [(i, f"c{i % 3}", [float(v) for v in rng.normal(size=8)]) for i in range(400)]
     queries = [(i, [float(v) for v in rng.normal(size=8)]) for i in range(7)]
