@@ -127,29 +127,29 @@ def _previous_row(
     )
 
 
-def fill_and_drop(features: DataFrame, scope: str = "cell") -> DataFrame:
-    """Forward-fill the rolling columns, then drop rows that still lack one.
+def fill_rolling(features: DataFrame, scope: str = "cell") -> DataFrame:
+    """Forward-fill the rolling columns.
 
-    ``scope="cell"`` never crosses cells, so each loses its warm-up rows. ``scope="region"`` fills
-    along the concatenated cells of the region, where only the first cell loses them; it needs an
-    ``ordinal`` column holding the arrival order.
+    ``scope="cell"`` never crosses cells, so each keeps its empty warm-up rows. ``scope="region"``
+    fills along the concatenated cells of the region, where only the first cell keeps them; it
+    needs an ``ordinal`` column holding the arrival order.
     """
     if scope == "region":
-        filled = _fill_across_cells(stage(features, "unfilled"))
-    elif scope == "cell":
-        filled = carry_forward(features, CELL, ["date"], ROLLING)
-    else:
-        raise ValueError(f"scope must be 'cell' or 'region', not {scope!r}")
-    return filled.dropna(subset=[*ROLLING, "chl_a_seasonal_residual"])
+        return _fill_across_cells(stage(features, "unfilled"))
+    if scope == "cell":
+        return carry_forward(features, CELL, ["date"], ROLLING)
+    raise ValueError(f"scope must be 'cell' or 'region', not {scope!r}")
 
 
 def compute_features(
     observations: DataFrame, window_rows: int = 4, scope: str = "cell", slice_by: Column | None = None
 ) -> DataFrame:
-    """All features of the detector.
+    """All features of the detector; rows that still lack one are dropped at the end.
 
-    The rolling windows come first: they hash-partition by cell, which also serves the seasonal
-    window and the fill, so the whole step costs one shuffle of the observations.
+    The rolling windows come first: they hash-partition by cell, which also serves the fill (in the
+    same order, so without another sort) and the seasonal window. The whole step costs one shuffle
+    of the observations.
     """
-    rolled = rolling_features(observations, window_rows, slice_by)
-    return fill_and_drop(weather_flags(seasonal_residual(rolled)), scope)
+    filled = fill_rolling(rolling_features(observations, window_rows, slice_by), scope)
+    complete = weather_flags(seasonal_residual(filled))
+    return complete.dropna(subset=[*ROLLING, "chl_a_seasonal_residual"])

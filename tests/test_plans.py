@@ -21,7 +21,10 @@ def test_no_nested_loops(spark, sf_dir, name):
 
 
 def test_features_cost_one_shuffle_after_the_weekly_aggregate(spark, sf_dir):
-    assert plan(spark, sf_dir, "ffill_features_cell").count("Exchange hashpartitioning") == 2
+    text = plan(spark, sf_dir, "ffill_features_cell")
+    assert text.count("Exchange hashpartitioning") == 2
+    # One sort by date serves the rolling windows and the fill, one the seasonal window.
+    assert text.count("+- Sort [") == 2
 
 
 @pytest.mark.parametrize("name", ["catalog_dates", "collection_upsert", "facility_nearest30"])
