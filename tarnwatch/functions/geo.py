@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwatch.functions.text import fixed
+from tarnwatch.session import without_blind_broadcast
 
 EARTH_RADIUS_KM = 6371.0
 KM_PER_DEGREE = math.pi * EARTH_RADIUS_KM / 180.0
@@ -111,8 +112,13 @@ class SphereGrid:
         column = F.floor(F.pmod(lon + 180.0, F.lit(360.0)) / 360.0 * columns)
         return self._pack(band, F.least(column, columns - 1))
 
-    def cover(self, df: DataFrame, lat: str, lon: str, radius_km: Column | float, name: str = "_bin") -> DataFrame:
-        """Copies of each row, one per bin that can hold a point within ``radius_km`` of it."""
+    def cover(
+        self, df: DataFrame, lat: str, lon: str, radius_km: Column | float, bins_across: float, name: str = "_bin"
+    ) -> DataFrame:
+        """Copies of each row, one per bin that can hold a point within ``radius_km`` of it.
+
+        ``bins_across`` says how many bins the disc is wide, to judge the size of the result.
+        """
         slack = 1e-9
         radius = _number(radius_km)
         dlat = radius / KM_PER_DEGREE + slack
@@ -136,8 +142,9 @@ class SphereGrid:
             F.when(whole, columns - 1).otherwise(F.col("_last")),
         )
         column = F.pmod(F.col("_column"), columns)
-        return (
+        covered = (
             spans.withColumn("_column", F.explode(span))
             .withColumn(name, self._pack(F.col("_band"), column))
             .drop("_dlon", "_band", "_columns", "_first", "_last", "_column")
         )
+        return without_blind_broadcast(covered, df, (bins_across + 2.0) ** 2)

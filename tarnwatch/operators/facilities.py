@@ -124,7 +124,7 @@ def _inner_rings(sites: DataFrame, useful: DataFrame, rings: list[tuple[int, flo
     diameter = F.col("width") * (2**0.5 / BINS_PER_RING)
     needed = _group_cap(F.lit(LIMIT), "list")
     return (
-        _grid().cover(_per_ring(sites, rings), *SITE, F.col("width"))
+        _grid().cover(_per_ring(sites, rings), *SITE, F.col("width"), len(rings) * 2 * BINS_PER_RING)
         .join(counts, ["ring", "_bin"])
         .where(to_member + diameter <= F.col("width"))
         .groupBy(*SITE, "ring", "list")
@@ -147,7 +147,7 @@ def _search(sites: DataFrame, useful: DataFrame, radius_km: float, rings: tuple[
     chosen = wanted.join(_inner_rings(sites, useful, ladder[:-1]), [*SITE, "list"], "left")
     outermost = F.lit(len(ladder) - 1)
     searching = _per_ring(chosen, ladder).where(F.col("ring") == F.coalesce("_chosen", outermost))
-    probes = _grid().cover(searching.drop("_chosen"), *SITE, F.col("reach")).drop("width")
+    probes = _grid().cover(searching.drop("_chosen"), *SITE, F.col("reach"), len(ladder) * 2 * BINS_PER_RING).drop("width")
     binned = _per_ring(useful, ladder).withColumn("_bin", _grid().bin(F.col("lat"), F.col("lon")))
     distance = haversine_km(F.col("site_lat"), F.col("site_lon"), F.col("lat"), F.col("lon"))
     nearest = F.min("_distance").over(Window.partitionBy(*SITE))

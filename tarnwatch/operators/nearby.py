@@ -20,7 +20,7 @@ def within_radius(
     are split by adaptive execution, since the join is an ordinary equi-join.
     """
     grid = SphereGrid(2.0 * radius_km / bins_across)
-    left = grid.cover(probe, "probe_lat", "probe_lon", radius_km)
+    left = grid.cover(probe, "probe_lat", "probe_lon", radius_km, bins_across)
     right = build.withColumn("_bin", grid.bin(F.col("lat"), F.col("lon")))
     distance = haversine_km(F.col("probe_lat"), F.col("probe_lon"), F.col("lat"), F.col("lon"))
     return (

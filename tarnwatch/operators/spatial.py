@@ -30,7 +30,8 @@ def spatial_votes(
 
     ``features`` is read three times, so it should be a stored table.
     """
-    grid = SphereGrid(0.999 * radius_km / math.sqrt(2.0))
+    grid_km = 0.999 * radius_km / math.sqrt(2.0)
+    grid = SphereGrid(grid_km)
     scope = ["region_id", "date"] if same_date else ["region_id"]
     site = [*scope, "cell_id"]
     size = F.abs(F.coalesce(F.col(z), F.lit(0.0)))
@@ -55,7 +56,7 @@ def spatial_votes(
     unsettled = counted.where((F.col("_probes") > 0) & (F.col("_in_bin") < needed)).select(
         *site, F.col("_lat").alias("_plat"), F.col("_lon").alias("_plon")
     )
-    open_sites = grid.cover(unsettled, "_plat", "_plon", radius_km)
+    open_sites = grid.cover(unsettled, "_plat", "_plon", radius_km, 2.0 * radius_km / grid_km)
     around = sites.select(*scope, "_bin", "_lat", "_lon", "_hot")
     found = (
         open_sites.join(around, [*scope, "_bin"])

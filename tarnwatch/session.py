@@ -56,3 +56,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{staging_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+BROADCAST_BYTES = 8 << 20
+
+
+def without_blind_broadcast(exploded: DataFrame, source: DataFrame, copies: float) -> DataFrame:
+    """``exploded``, kept from being broadcast unless it is surely small.
+
+    The planner does not count the copies an explode makes, so it may take a large side for a small
+    one. The estimate of ``source`` times ``copies`` bounds the real size; above the limit the join
+    is a sort-merge join, which adaptive execution splits where it is skewed.
+    """
+    estimate = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return exploded if estimate * copies <= BROADCAST_BYTES else exploded.hint("merge")

@@ -174,7 +174,7 @@ def test_grid_cover_holds_every_point_in_reach(spark):
     points = spark.createDataFrame(pairs, "i int, lat double, lon double, plat double, plon double")
     for size in (3.0, 20.0, 55.0):
         grid = geo.SphereGrid(size)
-        covers = grid.cover(points.select("i", "lat", "lon").distinct(), "lat", "lon", 20.0)
+        covers = grid.cover(points.select("i", "lat", "lon").distinct(), "lat", "lon", 20.0, 40.0 / size)
         assert covers.count() == covers.distinct().count()
         binned = points.select("i", "plat", "plon", grid.bin(F.col("plat"), F.col("plon")).alias("_bin"))
         assert binned.join(covers, ["i", "_bin"], "left_anti").count() == 0

@@ -43,3 +43,15 @@ def test_no_local_checkpoint_in_the_code():
 
     root = Path(spark_entry.__file__).parent / "tarnwatch"
     assert not [f for f in root.rglob("*.py") if "localCheckpoint" in f.read_text() or ".rdd" in f.read_text()]
+
+
+def test_exploded_covers_are_broadcast_only_when_small(spark):
+    from tarnwatch.functions.geo import SphereGrid
+
+    def joined(rows):
+        probe = spark.range(rows).selectExpr("id", "id % 80 * 1.0 as lat", "id % 170 * 1.0 as lon")
+        cover = SphereGrid(10.0).cover(probe, "lat", "lon", 50.0, 10.0)
+        return cover.join(spark.range(10**9).selectExpr("id as _bin"), "_bin")._jdf.queryExecution().executedPlan().toString()
+
+    assert "BroadcastHashJoin" in joined(100)
+    assert "SortMergeJoin" in joined(100_000)
