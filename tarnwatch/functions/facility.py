@@ -51,7 +51,9 @@ def source_category(kind: Column) -> Column:
 
 
 def context_tags(tags: Column) -> Column:
-    return F.map_filter(tags, lambda key, value: key.isin(CONTEXT_TAGS) & (value != ""))
+    """The non-empty context tags, in the order they are listed above."""
+    entries = F.array(*[F.struct(F.lit(k).alias("key"), tags[k].alias("value")) for k in CONTEXT_TAGS])
+    return F.map_from_entries(F.filter(entries, lambda e: present(e["value"])))
 
 
 def search_groups(element_type: Column, tags: Column) -> Column:

@@ -10,6 +10,7 @@ from tarnwatch.functions import wording
 from tarnwatch.functions.geo import location_label
 from tarnwatch.functions.text import fixed
 from tarnwatch.operators.nearby import rank_within
+from tarnwatch.session import stage
 
 # Provenance recorded with every rule-based report.
 COLLECTIONS = ["permits", "agriculture", "watershed"]
@@ -89,8 +90,11 @@ def report_actions(events: DataFrame, place: Column | None = None) -> DataFrame:
 def community_reports(events: DataFrame, facilities: DataFrame, place: Column | None = None) -> DataFrame:
     """The nested report of every event, built by rule from its facilities.
 
-    The arrival time at intakes is left empty: nothing in the data determines it.
+    The arrival time at intakes is left empty: nothing in the data determines it. The facility
+    lists are read for the sources, for the events without any, and for their number, so they are
+    staged.
     """
+    facilities = stage(facilities, "facilities")
     where = place if place is not None else location_label(F.col("lat"), F.col("lon"))
     named = events.withColumn("location_name", where)
     counts = facilities.groupBy("event_id").agg(F.count(F.lit(1)).cast("int").alias("n_facilities"))

@@ -11,6 +11,7 @@ from tarnwatch.operators import detect, facilities, modeloutput, nearby, report
 from tarnwatch.plans import views
 from tarnwatch.plans.registry import query
 from tarnwatch.plans.sqlviews import label
+from tarnwatch.session import stage
 from tarnwatch.sources import catalogs
 
 
@@ -127,6 +128,15 @@ def facility_nearest30(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir).withColumn("tags", context_text(F.col("tags")))
 
 
+@query("""
+SELECT event_id, COUNT(*)::INTEGER AS n_facilities, string_agg('- ' || fname || ': ' || REPLACE(type, '_', ' ') || ', ' || CAST(distance_km AS VARCHAR) || 'km ' || direction
+  || ' [' || concat_ws(', ', 'operator="' || operator || '"', 'industrial="' || industrial || '"', 'man_made="' || man_made || '"', 'amenity="' || amenity || '"') || ']', chr(10) ORDER BY rank) AS facilities_text
+FROM nearest GROUP BY event_id""", ("nearest",))
+def facility_prompt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facility lists as the lines of a prompt."""
+    return facilities.facility_lines(_nearest(spark, sf_dir))
+
+
 @query("""
 SELECT event_id, CAST(source_rank AS INTEGER) AS source_rank, fname AS source_name, source_category AS source_type,
   CASE WHEN type IN ('wastewater_plant', 'chemical_plant', 'waste_disposal') AND distance_km < 15 THEN 'high'
@@ -227,7 +237,7 @@ LEFT JOIN (
   WHERE rn = 1) m ON m.event_id = s.event_id AND m.source_rank = s.source_rank""", ("top_sources",))
 def source_coord_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources as a model may name them, matched back to the mapped facilities."""
-    nearest = _nearest(spark, sf_dir)
+    nearest = stage(_nearest(spark, sf_dir), "facilities")
     place, name = F.col("source_rank"), F.col("source_name")
     told = report.probable_sources(nearest).select(
         "event_id",

@@ -110,7 +110,7 @@ def test_center_coordinates_and_lines(spark):
         spark.createDataFrame([(1, 10.0, 10.0)], "event_id long, lat double, lon double"), spark.createDataFrame(elements, ELEMENTS)
     )
     text = facilities.facility_lines(rows).first()
-    assert text["facilities_text"] == '- Works: chemical plant, 1.1km E [industrial="chemical", operator="Co"]\n- Farmland: farmland, 2.2km E'
+    assert text["facilities_text"] == '- Works: chemical plant, 1.1km E [operator="Co", industrial="chemical"]\n- Farmland: farmland, 2.2km E'
     assert text["n_facilities"] == 2
 
 
