@@ -92,9 +92,12 @@ def _fill_across_cells(features: DataFrame) -> DataFrame:
         F.max_by(c, F.when(F.col(c).isNotNull(), F.col("date"))).alias(c) for c in ROLLING
     ]
     cells = features.groupBy(*CELL).agg(F.min(arrival).alias("_start"), *newest)
-    cells = cells.select(
-        *CELL, F.col("_start.date").alias("_first_date"), F.col("_start.ordinal").alias("_first_ordinal"),
-        *ROLLING,
+    cells = stage(
+        cells.select(
+            *CELL, F.col("_start.date").alias("_first_date"), F.col("_start.ordinal").alias("_first_ordinal"),
+            *ROLLING,
+        ),
+        "cell-ends",
     )
     slice_by = F.struct("_first_date", F.floor(F.col("_first_ordinal") / CELLS_PER_SLICE))
     order = ["_first_date", "_first_ordinal"]

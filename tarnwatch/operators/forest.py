@@ -81,16 +81,21 @@ def score_points(points: np.ndarray, feature, threshold, path, size: int) -> np.
     """Anomaly score in (0, 1]: ``2 ** (-mean path / average path)``."""
     trees, inner = feature.shape
     height = int(np.log2(inner + 1))
+    width = points.shape[1]
     scores = np.empty(len(points))
     for start in range(0, len(points), SCORING_CHUNK):
         chunk = points[start : start + SCORING_CHUNK]
-        rows = np.arange(len(chunk))
+        values, origin = chunk.ravel(), np.arange(len(chunk)) * width
         total = np.zeros(len(chunk))
         for t in range(trees):
             node = np.zeros(len(chunk), dtype=np.int64)
             for _ in range(height):
-                node = 2 * node + 1 + (chunk[rows, feature[t].take(node)] > threshold[t].take(node))
-            total += path[t].take(node - inner)
+                right = values.take(origin + feature[t].take(node)) > threshold[t].take(node)
+                node *= 2
+                node += 1
+                node += right
+            node -= inner
+            total += path[t].take(node)
         scores[start : start + len(chunk)] = total / trees
     return np.exp2(-scores / average_path(np.array([size]))[0]) if size > 1 else np.full(len(points), 0.5)
 
