@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwatch.llm import exact_dedup
+from tarnwatch.llm import exact_dedup, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,79 @@ SELECT doc_id,
 FROM rows
 WINDOW w AS (PARTITION BY bytes ORDER BY points DESC, doc_id NULLS LAST)
 """
+
+
+@query
+def op5_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of each document when sources are mixed to capped targets."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "passes")
+
+
+def _sainte_lague_sql(parties: str, group: str, votes: str, order: str) -> str:
+    """Highest quotients with every quotient up to the upper bound, none granted beforehand."""
+    over = f"PARTITION BY {group}" if group else ""
+    keys = f"{group}, {order}" if group else order
+    return f"""
+  SELECT {keys}, count(*) AS won FROM (
+    SELECT *, row_number() OVER ({over} ORDER BY {votes} / (2 * k + 1) DESC, {order}, k) AS place
+    FROM (SELECT *, unnest(range(0, CAST(floor({votes} * (seats + n / 2.0) / total + 0.5) AS BIGINT) + 1)) AS k
+          FROM (SELECT *, sum({votes}) OVER ({over}) AS total, count(*) OVER ({over}) AS n FROM {parties}) WHERE {votes} > 0)
+  ) WHERE place <= seats GROUP BY {keys}"""
+
+
+ORACLES["op5_sainte_lague_mix"] = rf"""
+WITH sizes AS (
+  SELECT doc_id, coalesce(source, '') AS source, source IS NULL AS nameless,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  FROM documents
+),
+per_source AS (
+  SELECT source, nameless, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs,
+         row_number() OVER (ORDER BY nameless, source) AS rank
+  FROM sizes GROUP BY source, nameless
+),
+weighed AS (
+  SELECT *, [3, 1, 2][(rank - 1) % 3 + 1] AS weight, 1.5 * sum(source_size) OVER () AS goal FROM per_source
+),
+levels AS (
+  SELECT *, (CAST(goal AS DOUBLE) - coalesce(sum(2 * source_size) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM weighed
+  WINDOW before AS (ORDER BY 2 * source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+targets AS (
+  SELECT *, least(CAST(2 * source_size AS DOUBLE), max(level) OVER () * weight) AS target,
+         CAST(floor(CAST(goal AS DOUBLE) / {mixing.BLOCK_WORDS} + 0.5) AS BIGINT) AS seats,
+         greatest(1, CAST(ceil((source_size + 64 * n_docs) / {mixing.SHARD_LOAD}) AS BIGINT)) AS n_shards
+  FROM levels
+),
+source_won AS ({_sainte_lague_sql("targets", "", "target", "rank")}),
+sharded AS (
+  SELECT s.*, t.source_size, t.target, coalesce(w.won, 0) AS source_quota,
+         CAST('0x' || substr(md5('0/' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % n_shards AS shard
+  FROM sizes s JOIN targets t USING (source, nameless) LEFT JOIN source_won w USING (rank)
+),
+shards AS (
+  SELECT source, nameless, source || nameless AS name, shard, CAST(sum(size) AS BIGINT) AS words, max(source_quota) AS seats
+  FROM sharded GROUP BY source, nameless, shard
+),
+shard_won AS ({_sainte_lague_sql("shards", "name", "words", "shard")}),
+quotas AS (
+  SELECT source, nameless, shard, words, blocks, least(coalesce(won, 0), 2 * blocks) AS quota,
+         CAST('0x' || substr(md5('blocks/0/' || source || '/' || shard), 1, 8) AS BIGINT) AS shift
+  FROM (SELECT *, greatest(1, CAST(floor(words / {mixing.BLOCK_WORDS} + 0.5) AS BIGINT)) AS blocks FROM shards)
+  LEFT JOIN shard_won USING (name, shard)
+),
+placed AS (
+  SELECT *, "end" - size AS begin, quota // blocks AS passes, quota % blocks AS extra
+  FROM (SELECT *, CAST(sum(size) OVER (PARTITION BY source, nameless, shard
+          ORDER BY md5('order/0/' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS "end" FROM sharded)
+  JOIN quotas USING (source, nameless, shard)
+)
+SELECT doc_id, size, source_size, target,
+       passes * size + CASE WHEN size = 0 OR extra = 0 THEN 0 ELSE CAST(coalesce(list_sum(list_transform(
+         list_filter(range(((begin + 1) * blocks - 1) // words, ("end" * blocks - 1) // words + 1), lambda j: (j * {mixing.STRIDE} + shift) % blocks < extra),
+         lambda j: least("end", (j + 1) * words // blocks) - greatest(begin, j * words // blocks))), 0) AS BIGINT) END AS taken,
+       CASE WHEN size > 0 THEN passes ELSE 0 END AS passes
+FROM placed
+"""
