@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwatch.llm import exact_dedup, mixing
+from tarnwatch.llm import exact_dedup, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +117,72 @@ SELECT doc_id, size, source_size, target,
        CASE WHEN size > 0 THEN passes ELSE 0 END AS passes
 FROM placed
 """
+
+
+@query
+def op6_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality verdict by rules whose cutoffs are proven on the labelled documents."""
+    judged = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.drop("rejected_by")
+
+
+def _quality_sql(risk: float = 0.005, error: float = 0.05) -> str:
+    cases = ", ".join(
+        f"('{rule}', '{count}', {weight}, '{compared}', {c})"
+        for rule, (count, weight, compared, cutoffs) in quality.RULES.items() for c in cutoffs
+    )
+    value = lambda column: "CASE " + column + " " + " ".join(f"WHEN '{c}' THEN {c}" for c in ("n_symbols", "n_dup_lines", "n_repeat_words", "word_chars", "n_lines", "n_words")) + " END"
+    return rf"""
+WITH split AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+),
+spots AS (
+  SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS before
+  FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) AS found
+        FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM split))
+  WHERE found > 1
+),
+repeats AS (SELECT rid, CAST(sum(least(3, i - coalesce(before, -3))) AS BIGINT) AS n_repeat_words FROM spots GROUP BY rid),
+measured AS (
+  SELECT rid, doc_id, lang, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         len(lines) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM split LEFT JOIN repeats USING (rid)
+),
+cases(rule, counted, weight, compared, cutoff) AS (VALUES {cases}),
+labelled AS (
+  SELECT m.*, good FROM measured m JOIN
+    (SELECT doc_id, min(quality) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id) USING (doc_id)
+),
+tests AS (
+  SELECT coalesce(lang, '') AS stratum, rule, cutoff, count(*) FILTER (WHERE good = 1) AS n,
+         count(*) FILTER (WHERE good = 1 AND weight * ({value("counted")}) > cutoff * ({value("compared")})) AS k,
+         count(*) FILTER (WHERE good = 0 AND weight * ({value("counted")}) > cutoff * ({value("compared")})) AS bad
+  FROM labelled, cases GROUP BY ALL
+),
+proven AS (
+  SELECT *, max(CASE WHEN k > n * {risk} OR n = 0 THEN 1 ELSE list_sum(list_transform(range(0, k + 1),
+           lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk}) + (n - i) * ln(1 - {risk})))) END)
+         OVER (PARTITION BY stratum, rule ORDER BY cutoff DESC) AS tail
+  FROM tests
+),
+chosen AS (
+  SELECT stratum, rule, cutoff FROM proven
+  WHERE tail <= {error} / ({len(quality.RULES)} * (SELECT count(DISTINCT stratum) FROM tests)) AND bad - {quality.PRICE} * k > 0
+  QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY bad - {quality.PRICE} * k DESC, cutoff DESC) = 1
+),
+fired AS (
+  SELECT DISTINCT rid FROM measured m JOIN chosen c ON coalesce(m.lang, '') = c.stratum JOIN cases USING (rule, cutoff)
+  WHERE weight * ({value("counted")}) > cutoff * ({value("compared")})
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND f.rid IS NULL AS kept
+FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured) m LEFT JOIN fired f ON m.rid = f.rid
+"""
+
+
+ORACLES["op6_risk_controlled_quality"] = _quality_sql()
