@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tarnwatch.llm import exact_dedup, mixing, quality
+from tarnwatch.llm import chat, exact_dedup, licenses, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -186,3 +187,94 @@ FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 
 
 ORACLES["op6_risk_controlled_quality"] = _quality_sql()
+
+
+@query
+def op4_diagonal_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every text, by diagonal voting."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def _licenses_sql() -> str:
+    named = [(label, text, True) for label, text in licenses.PHRASES.items()] + [(label, text, False) for label, text in licenses.TEMPLATES]
+    values = ", ".join(f"({i}, '{label}', {phrase}, '{text.lower()}')" for i, (label, text, phrase) in enumerate(named))
+    return rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+),
+templates AS (
+  SELECT template, label, phrase, regexp_extract_all(notice, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM (VALUES {values}) v(template, label, phrase, notice)
+),
+positions AS (
+  SELECT template, label, phrase, len(words) - 1 AS grams, i AS place, words[i] AS w, words[i + 1] AS nxt
+  FROM (SELECT *, unnest(range(1, len(words))) AS i FROM templates)
+),
+hits AS (
+  SELECT t.rid, template, label, phrase, grams, place, pos, pos - place AS diagonal
+  FROM (SELECT rid, i AS pos, words[i] AS w, words[i + 1] AS nxt FROM (SELECT rid, words, unnest(range(1, len(words))) AS i FROM texts)) t
+  JOIN positions USING (w, nxt)
+),
+diagonals AS (
+  SELECT rid, template, label, phrase, grams, diagonal, count(DISTINCT place) AS covered, min(pos) AS first, max(pos) AS last
+  FROM hits GROUP BY ALL
+),
+marked AS (
+  SELECT *, sum(new) OVER (PARTITION BY rid, template ORDER BY diagonal) AS span
+  FROM (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) > {licenses.BAND} THEN 1 ELSE 0 END AS new
+        FROM diagonals WHERE NOT phrase AND covered >= least({licenses.VOTES}, grams))
+),
+spans AS (
+  SELECT rid, label, phrase, diagonal AS start, 1.0::DOUBLE AS score FROM diagonals WHERE phrase AND covered = grams
+  UNION ALL
+  SELECT rid, label, phrase, min(pos), count(DISTINCT place) / grams
+  FROM marked m JOIN hits h USING (rid, template, label, phrase, grams, diagonal)
+  GROUP BY rid, template, label, phrase, grams, span
+  HAVING count(DISTINCT place) / grams >= {licenses.COVERAGE} AND max(pos) - min(pos) <= 2 * (grams + 1)
+),
+found AS (
+  SELECT rid, count(*) FILTER (WHERE phrase) AS n_base, min(start) FILTER (WHERE phrase) AS first_word, max(start) FILTER (WHERE phrase) AS last_word,
+         coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE phrase), '') AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
+  FROM spans GROUP BY rid
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM texts LEFT JOIN found USING (rid)
+"""
+
+
+ORACLES["op4_diagonal_license_scan"] = _licenses_sql()
+
+
+@query
+def op2_typed_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all formatted conversations and of one that quotes control strings."""
+    quoted = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(quoted).alias("text"),
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digests(chat.format_turns(chat.text_parts(turns)))
+
+
+_ESCAPED = r"""regexp_replace(replace({0}, '\', '\\'), '(<)(\|[a-z_]+\|>|/?s>|</?SYS>>)|(\[)(/?INST\])', '\1\3\\\2\4', 'g')"""
+
+ORACLES["op2_typed_chat_format"] = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL
+  SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(24 + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")})) AS BIGINT) AS formatted_chars,
+       CAST(0 AS BIGINT) AS attachments, CAST(0 AS BIGINT) AS extra_tokens
+FROM turns GROUP BY conv_id
+"""
