@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwatch.llm import chat, exact_dedup, licenses, mixing, quality
+from tarnwatch.llm import chat, exact_dedup, html, licenses, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -278,3 +278,10 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(0 AS BIGINT) AS attachments, CAST(0 AS BIGINT) AS extra_tokens
 FROM turns GROUP BY conv_id
 """
+
+
+@query
+def op8_consensus_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by the elected paths of its host."""
+    texts = html.extract(table(spark, sf_dir, "pages"))
+    return texts.withColumn("n_chars", F.length("text").cast("long")).select("page_id", "url", "text", "n_chars", "by_consensus")
