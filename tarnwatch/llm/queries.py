@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwatch.llm import chat, exact_dedup, html, licenses, mixing, quality
+from tarnwatch.llm import chat, exact_dedup, html, licenses, mixing, ngram_join, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -285,3 +285,9 @@ def op8_consensus_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page by the elected paths of its host."""
     texts = html.extract(table(spark, sf_dir, "pages"))
     return texts.withColumn("n_chars", F.length("text").cast("long")).select("page_id", "url", "text", "n_chars", "by_consensus")
+
+
+@query
+def op3_multi_order_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingles overlap by 90 % of their union."""
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"), n=3, percent=90)
