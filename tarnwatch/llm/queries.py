@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwatch.llm import chat, exact_dedup, html, licenses, mixing, ngram_join, quality
+from tarnwatch.llm import chat, exact_dedup, html, licenses, mixing, ngram_join, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -291,3 +291,9 @@ def op8_consensus_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_multi_order_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingles overlap by 90 % of their union."""
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+@query
+def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text by what a toxic dictionary saves when its windows are compressed."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
