@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwatch.llm import chat, exact_dedup, html, licenses, mixing, ngram_join, quality, toxicity
+from tarnwatch.llm import brown, chat, exact_dedup, html, licenses, mixing, ngram_join, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -297,3 +297,9 @@ def op3_multi_order_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every text by what a toxic dictionary saves when its windows are compressed."""
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op1_brown_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every text under Brown class bigrams and under add-one unigrams."""
+    return brown.score(table(spark, sf_dir, "documents"))
