@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwatch.llm import brown, chat, exact_dedup, html, licenses, mixing, ngram_join, quality, toxicity
+from tarnwatch.llm import brown, chat, exact_dedup, html, licenses, mixing, ngram_join, pieces, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -303,3 +303,9 @@ def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_brown_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every text under Brown class bigrams and under add-one unigrams."""
     return brown.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_gumbel_piece_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct sampled piece segmentations of every whole text, with inclusion scores."""
+    return pieces.sampled_pieces(table(spark, sf_dir, "documents"))
