@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwatch.llm.words import n_words
+from tarnwatch.llm.words import WORD, n_words
 from tarnwatch.session import stage
 
 #: Words in a block, the unit of apportionment.
@@ -100,10 +100,10 @@ def mix(
     shard_load: int = SHARD_LOAD,
     seed: int = 0,
 ) -> DataFrame:
-    """One row per input row: ``doc_id, source, size, source_size, target, taken, passes``.
+    """One row per input row: ``doc_id, source, size, source_size, target, taken, passes, parts``.
 
     ``taken`` counts the words the mix takes of the row, repeats included: ``passes`` whole rounds
-    of its shard and the overlap with the shard's selected blocks. It never exceeds ``cap`` times
+    of its shard and the ``parts`` (word numbers) that lie in the shard's selected blocks. It never exceeds ``cap`` times
     ``size``. Block numbers are permuted by an affine map seeded per shard, so reruns agree.
 
     Defined cases: null text has size 0; a null source is a source of its own, last in order; rows
@@ -153,6 +153,10 @@ def mix(
         .withColumn("first", F.expr("((begin + 1) * blocks - 1) div words"))
         .withColumn("last", F.expr("(end * blocks - 1) div words"))
     )
+    chosen = F.expr(f"""CASE WHEN size > 0 AND extra > 0 THEN transform(
+        filter(sequence(first, last), j -> (j * {STRIDE}L + shift) % blocks < extra),
+        j -> struct(cast(greatest(begin, j * words div blocks) - begin as int) AS start,
+                    cast(least(end, (j + 1) * words div blocks) - begin as int) AS stop)) END""")
     overlap = F.expr(
         f"""CASE WHEN size = 0 THEN 0L WHEN extra = 0 THEN 0L ELSE aggregate(sequence(first, last), 0L, (total, j) -> total +
         CASE WHEN (j * {STRIDE}L + shift) % blocks < extra
@@ -162,4 +166,29 @@ def mix(
         "doc_id", "source", "size", "source_size", "target",
         (F.col("passes") * F.col("size") + overlap).alias("taken"),
         F.when(F.col("size") > 0, F.col("passes")).otherwise(0).cast("long").alias("passes"),
+        F.coalesce(chosen, F.expr("cast(array() as array<struct<start:int,stop:int>>)")).alias("parts"),
     )
+
+
+def mixed_documents(documents: DataFrame, **options) -> DataFrame:
+    """The mix itself, with the columns of ``documents``: a row per whole pass, and one for the parts.
+
+    A document taken twice is there twice; the words of its selected blocks, joined by spaces, are a
+    further row. ``n_chars``, if there, is the length of the new text. Documents of which no word is
+    taken are gone, so are those without words. Rows that repeat a ``doc_id`` are told apart by size.
+    """
+    taken = mix(documents, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "passes", "parts")
+    taken = taken.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_size").orderBy("passes", F.size("parts"))))
+    words = F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD), F.lit(0))
+    rows = documents.withColumn("_words", n_words(F.col("text").cast("string")))
+    rows = rows.withColumn("_nth_row", F.row_number().over(Window.partitionBy("doc_id", "_words").orderBy("text")))
+    joined = rows.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")) & (F.col("_nth_row") == F.col("_nth")))
+    copies = F.expr("concat(array_repeat(false, cast(passes as int)), if(size(parts) > 0, array(true), cast(array() as array<boolean>)))")
+    cut = F.concat_ws(" ", F.flatten(F.transform("parts", lambda p: F.slice(words, p["start"] + 1, p["stop"] - p["start"]))))
+    text = F.when(F.col("_partial"), cut).otherwise(F.col("text"))
+    exploded = joined.withColumn("_partial", F.explode(copies)).withColumn("_text", text)
+    columns = [
+        F.col("_text").alias("text") if c == "text" else F.length("_text").cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c)
+        for c in documents.columns
+    ]
+    return exploded.select(*columns)

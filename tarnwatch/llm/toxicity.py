@@ -244,3 +244,21 @@ def score(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, sampl
 
     return rows.withColumn("held_out", held_out()).mapInArrow(
         scores, "doc_id long, held_out boolean, score double, predicted int, windows long, hits long")
+
+
+def without_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: dict[int, int] = SAMPLE) -> DataFrame:
+    """The rows of ``documents``, all columns, that :func:`score` does not predict as toxic.
+
+    Labels decide what is learned, never whether a row stays.
+    """
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    dictionaries, beta = learn(rows, labels, sample)
+    place = documents.columns.index("text")
+
+    def stays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(place).cast(pa.string()).cast(pa.binary()).to_pylist()
+            chance = probability(saved([t or b"" for t in texts], dictionaries), beta)
+            yield batch.filter(pa.array(chance < threshold))
+
+    return documents.mapInArrow(stays, documents.schema)
