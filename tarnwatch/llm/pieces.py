@@ -6,7 +6,7 @@ paths is a node of the search, its key is the largest perturbed value in it, and
 splits it into the path that has this value and the sets that leave this path at one step. The keys
 of those sets are truncated Gumbels, so the first k paths popped are exactly k draws without
 replacement (perturbed A*; Maddison et al. 2014, Kool et al. 2019). The value of the next path,
-kappa, gives the inclusion scores 1 - exp(-exp(log_prob - kappa)).
+kappa, gives the inclusion scores 1 - exp(-exp(log_prob - kappa)), reported as logarithms.
 
 The vocabulary file of a BPE model holds ranks instead of probabilities; pieces get Zipf-Mandelbrot
 probabilities of their rank. Pieces hold white space only in front, so the lattice falls into chunks
@@ -289,15 +289,22 @@ class Search:
         return found
 
 
+def log_inclusion(distance: float) -> float:
+    """log(1 - exp(-exp(distance))), also where the score itself is too small for a double."""
+    if distance < -30:
+        return float(distance)
+    return float(np.log(-np.expm1(-np.exp(min(50.0, distance)))))
+
+
 def chunks_of(text: str) -> list[str]:
     """Chunks of a text with its spaces marked and one in front; an empty text has none."""
     return CHUNK.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
 def sample_batch(words: Vocabulary, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
-    """For each text up to k tuples of piece ids, log probability, perturbed value and inclusion.
+    """For each text up to k tuples of piece ids, log probability, perturbed value, log inclusion.
 
-    A text with fewer than k segmentations gives all of them, with inclusion 1 if no other is left.
+    A text with at most k segmentations gives all of them, surely included.
     """
     out: list[list] = [[] for _ in texts]
     chunks = [chunks_of(t) for t in texts]
@@ -307,19 +314,20 @@ def sample_batch(words: Vocabulary, texts: list[str], keys: np.ndarray, k: int)
         for i, paths in zip(some, search.top(k + 1)):
             kappa = paths[k]["value"] if len(paths) > k else NONE
             for path in paths[:k]:
-                inclusion = 1.0 if np.isneginf(kappa) else float(-np.expm1(-np.exp(min(50.0, path["log_prob"] - kappa))))
+                inclusion = 0.0 if np.isneginf(kappa) else log_inclusion(path["log_prob"] - kappa)
                 out[i].append((words.expand(search.edge_id[path["edges"]][::-1]), path["log_prob"], float(path["value"]), inclusion))
-    return [own or [(np.zeros(0, np.int32), 0.0, 0.0, 1.0)] for own in out]
+    return [own or [(np.zeros(0, np.int32), 0.0, 0.0, 0.0)] for own in out]
 
 
-ENCODED = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids_sha256 string, round_trip boolean"
+ENCODED = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_sha256 string, round_trip boolean"
 
 
 def sampled_pieces(documents: DataFrame, k: int = SAMPLES, model: str = MODEL, seed: int = 0, with_ids: bool = False) -> DataFrame:
     """Up to ``k`` distinct segmentations per row, in order of their perturbed value.
 
     Columns ``doc_id, sample`` (from 1), ``n_pieces, log_prob`` (of the segmentation given the text),
-    ``perturbed, inclusion, ids_sha256`` (of the little-endian 32-bit ids), ``round_trip`` (decoding
+    ``perturbed, log_inclusion`` (logarithm of the
+    inclusion score), ``ids_sha256`` (of the little-endian 32-bit ids), ``round_trip`` (decoding
     gives back the text) and, if asked for, ``ids``.
 
     Defined cases: null or empty text has one segmentation without pieces; a text with fewer than k
@@ -339,8 +347,8 @@ def sampled_pieces(documents: DataFrame, k: int = SAMPLES, model: str = MODEL, s
             rows = []
             for doc_id, text, own in zip(ids, texts, sample_batch(words, texts, keys, k)):
                 plain = text.replace(SPACE, " ")
-                for number, (pieces, log_prob, value, inclusion) in enumerate(own, 1):
-                    row = (doc_id, number, len(pieces), log_prob, value, inclusion, hashlib.sha256(pieces.astype("<i4").tobytes()).hexdigest(), words.decode(pieces) == plain)
+                for number, (pieces, log_prob, value, included) in enumerate(own, 1):
+                    row = (doc_id, number, len(pieces), round(log_prob, 6), round(value, 6), round(included, 6), hashlib.sha256(pieces.astype("<i4").tobytes()).hexdigest(), words.decode(pieces) == plain)
                     rows.append((*row, pieces) if with_ids else row)
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names)
 
