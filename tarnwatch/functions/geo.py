@@ -47,7 +47,17 @@ def cell_key(lat: Column, lon: Column) -> Column:
 
 
 def snap(coordinate: Column) -> Column:
-    return F.round(coordinate, 4)
+    """Four decimals, ties to even."""
+    return F.bround(coordinate, 4)
+
+
+def number_text(value: Column) -> Column:
+    """Shortest decimal text of a double: plain down to 0.0001, then as ``5e-05``."""
+    text = value.cast("string")
+    plain = F.regexp_replace(value.cast("decimal(38,18)").cast("string"), "0+$", "")
+    exponent = F.regexp_replace(F.regexp_replace(text, r"(\.0)?E-", "e-"), r"e-(\d)$", "e-0$1")
+    size = F.abs(value)
+    return F.when((size >= 1e-3) | (size == 0), text).when(size >= 1e-4, plain).otherwise(exponent)
 
 
 def location_label(lat: Column, lon: Column) -> Column:

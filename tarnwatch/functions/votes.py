@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tarnwatch.functions.geo import number_text, snap
+
 SEVERITY_RANK = {"none": 0, "moderate": 1, "severe": 2, "critical": 3}
 
 
@@ -78,6 +80,6 @@ def event_id(region: Column, date: Column, lat: Column, lon: Column) -> Column:
         "_",
         region.cast("string"),
         F.date_format(date, "yyyy-MM-dd"),
-        F.round(lat, 4).cast("string"),
-        F.round(lon, 4).cast("string"),
+        number_text(snap(lat)),
+        number_text(snap(lon)),
     )

@@ -38,12 +38,8 @@ def fixed_chunks(documents: DataFrame, size: int = CHUNK_SIZE, overlap: int = CH
     """Windows of ``size`` characters every ``size - overlap`` characters, over the whole text."""
     stride = size - overlap
     starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(stride))
-    return (
-        documents.where(F.length("text") > 0)
-        .select("*", F.posexplode(starts).alias("chunk_index", "_start"))
-        .withColumn("chunk", F.substring(F.col("text"), F.col("_start") + 1, F.lit(size)))
-        .drop("_start")
-    )
+    cut = F.transform(starts, lambda start: F.substring(F.col("text"), start + 1, F.lit(size)))
+    return documents.where(F.length("text") > 0).select("*", F.posexplode(cut).alias("chunk_index", "chunk"))
 
 
 def _cut(text: str, mark: str) -> list[str]:

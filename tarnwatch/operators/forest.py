@@ -118,9 +118,15 @@ def _region_sample(rows: DataFrame, rows_wanted: int, seed: int) -> DataFrame:
 
 
 def fit_forests(
-    features: DataFrame, inputs: list[str], trees: int = 100, sample_size: int = 256, seed: int = 42
+    features: DataFrame, inputs: list[str], trees: int = 100, sample_size: int = 256, seed: int = 42,
+    pool: int | None = None,
 ) -> DataFrame:
-    """One row per region holding its packed trees, grown from a bounded sample of the region."""
+    """One row per region holding its packed trees, grown from a bounded sample of the region.
+
+    ``pool`` bounds the rows of a region that the fit sees, picked by hash from all of them; each
+    tree draws its ``sample_size`` rows from it. The default, ``trees * sample_size``, gives every
+    tree as many rows of its own as it draws. Scores and thresholds always cover all rows.
+    """
     region = features.schema["region_id"]
     schema = T.StructType([
         T.StructField("region_id", region.dataType),
@@ -145,7 +151,7 @@ def fit_forests(
     rows = features.select(
         "region_id", "cell_id", "date", *[F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c) for c in inputs]
     )
-    sampled = _region_sample(rows, trees * sample_size, seed)
+    sampled = _region_sample(rows, pool or trees * sample_size, seed)
     return sampled.groupBy("region_id").applyInPandas(fit, schema)
 
 

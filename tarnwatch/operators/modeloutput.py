@@ -40,12 +40,12 @@ def report_json(raw: Column) -> Column:
     """The JSON text inside raw output, or NULL.
 
     Code fences are stripped; if the rest is not JSON, the span from the first opening to the last
-    closing brace is tried.
+    closing brace is tried. Text that is JSON but not an object is no report.
     """
     unfenced = F.regexp_replace(raw, r"```(?:json)?\s*", "")
     cleaned = F.regexp_replace(unfenced, r"^\s+|[\s`]+$", "")
     braces = F.regexp_extract(cleaned, r"(?s)\{.*\}", 0)
-    return F.when(F.try_parse_json(cleaned).isNotNull(), cleaned).when(
+    return F.when(F.try_parse_json(cleaned).isNotNull() & cleaned.startswith("{"), cleaned).when(
         F.try_parse_json(braces).isNotNull(), braces
     )
 

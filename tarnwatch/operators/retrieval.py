@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tarnwatch.functions.geo import number_text
 from tarnwatch.operators.nearby import rank_within
+from tarnwatch.session import stage
 
 TOP_K = 3
 CONTEXT_CHARS = 8000
@@ -22,11 +24,13 @@ SEPARATOR = "\n---\n"
 # Query sets up to this size are shared with every task; larger ones are scored in blocks.
 QUERY_BYTES = 64 << 20
 DOCUMENTS_PER_BLOCK = 100_000
+# Distances a task holds at once: queries and documents are multiplied in tiles of this many cells.
+TILE_CELLS, TILE_QUERIES = 1 << 22, 4096
 
 
 def retrieval_queries(events: DataFrame) -> DataFrame:
     """Four query texts per event, for four angles of attribution."""
-    where = F.concat(F.col("lat").cast("string"), F.lit(", "), F.col("lon").cast("string"))
+    where = F.concat(number_text(F.col("lat")), F.lit(", "), number_text(F.col("lon")))
     region = F.replace(F.col("region_id").cast("string"), F.lit("_"), F.lit(" "))
     texts = F.array(
         F.concat(F.lit("pollution sources near "), where, F.lit(" water contamination")),
@@ -74,12 +78,14 @@ def vector_topk(
 
     Exact: every document is scored. Tasks multiply their documents with a matrix of queries and
     emit only their own ``k`` best per query and collection, so pairs are never materialised; a
-    ranked filter merges the task results. A query set of at most ``query_bytes`` is shared with
+    ranked filter merges the task results. The product is made in tiles of fixed size, so a task's
+    memory does not depend on how many queries or documents meet in it. A query set of at most ``query_bytes`` is shared with
     all tasks. A larger one never leaves the executors: queries and documents are cut into blocks
     and every pair of blocks is scored on its own.
     """
-    prepared = queries.where(F.col("embedding").isNotNull()).select(
-        *query_id, F.col("embedding").cast("array<double>")
+    prepared = stage(
+        queries.where(F.col("embedding").isNotNull()).select(*query_id, F.col("embedding").cast("array<double>")),
+        "retrieval-queries",
     )
     documents = corpus.where(F.col("embedding").isNotNull()).select(
         "doc_id", per, F.col("embedding").cast("array<double>")
@@ -112,17 +118,23 @@ def _block_scorer(schema: T.StructType, ids: list[str], per: str, k: int):
                 continue
             doc = np.array(batch.column("doc_id").to_pylist(), dtype=object)
             group = pd.Series(batch.column(per).to_pylist())
-            distance = 1.0 - _unit(_matrix(batch.column("embedding"))) @ vectors.T
-            for name, rows in group.groupby(group, sort=False).indices.items():
-                values = distance[rows]
-                names = np.broadcast_to(doc[rows][:, None], values.shape)
-                if name in held:
-                    names = np.concatenate([names, held[name][0]])
-                    values = np.concatenate([values, held[name][1]])
-                held[name] = _smallest(names, values, k)
+            units = _unit(_matrix(batch.column("embedding")))
+            members = group.groupby(group, sort=False).indices.items()
+            for first in range(0, len(vectors), TILE_QUERIES):
+                tile = vectors[first:first + TILE_QUERIES].T
+                rows_per_tile = max(1, TILE_CELLS // tile.shape[1])
+                for name, all_rows in members:
+                    for start in range(0, len(all_rows), rows_per_tile):
+                        rows = all_rows[start:start + rows_per_tile]
+                        values = 1.0 - units[rows] @ tile
+                        names = np.broadcast_to(doc[rows][:, None], values.shape)
+                        if (name, first) in held:
+                            names = np.concatenate([names, held[name, first][0]])
+                            values = np.concatenate([values, held[name, first][1]])
+                        held[name, first] = _smallest(names, values, k)
         pieces = [pa.table({f.name: pa.array([], t) for f, t in zip(schema.fields, arrow_types)})]
-        for name, (names, values) in held.items():
-            columns = np.tile(np.arange(values.shape[1]), len(values))
+        for (name, first), (names, values) in held.items():
+            columns = np.tile(np.arange(first, first + values.shape[1]), len(values))
             taken = queries.select(ids).take(pa.array(columns))
             found = [pa.array([name] * len(columns)), pa.array(names.ravel().tolist()), pa.array(values.ravel())]
             arrays = [*(taken[c].combine_chunks() for c in ids), *found]

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwatch.functions import votes
 from tarnwatch.functions.text import fixed
+from tarnwatch.operators.carry import carry_forward
 from tarnwatch.operators.detect import anomalies, run_pipeline
 from tarnwatch.operators.nearby import within_box, within_radius
+from tarnwatch.schemas import NUMERIC_INPUTS
 from tarnwatch.session import stage
 
 MATCH_DAYS = 30
@@ -44,20 +46,34 @@ def documented_events(spark) -> DataFrame:
 
 
 def event_observations(events: DataFrame, observations: DataFrame) -> DataFrame:
-    """Observations within half a degree and 60 days of each event, one region per event."""
+    """Observations within half a degree and 60 days of each event, one region per event.
+
+    Stored regions overlap, so a cell may be stored twice for a date; the row that comes first in
+    the order of its values counts.
+    """
     requests = events.select(
         F.col("name").alias("_event"), F.col("lat").alias("request_lat"),
         F.col("lon").alias("request_lon"), F.col("date").alias("request_date"),
     )
-    return (
+    windowed = (
         within_box(observations.drop("region_id"), requests, 0.5, WINDOW_DAYS)
         .withColumnRenamed("_event", "region_id")
         .drop("request_lat", "request_lon", "request_date")
     )
+    key = ["region_id", "cell_id", "date"]
+    first = Window.partitionBy(*key).orderBy(*(c for c in sorted(windowed.columns) if c not in key))
+    return windowed.withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_place")
+
+
+def normalised(windowed: DataFrame) -> DataFrame:
+    """Numeric inputs filled from the row before within the event; rows that still lack one go."""
+    inputs = [c for c in NUMERIC_INPUTS if c in windowed.columns]
+    return carry_forward(windowed, ["region_id"], ["date", "cell_id"], inputs).dropna(subset=inputs)
 
 
 def with_enough_rows(windowed: DataFrame) -> DataFrame:
-    """Rows of the events that have at least five."""
+    """Normalised rows of the events that have at least five of them."""
+    windowed = normalised(windowed)
     counts = windowed.groupBy("region_id").agg(F.count(F.lit(1)).alias("_n"))
     return windowed.join(counts.where(F.col("_n") >= MIN_ROWS).drop("_n"), "region_id")
 
@@ -102,17 +118,22 @@ def event_maxima(detections: DataFrame, key: str = "region_id") -> DataFrame:
 
 
 def event_details(events: DataFrame, windowed: DataFrame, detections: DataFrame) -> DataFrame:
-    """One row per event with maxima, row count, match and error."""
+    """One row per event with maxima, row count, match and error.
+
+    ``data_points`` counts the rows found, the guard those left after normalising.
+    """
     points = windowed.groupBy(F.col("region_id").alias("name")).agg(F.count(F.lit(1)).alias("data_points"))
-    n = F.coalesce("data_points", F.lit(0))
+    usable = normalised(windowed).groupBy(F.col("region_id").alias("name")).agg(F.count(F.lit(1)).alias("_usable"))
+    n, left = F.coalesce("data_points", F.lit(0)), F.coalesce("_usable", F.lit(0))
     error = (
         F.when(n == 0, "No satellite data available for this location/date")
-        .when(n < MIN_ROWS, F.concat(F.lit("Insufficient data: only "), n.cast("string"), F.lit(" points")))
+        .when(left < MIN_ROWS, F.concat(F.lit("Insufficient data: only "), left.cast("string"), F.lit(" points")))
         .when(F.col("max_z_score").isNull(), "Feature engineering produced empty result")
     )
     joined = (
         event_matches(events, detections)
         .join(points, "name", "left")
+        .join(usable, "name", "left")
         .join(event_maxima(detections), "name", "left")
     )
     return joined.select(

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PROPERTIES = ["date", "severity", "confidence", "chl_a", "baseline", "z_score", "weather_context", "event_id"]
-FEATURES_PER_COLLECTION = 10_000
 
 
 def feature(lon: Column, lat: Column) -> Column:
@@ -17,22 +16,16 @@ def feature(lon: Column, lat: Column) -> Column:
     )
 
 
-def feature_collections(features: DataFrame, per_collection: int = FEATURES_PER_COLLECTION) -> DataFrame:
-    """Feature collections of each region as JSON text.
+def feature_collections(features: DataFrame) -> DataFrame:
+    """Feature collections as JSON text, one per region and date.
 
-    A region with more features than fit one document is spread over numbered pages, so no row
-    grows with the region.
+    The unit is a key of the data, whatever its size: one date of a region has at most one feature
+    per grid cell, so no row grows with the history of a region.
     """
-    pages = features.groupBy("region_id").agg(
-        F.ceil(F.count(F.lit(1)) / per_collection).cast("int").alias("n_pages")
-    )
-    paged = features.join(pages, "region_id").withColumn(
-        "page", F.pmod(F.xxhash64("event_id"), F.col("n_pages")).cast("int")
-    )
     collected = F.array_sort(
         F.collect_list(F.struct("event_id", feature(F.col("lon"), F.col("lat")).alias("feature")))
     )
-    return paged.groupBy("region_id", "page").agg(
+    return features.groupBy("region_id", "date").agg(
         F.count(F.lit(1)).alias("n_features"),
         F.to_json(
             F.struct(

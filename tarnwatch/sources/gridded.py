@@ -65,7 +65,8 @@ def read_gridded_csv(spark: SparkSession, path: str, value_names: Sequence[str]
     Everything is read as text. The units row needs no special case: its date does not parse, so
     cleaning drops it in every file of the folder.
     """
-    raw = spark.read.option("header", True).csv(path)
+    # files whose header differs from the first one's fail instead of being read by position
+    raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
     return clean(normalize_headers(raw, value_names))
 
 

@@ -81,6 +81,25 @@ def exact_topk(queries, corpus, k):
     return want
 
 
+def test_scores_are_made_in_tiles_of_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    rng = np.random.default_rng(4)
+    schema = T.StructType([T.StructField("query_id", T.IntegerType()), T.StructField("collection", T.StringType()),
+                           T.StructField("doc_id", T.LongType()), T.StructField("distance", T.DoubleType())])
+    queries = pa.table({"query_id": pa.array(range(9000), pa.int32()), "embedding": list(rng.normal(size=(9000, 8)))})
+    documents = pa.table({"doc_id": range(9000), "collection": ["a", "b"] * 4500, "embedding": list(rng.normal(size=(9000, 8)))})
+    tracemalloc.start()
+    found = retrieval._block_scorer(schema, ["query_id"], "collection", 3)(queries, [documents])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == 9000 * 2 * 3
+    assert peak < 0.5 * 9000 * 9000 * 8  # one dense matrix would be 648 MB
+
+
 @pytest.mark.parametrize("query_bytes", [64 << 20, 200])
 def test_vector_topk_is_exact(spark, query_bytes, monkeypatch):
     monkeypatch.setattr(retrieval, "DOCUMENTS_PER_BLOCK", 150)

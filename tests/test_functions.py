@@ -193,3 +193,12 @@ def test_points_of_a_bin_are_close(spark):
     other = points.select("bin", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
     far = points.join(other, "bin").agg(F.max(geo.haversine_km(*map(F.col, ("lat", "lon", "lat2", "lon2"))))).first()[0]
     assert far <= size * 2**0.5
+
+
+def test_number_text_is_the_shortest_decimal(spark):
+    from tarnwatch.functions.geo import number_text, snap
+
+    values = [0.0005, 0.0001, 0.00005, 0.000012, 1e-10, 12.5, -0.0005, 0.0, 41.6, -120.25]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", number_text(F.col("v")).alias("t")).collect()
+    assert [r["t"] for r in rows] == [repr(r["v"]) for r in rows]
+    assert spark.createDataFrame([(41.60625,), (41.60635,)], "v double").select(snap(F.col("v"))).collect() == [(41.6062,), (41.6064,)]

@@ -106,13 +106,13 @@ def test_map_elements(spark, tmp_path):
     assert rows[0]["tags"]["name:en"] == "B" and rows[1]["center"]["lon"] == 4.0
 
 
-def test_geojson_pages(spark, tmp_path):
-    rows = [("r", 1.0 + i, 2.0, f"e{i}") for i in range(25)]
-    table = spark.createDataFrame(rows, "region_id string, lon double, lat double, event_id string")
+def test_geojson_collections_by_date(spark, tmp_path):
+    rows = [("r", 1.0 + i, 2.0, f"e{i}", f"2020-01-0{1 + i % 3}") for i in range(25)]
+    table = spark.createDataFrame(rows, "region_id string, lon double, lat double, event_id string, date string")
     for name in geojson.PROPERTIES[:-1]:
-        table = table.withColumn(name, F.lit("x"))
-    pages = geojson.feature_collections(table, per_collection=10).collect()
-    assert sum(p["n_features"] for p in pages) == 25 and len(pages) > 1
+        table = table if name == "date" else table.withColumn(name, F.lit("x"))
+    pages = geojson.feature_collections(table).collect()
+    assert sorted((p["date"], p["n_features"]) for p in pages) == [("2020-01-01", 9), ("2020-01-02", 8), ("2020-01-03", 8)]
     seen = {f["properties"]["event_id"] for p in pages for f in json.loads(p["geojson"])["features"]}
     assert seen == {f"e{i}" for i in range(25)}
     geojson.write_feature_lines(table, str(tmp_path / "lines"))
