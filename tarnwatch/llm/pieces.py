@@ -10,8 +10,8 @@ kappa, gives the inclusion scores 1 - exp(-exp(log_prob - kappa)), reported as l
 
 The vocabulary file of a BPE model holds ranks instead of probabilities; pieces get Zipf-Mandelbrot
 probabilities of their rank. Pieces hold white space only in front, so the lattice falls into chunks
-at white space, and equal chunks of a batch share one lattice. Lattices are built and paths drawn for
-all texts of a batch together, with numpy. Random numbers are hashes of seed, row key, draw and place in the text, so
+at white space, and the lattice of a chunk is built once per task while it fits. Lattices are built
+and paths drawn for all texts of a batch together, with numpy. Random numbers are hashes of seed, row key, draw and place in the text, so
 results don't depend on how rows are spread over tasks.
 """
 
@@ -37,6 +37,8 @@ SAMPLES = 2
 SHIFT = 10.0
 #: Texts and characters handled together.
 TEXTS, CHARS = 1200, 3_000_000
+#: Edges of the lattices a task keeps (24 bytes each).
+MOST_EDGES = 4_000_000
 #: Base of the prefix hashes.
 BASE = 0x9E3779B97F4A7C15
 SPACE = "▁"
@@ -119,14 +121,16 @@ class Vocabulary:
         width = 1 + (code[lone] > 0x7F) + (code[lone] > 0x7FF) + (code[lone] > 0xFFFF)
         weight = np.concatenate((self.log_probability[ids[:len(ids) - len(lone)]], width * np.log(self.byte_probability)))
         level = ends - first[ends]
-        order = np.lexsort((ends, level))
+        order = np.argsort(level * len(code) + ends)
         starts, ends, ids, weight, level = (x[order] for x in (starts, ends, ids, weight, level))
         edges = np.bincount(ends, minlength=len(code))
         mass, part = np.zeros(len(code)), np.empty(len(starts))
-        opens = starts == first[starts]
+        origin = first[starts]
+        opens = starts == origin
+        before = np.maximum(starts - 1, 0)
         cuts = np.concatenate((np.flatnonzero(np.diff(level, prepend=-1)), [len(level)]))
         for low, high in zip(cuts, cuts[1:]):
-            value = weight[low:high] + np.where(opens[low:high], 0.0, mass[starts[low:high] - 1])
+            value = weight[low:high] + np.where(opens[low:high], 0.0, mass[before[low:high]])
             bounds = np.flatnonzero(np.diff(ends[low:high], prepend=-1))
             counts = np.diff(np.append(bounds, high - low))
             most = np.maximum.reduceat(value, bounds)
@@ -134,8 +138,8 @@ class Vocabulary:
             total = np.add.reduceat(value, bounds)
             mass[ends[low:high][bounds]] = most + np.log(total)
             part[low:high] = value / np.repeat(total, counts)
-        order = np.lexsort((-part, ends))  # likely edges first
-        return length, edges, (starts - first[starts])[order], ids[order], part[order]
+        order = np.argsort(ends - 0.999 * part)  # by end, likely edges first
+        return length, edges, (starts - origin)[order], ids[order], part[order]
 
     def expand(self, ids: np.ndarray) -> np.ndarray:
         """Piece ids with characters that have no piece written as bytes."""
@@ -174,30 +178,55 @@ def uniform(keys: np.ndarray, number: int, place: np.ndarray, position: np.ndarr
     return ((_mixed(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+class Lattices:
+    """Lattices of the chunks a task has met, as flat arrays; emptied when they outgrow a bound."""
+
+    def __init__(self, words: Vocabulary, most_edges: int = MOST_EDGES):
+        self.words, self.most_edges = words, most_edges
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.length, self.base, self.edge_end, self.edge_first = (np.zeros(0, np.int64) for _ in range(4))
+        self.edge_start, self.edge_id = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.part, self.upto = np.zeros(0), np.zeros(0)
+
+    def add(self, chunks: set[str]) -> None:
+        """Makes sure that all of these chunks are there."""
+        if len(self.part) > self.most_edges:
+            self.clear()
+        new = [c for c in chunks if c not in self.index]
+        if not new:
+            return
+        length, ends, start, ids, part = self.words.lattices(new)
+        groups, edges = len(self.edge_end), len(self.part)
+        self.index.update(zip(new, range(len(self.length), len(self.length) + len(new))))
+        last = np.cumsum(ends)
+        group = np.repeat(np.arange(len(ends)), ends)
+        running = np.cumsum(part)
+        before = np.concatenate(([0.0], running))[last - ends]
+        upto = groups + group + np.minimum(running - before[group], 1.0)
+        upto[last - 1] = groups + np.arange(len(ends)) + 1.0
+        for name, more in (("length", length), ("base", groups + np.cumsum(length) - length), ("edge_end", edges + last), ("edge_first", edges + last - ends),
+                           ("edge_start", start.astype(np.int32)), ("edge_id", ids.astype(np.int32)), ("part", part), ("upto", upto)):
+            setattr(self, name, np.concatenate((getattr(self, name), more)))
+
+
 class Search:
     """Perturbed A* over the lattices of a batch of texts (all with at least one chunk)."""
 
-    def __init__(self, words: Vocabulary, chunks: list[list[str]], keys: np.ndarray):
+    def __init__(self, lattices: Lattices, chunks: list[list[str]], keys: np.ndarray):
         self.keys = keys
-        distinct: dict[str, int] = {}
+        lattices.add({c for own in chunks for c in own})
+        index = lattices.index
         # chunks run backwards within a text, as paths are drawn from the end
-        flat = [distinct.setdefault(c, len(distinct)) for own in chunks for c in reversed(own)]
+        self.chunk = np.array([index[c] for own in chunks for c in reversed(own)], np.int64)
         counts = np.array([len(own) for own in chunks])
         self.bounds = np.concatenate(([0], np.cumsum(counts)))
-        self.chunk = np.array(flat, np.int64)
         self.text = np.repeat(np.arange(len(chunks)), counts)
-        self.place = np.arange(len(flat)) - self.bounds[self.text]
-        self.length, ends, self.edge_start, self.edge_id, self.part = words.lattices(list(distinct))
-        self.base = np.cumsum(self.length) - self.length
-        self.edge_end = np.cumsum(ends)
-        self.edge_first = self.edge_end - ends
-        with np.errstate(divide="ignore"):
-            self.log_part, self.log_rest = np.log(self.part), np.log1p(-np.minimum(self.part, 1.0))
-        group = np.repeat(np.arange(len(ends)), ends)
-        running = np.cumsum(self.part)
-        before = np.concatenate(([0.0], running))[self.edge_first]
-        self.upto = group + np.minimum(running - before[group], 1.0)
-        self.upto[self.edge_end - 1] = np.arange(len(ends)) + 1.0
+        self.place = np.arange(len(self.chunk)) - self.bounds[self.text]
+        for name in ("length", "base", "edge_end", "edge_first", "edge_start", "edge_id", "part", "upto"):
+            setattr(self, name, getattr(lattices, name))
 
     def edges_into(self, occurrence: int, position: int) -> tuple[int, int]:
         group = int(self.base[self.chunk[occurrence]]) + position - 1
@@ -245,10 +274,12 @@ class Search:
             occurrence = np.repeat(np.arange(len(counts)), counts)
             cut = np.searchsorted(occurrence, self.bounds)
             text = self.text[occurrence]
-            running = np.concatenate(([0.0], np.cumsum(self.log_part[edges])))
+            with np.errstate(divide="ignore"):
+                parts, rest = self.part[edges], np.log1p(-np.minimum(self.part[edges], 1.0))
+            running = np.concatenate(([0.0], np.cumsum(np.log(parts))))
             before = running[:-1] - running[cut[text]] + start[text]
             u = uniform(self.keys[text], number, self.place[occurrence], ends + (1 << 40))
-            following = self.truncated(before + self.log_rest[edges], value[text], u)
+            following = self.truncated(before + rest, value[text], u)
             log_prob = running[cut[1:]] - running[cut[:-1]] + start
             for t in np.flatnonzero(~np.isneginf(value)):
                 own = slice(cut[t], cut[t + 1])
@@ -283,7 +314,7 @@ class Search:
                 u = uniform(self.keys[t:t + 1], number, place, ones[:1] * end + (3 << 40))
                 old["next"][step] = self.truncated(np.array([location]), value[t], u)[0]
                 fixed[t] = (old, step, edge)
-                start[t] = old["before"][step] + self.log_part[edge]
+                start[t] = old["before"][step] + np.log(self.part[edge])
                 position[where + 1:self.bounds[t + 1]] = self.length[self.chunk[where + 1:self.bounds[t + 1]]]
                 position[where] = self.edge_start[edge]
         return found
@@ -301,7 +332,7 @@ def chunks_of(text: str) -> list[str]:
     return CHUNK.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
-def sample_batch(words: Vocabulary, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
+def sample_batch(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to k tuples of piece ids, log probability, perturbed value, log inclusion.
 
     A text with at most k segmentations gives all of them, surely included.
@@ -310,12 +341,12 @@ def sample_batch(words: Vocabulary, texts: list[str], keys: np.ndarray, k: int)
     chunks = [chunks_of(t) for t in texts]
     some = [i for i, own in enumerate(chunks) if own]
     if some:
-        search = Search(words, [chunks[i] for i in some], keys[some])
+        search = Search(lattices, [chunks[i] for i in some], keys[some])
         for i, paths in zip(some, search.top(k + 1)):
             kappa = paths[k]["value"] if len(paths) > k else NONE
             for path in paths[:k]:
                 inclusion = 0.0 if np.isneginf(kappa) else log_inclusion(path["log_prob"] - kappa)
-                out[i].append((words.expand(search.edge_id[path["edges"]][::-1]), path["log_prob"], float(path["value"]), inclusion))
+                out[i].append((lattices.words.expand(search.edge_id[path["edges"]][::-1]), path["log_prob"], float(path["value"]), inclusion))
     return [own or [(np.zeros(0, np.int32), 0.0, 0.0, 0.0)] for own in out]
 
 
@@ -341,11 +372,12 @@ def sampled_pieces(documents: DataFrame, k: int = SAMPLES, model: str = MODEL, s
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(model)
+        lattices = Lattices(words)
 
         def send(ids: list, texts: list[str]) -> pa.RecordBatch:
             keys = np.array([xxhash.xxh3_64_intdigest(f"{seed}/{'' if i is None else i}") for i in ids], np.uint64)
             rows = []
-            for doc_id, text, own in zip(ids, texts, sample_batch(words, texts, keys, k)):
+            for doc_id, text, own in zip(ids, texts, sample_batch(lattices, texts, keys, k)):
                 plain = text.replace(SPACE, " ")
                 for number, (pieces, log_prob, value, included) in enumerate(own, 1):
                     row = (doc_id, number, len(pieces), round(log_prob, 6), round(value, 6), round(included, 6), hashlib.sha256(pieces.astype("<i4").tobytes()).hexdigest(), words.decode(pieces) == plain)

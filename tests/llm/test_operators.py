@@ -426,7 +426,7 @@ def test_sampling_without_replacement_has_the_right_law():
     law = {ids: p / total for ids, p in found.items()}
     draws = 20_000
     keys = np.random.default_rng(3).integers(0, 2**63, draws).astype(np.uint64)
-    batch = pieces.sample_batch(words, [text] * draws, keys, 2)
+    batch = pieces.sample_batch(pieces.Lattices(words), [text] * draws, keys, 2)
     first, both = Counter(tuple(own[0][0].tolist()) for own in batch), Counter(tuple(o[0].tolist()) for own in batch for o in own)
     for ids in sorted(law, key=law.get)[-4:]:
         included = law[ids] + sum(p * law[ids] / (1 - p) for other, p in law.items() if other != ids)
