@@ -8,23 +8,27 @@ from pyspark.sql import functions as F
 from tarnwatch import schemas
 from tarnwatch.operators.nearby import rank_within
 
-# Newest products looked at per region and catalog; dates that make A sufficient.
+# Fixed values, defaults of product_dates: newest products looked at per region and catalog; dates
+# that make A sufficient.
 NEWEST_A, NEWEST_B = 200, 100
 ENOUGH_DATES = 10
 PRODUCT_TYPE_B = "OL_2_WFR___"
 
 
-def read_catalog_a(spark: SparkSession, path: str) -> DataFrame:
-    """Products of catalog A: one row per feature with its timestamp text."""
-    raw = spark.read.schema(schemas.CATALOG_A).option("multiLine", True).json(path)
+def read_catalog_a(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Products of catalog A: one row per feature with its timestamp text.
+
+    ``multi_line=False`` reads one response per line, which splits large files.
+    """
+    raw = spark.read.schema(schemas.CATALOG_A).option("multiLine", multi_line).json(path)
     return raw.select("region_id", F.explode("features").alias("f")).select(
         "region_id", F.col("f.id").alias("product_id"), F.col("f.properties.datetime").alias("product_time")
     )
 
 
-def read_catalog_b(spark: SparkSession, path: str) -> DataFrame:
-    """Products of catalog B, of the water product type."""
-    raw = spark.read.schema(schemas.CATALOG_B).option("multiLine", True).json(path)
+def read_catalog_b(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Products of catalog B, of the water product type; ``multi_line`` as for catalog A."""
+    raw = spark.read.schema(schemas.CATALOG_B).option("multiLine", multi_line).json(path)
     return (
         raw.select("region_id", F.explode("value").alias("v"))
         .where(F.col("v.ProductType") == PRODUCT_TYPE_B)
@@ -45,15 +49,21 @@ def newest(products: DataFrame, limit: int, since: str | None = None) -> DataFra
     return rows.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
 
 
-def product_dates(catalog_a: DataFrame, catalog_b: DataFrame, since: str | None = None) -> DataFrame:
-    """Distinct product dates: those of A, plus those of B where A has fewer than ten."""
+def product_dates(
+    catalog_a: DataFrame, catalog_b: DataFrame, since: str | None = None,
+    newest_a: int = NEWEST_A, newest_b: int = NEWEST_B, enough: int = ENOUGH_DATES,
+) -> DataFrame:
+    """Distinct product dates: those of A, plus those of B where A has fewer than ``enough``.
+
+    Only the ``newest_a`` and ``newest_b`` newest products of a region are looked at.
+    """
 
     def dates(products: DataFrame, limit: int) -> DataFrame:
         kept = newest(products, limit, since).where(F.coalesce("product_time", F.lit("")) != "")
         return kept.select("region_id", F.substring("product_time", 1, 10).alias("date")).distinct()
 
-    a, b = dates(catalog_a, NEWEST_A), dates(catalog_b, NEWEST_B)
-    sufficient = a.groupBy("region_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= ENOUGH_DATES)
+    a, b = dates(catalog_a, newest_a), dates(catalog_b, newest_b)
+    sufficient = a.groupBy("region_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= enough)
     added = b.join(sufficient, "region_id", "left_anti")
     return a.unionByName(added).distinct().withColumn("date", F.to_date("date"))
 

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from tarnwatch import schemas
 
 
-def read_elements(spark: SparkSession, path: str) -> DataFrame:
-    """Elements of stored map responses, one row each."""
-    raw = spark.read.schema(schemas.MAP_RESPONSE).option("multiLine", True).json(path)
+def read_elements(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Elements of stored map responses, one row each.
+
+    ``multi_line=False`` reads one response per line, which splits large files.
+    """
+    raw = spark.read.schema(schemas.MAP_RESPONSE).option("multiLine", multi_line).json(path)
     return raw.select(F.explode("elements").alias("e")).select(
         F.col("e.id").alias("element_id"), F.col("e.type").alias("element_type"),
         "e.lat", "e.lon", "e.center", "e.tags",
