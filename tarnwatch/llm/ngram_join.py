@@ -12,9 +12,10 @@ words of large groups of copies come last, so they only link texts that consist
 Sets that are equal are one class from the start. Between classes, the prefix tokens of the first
 order propose pairs. First every token offers its members to one pivot (the member with the largest
 share of heavy tokens, usually the common origin), which costs one pair per member instead of all
-pairs. Classes found linked become one component, and a token whose members all belong to
-one component has nothing left to offer. After that, only pairs across components are left, and
-all of these are compared. No candidate or partner is capped.
+pairs. Pairs whose odd sketches differ in more bits than linked sets may differ in tokens are
+dropped before their prefixes under the other orders are looked up. Classes found linked become one component, and a token whose members all belong to
+one component has nothing left to offer. After that, only pairs across components are left;
+all of these are compared unless other pairs have linked their components already. No candidate or partner is capped.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwatch.llm.bits import bit_filter, passes
+from tarnwatch.llm.scratch import discard
 from tarnwatch.session import stage
 
 #: log2 of the number of counters in the table of token weights (4 MiB as 64-bit counters).
@@ -92,6 +94,16 @@ def prefix(grams: np.ndarray, classes: np.ndarray, percent: int, order: int) ->
     return grams[np.argpartition(rank, length - 1)[:length]]
 
 
+#: Bits of an odd sketch: each is the parity of the tokens that fall on it.
+SKETCH_BITS = 512
+
+
+def odd_sketch(grams: np.ndarray) -> np.ndarray:
+    """Parities as 64-bit words. Two sketches differ in at most as many bits as the sets in tokens."""
+    parity = np.bincount((mix(grams, 77) >> np.uint64(55)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64)
+
+
 SETS = "doc_id long, node binary, size long, block int, counts binary"
 
 
@@ -148,52 +160,44 @@ def _token_weights(sets: DataFrame) -> np.ndarray:
     return weight_classes(counters).astype(np.uint8)
 
 
-TOKENS = "token long, node binary, size int, heavy float"
+ORDERS = [f"order{k}" for k in range(1, MORE_ORDERS + 1)]
+PREFIXES = "node binary, size long, heavy float, sketch array<long>, tokens array<long>, " + ", ".join(f"{o} array<int>" for o in ORDERS)
 
 
-def _tokens(n: int, percent: int, classes):
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prefixes(n: int, percent: int, classes):
+    """Prefixes of all sets: 64-bit tokens under the first order, 32 bits under the others."""
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = classes.value.astype(np.uint64)
         for batch in batches:
-            found, nodes, sizes, heavy = [], [], [], []
-            for text in batch.column(0):
-                grams = shingles(text.as_py(), n)
-                if len(grams):
-                    found.append(prefix(grams, weight, percent, 0))
-                    nodes.append(set_key(grams))
-                    sizes.append(len(grams))
-                    heavy.append(float((weight[_bucket(grams)] > 0).mean()))
-            if found:
-                repeats = np.array([len(f) for f in found])
-                index = pa.array(np.repeat(np.arange(len(found)), repeats))
+            for start in range(0, batch.num_rows, 1000):
+                sets = [g for t in batch.column(0).slice(start, 1000) if len(g := shingles(t.as_py(), n))]
+                others = [[(prefix(g, weight, percent, k) >> np.uint64(32)).astype(np.uint32).view(np.int32) for g in sets] for k in range(1, MORE_ORDERS + 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(found).view(np.int64)), pa.array(nodes, pa.binary()).take(index),
-                     pa.array(np.repeat(np.array(sizes, np.int32), repeats)), pa.array(np.repeat(np.array(heavy, np.float32), repeats))],
-                    ["token", "node", "size", "heavy"])
+                    [pa.array([set_key(g) for g in sets], pa.binary()), pa.array([len(g) for g in sets], pa.int64()),
+                     pa.array([float((weight[_bucket(g)] > 0).mean()) for g in sets], pa.float32()),
+                     pa.array([odd_sketch(g) for g in sets], pa.list_(pa.int64())),
+                     pa.array([prefix(g, weight, percent, 0).view(np.int64) for g in sets], pa.list_(pa.int64())),
+                     *(pa.array(o, pa.list_(pa.int32())) for o in others)],
+                    ["node", "size", "heavy", "sketch", "tokens", *ORDERS])
 
-    return tokens
+    return prefixes
 
 
-def _whole_sets(n: int, percent: int, classes, words):
-    """Sets and further prefixes of the rows whose id may be wanted; null ids always may."""
-    names = [f"order{k}" for k in range(1, MORE_ORDERS + 1)]
+def _whole_sets(n: int, words):
+    """Sets of the rows whose id may be wanted; null ids always may."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = classes.value.astype(np.uint64)
         for batch in batches:
             ids = batch.column(0)
             hashes = mix(ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            wanted = passes(words.value, hashes) | ids.is_null().to_numpy(zero_copy_only=False)
-            for start in range(0, batch.num_rows, 500):
-                rows = [i for i in range(start, min(start + 500, batch.num_rows)) if wanted[i]]
-                sets = [(i, g) for i in rows if len(g := shingles(batch.column(1)[i].as_py(), n))]
-                orders = [[(prefix(g, weight, percent, k) >> np.uint64(32)).astype(np.uint32).view(np.int32) for _, g in sets] for k in range(1, MORE_ORDERS + 1)]
+            wanted = np.flatnonzero(passes(words.value, hashes) | ids.is_null().to_numpy(zero_copy_only=False))
+            for start in range(0, len(wanted), 500):
+                sets = [g for i in wanted[start:start + 500].tolist() if len(g := shingles(batch.column(1)[i].as_py(), n))]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array([i for i, _ in sets], pa.int64())), pa.array([set_key(g) for _, g in sets], pa.binary()),
-                     *(pa.array(o, pa.list_(pa.int32())) for o in orders), pa.array([g.view(np.int64) for _, g in sets], pa.list_(pa.int64()))],
-                    ["doc_id", "node", *names, "grams"])
+                    [pa.array([set_key(g) for g in sets], pa.binary()), pa.array([g.view(np.int64) for g in sets], pa.list_(pa.int64()))], ["node", "grams"])
 
-    return whole, "doc_id long, node binary, " + ", ".join(f"{o} array<int>" for o in names) + ", grams array<long>"
+    return whole
 
 
 def _linked(percent: int):
@@ -223,7 +227,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
         smallest = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(smallest, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(smallest.withColumnRenamed("m", "y")).distinct()
-        edges = stage(small, "edges")
+        last, edges = edges, stage(small, "edges")
+        discard(last)
         now = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(x, y))")).first()
         if now == state:
             break
@@ -251,38 +256,53 @@ def similar_documents(documents: DataFrame, n: int = 5, percent: int = 80) -> Da
     measured = sets.where("block IS NULL").select("doc_id", "node", "size")
     nodes = measured.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"))
 
-    tokens = stage(rows.select("text").mapInArrow(_tokens(n, percent, classes), TOKENS), "ngram-tokens")
-    shared = tokens.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("token")
-    shared = stage(tokens.join(shared, "token").groupBy("token", "node").agg(F.max("size").alias("size"), F.max("heavy").alias("heavy")), "ngram-shared")
-
-    wanted = stage(shared.select("node").distinct().join(nodes, "node"), "ngram-wanted")
-    ids = wanted.where("first_id IS NOT NULL").select("first_id").mapInArrow(_hashed_ids, "hash long")
-    words = spark.sparkContext.broadcast(bit_filter(ids, "hash"))
-    whole, schema = _whole_sets(n, percent, classes, words)
-    whole_sets = stage(
-        rows.mapInArrow(whole, schema).withColumnRenamed("doc_id", "own_id")
-        .join(wanted, "node").where(F.col("own_id").eqNullSafe(F.col("first_id"))).drop("own_id", "first_id"),
-        "ngram-whole",
-    )
-    filters = whole_sets.drop("grams")
-
-    def compare(pairs: DataFrame, name: str) -> DataFrame:
-        """Links among proposed pairs: filtered under the other orders, then verified."""
-        side = lambda df, s, cols: df.select(F.col("node").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in cols))
-        orders = [f"order{k}" for k in range(1, MORE_ORDERS + 1)]
-        meet = pairs.join(side(filters, "x", orders), "x").join(side(filters, "y", orders), "y")
-        for order in orders:
+    prefixes = stage(rows.select("text").mapInArrow(_prefixes(n, percent, classes), PREFIXES), "ngram-prefixes")
+    tokens = prefixes.select("node", F.col("size").cast("int").alias("size"), "heavy", F.explode("tokens").alias("token"))
+    repeated = spark.sparkContext.broadcast(bit_filter(tokens.groupBy("token").count().where("count > 1"), "token"))
+    maybe = tokens.mapInArrow(_passing("token", repeated), "node binary, size int, heavy float, token long")
+    shared = stage(maybe.groupBy("token", "node").agg(F.max("size").alias("size"), F.max("heavy").alias("heavy")), "ngram-shared")
+    filters = stage(prefixes.select("node", "size", "sketch", *ORDERS).dropDuplicates(["node"]), "ngram-filters")
+
+    def side(sets: DataFrame, s: str, columns: list[str]) -> DataFrame:
+        return sets.select(F.col("node").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in columns))
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
+
+    def meeting(pairs: DataFrame, name: str) -> DataFrame:
+        """Proposed pairs that pass the sketches and meet under all other orders."""
+        small = ["size", "sketch"]
+        sketched = pairs.join(side(filters, "x", small), "x").join(side(filters, "y", small), "y")
+        apart = " + ".join(f"bit_count(x_sketch[{i}] ^ y_sketch[{i}])" for i in range(SKETCH_BITS // 64))
+        close = sketched.where(f"{100 + percent} * ({apart}) <= {100 - percent} * (x_size + y_size)")
+        close = stage(close.select("x", "y"), f"{name}-close")
+        needed = spark.sparkContext.broadcast(bit_filter(ends(close).select(F.xxhash64("node").alias("hash")), "hash"))
+        ordered = filters.select("node", *ORDERS, F.xxhash64("node").alias("hash"))
+        ordered = ordered.mapInArrow(_passing("hash", needed), ordered.schema)
+        meet = close.join(side(ordered, "x", ORDERS), "x").join(side(ordered, "y", ORDERS), "y")
+        for order in ORDERS:
             meet = meet.where(F.arrays_overlap(f"x_{order}", f"y_{order}"))
-        met = meet.select("x", "y").distinct()
-        grams = side(whole_sets, "x", ["grams"]), side(whole_sets, "y", ["grams"])
-        return stage(met.join(grams[0], "x").join(grams[1], "y").select("x", "y", "x_grams", "y_grams").mapInArrow(_linked(percent), "x binary, y binary"), name)
+        met = stage(meet.select("x", "y"), f"{name}-met")
+        discard(close)
+        return met
+
+    def verified(met: DataFrame, name: str) -> DataFrame:
+        """Links among pairs, by comparing whole sets."""
+        ids = ends(met).join(nodes, "node").where("first_id IS NOT NULL").select("first_id")
+        wanted = spark.sparkContext.broadcast(bit_filter(ids.mapInArrow(_hashed_ids, "hash long"), "hash"))
+        sets = stage(rows.mapInArrow(_whole_sets(n, wanted), "node binary, grams array<long>").dropDuplicates(["node"]), f"{name}-sets")
+        both = met.join(side(sets, "x", ["grams"]), "x").join(side(sets, "y", ["grams"]), "y").select("x", "y", "x_grams", "y_grams")
+        linked = stage(both.mapInArrow(_linked(percent), "x binary, y binary"), name)
+        discard(sets)
+        return linked
 
     sizes_allow = lambda a, b: (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
     pivots = shared.groupBy("token").agg(F.max(F.struct("heavy", "node", "size")).alias("pivot")).select(
         "token", F.col("pivot.node").alias("y"), F.col("pivot.size").alias("y_size"))
     offered = shared.join(pivots, "token").where((F.col("node") != F.col("y")) & sizes_allow("size", "y_size"))
-    links = compare(offered.select(F.col("node").alias("x"), "y").distinct(), "ngram-pivot-links")
+    links = verified(meeting(offered.select(F.col("node").alias("x"), "y").distinct(), "ngram-pivot"), "ngram-links")
     labels = stage(components(links), "ngram-labels")
+    discard(prefixes)
 
     marked = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = marked.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("token")
@@ -290,8 +310,26 @@ def similar_documents(documents: DataFrame, n: int = 5, percent: int = 80) -> Da
     left = open_tokens.select("token", F.col("node").alias("x"), F.col("size").alias("x_size"), F.col("label").alias("x_label"))
     right = open_tokens.select("token", F.col("node").alias("y"), F.col("size").alias("y_size"), F.col("label").alias("y_label"))
     across = left.join(right, "token").where((F.col("x_label") < F.col("y_label")) & sizes_allow("x_size", "y_size"))
-    more = compare(across.select("x", "y").distinct(), "ngram-cross-links")
-    labels = stage(components(links.unionByName(more)), "ngram-labels")
+    open_pairs = meeting(across.select("x", "y").distinct(), "ngram-cross")
+    # Two components need one link, so a few pairs of each two are verified first, and eight times
+    # as many in each further round; pairs that fall inside one component need no verification.
+    share = 1
+    while True:
+        ranked = stage(
+            open_pairs.join(labels.select(F.col("node").alias("x"), F.col("label").alias("a")), "x", "left")
+            .join(labels.select(F.col("node").alias("y"), F.col("label").alias("b")), "y", "left")
+            .withColumns({"a": F.coalesce("a", "x"), "b": F.coalesce("b", "y")})
+            .where("a <> b")
+            .withColumn("place", F.row_number().over(Window.partitionBy(F.least("a", "b"), F.greatest("a", "b")).orderBy(F.xxhash64("x", "y"))))
+            .select("x", "y", "place"),
+            "ngram-ranked",
+        )
+        if ranked.isEmpty():
+            break
+        links = stage(links.unionByName(verified(ranked.where(F.col("place") <= share).select("x", "y"), "ngram-links")), "ngram-links")
+        labels = stage(components(links), "ngram-labels")
+        open_pairs, share = ranked.where(F.col("place") > share).select("x", "y"), share * 8
+    discard(shared, filters, open_tokens)
 
     named = (
         nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("node", "first_id", "label")
@@ -305,6 +343,17 @@ def similar_documents(documents: DataFrame, n: int = 5, percent: int = 80) -> Da
     )
 
 
+def _passing(column: str, words):
+    """Rows whose hash may be in a filter of fixed size. It only saves shuffles: what passes wrongly
+    is a token of one set, or a set that no pair asks for, and finds no partner."""
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(words.value, batch.column(column).to_numpy().view(np.uint64))))
+
+    return passing
+
+
 def _hashed_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)

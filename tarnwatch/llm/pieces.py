@@ -191,13 +191,17 @@ class Lattices:
         self.edge_start, self.edge_id = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.part, self.upto = np.zeros(0), np.zeros(0)
 
-    def add(self, chunks: set[str]) -> None:
-        """Makes sure that all of these chunks are there."""
+    def numbers(self, chunks: list[str]) -> np.ndarray:
+        """Numbers of chunks; those not met yet get their lattices."""
         if len(self.part) > self.most_edges:
             self.clear()
-        new = [c for c in chunks if c not in self.index]
-        if not new:
-            return
+        held = list(map(self.index.get, chunks))
+        if None in held:
+            self._add(list({c for c, i in zip(chunks, held) if i is None}))
+            held = list(map(self.index.get, chunks))
+        return np.array(held, np.int64)
+
+    def _add(self, new: list[str]) -> None:
         length, ends, start, ids, part = self.words.lattices(new)
         groups, edges = len(self.edge_end), len(self.part)
         self.index.update(zip(new, range(len(self.length), len(self.length) + len(new))))
@@ -217,10 +221,8 @@ class Search:
 
     def __init__(self, lattices: Lattices, chunks: list[list[str]], keys: np.ndarray):
         self.keys = keys
-        lattices.add({c for own in chunks for c in own})
-        index = lattices.index
         # chunks run backwards within a text, as paths are drawn from the end
-        self.chunk = np.array([index[c] for own in chunks for c in reversed(own)], np.int64)
+        self.chunk = lattices.numbers([c for own in chunks for c in own[::-1]])
         counts = np.array([len(own) for own in chunks])
         self.bounds = np.concatenate(([0], np.cumsum(counts)))
         self.text = np.repeat(np.arange(len(chunks)), counts)
@@ -257,8 +259,10 @@ class Search:
 
     def truncated(self, location: np.ndarray, below: np.ndarray, u: np.ndarray) -> np.ndarray:
         """Gumbels with the given locations, conditioned to lie below a bound; -inf stays."""
-        with np.errstate(divide="ignore", invalid="ignore"):
-            value = -np.logaddexp(-below, np.log(-np.log(u)) - location)
+        # -log(exp(-below) + exp(log(-log(u)) - location)), without overflow
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            free = location - np.log(-np.log(u))
+            value = np.where(free < below - 50, free, below - np.log1p(np.exp(np.minimum(below - free, 60.0))))
         return np.where(np.isneginf(location), NONE, value)
 
     def top(self, k: int) -> list[list[dict]]:
@@ -329,7 +333,21 @@ def log_inclusion(distance: float) -> float:
 
 def chunks_of(text: str) -> list[str]:
     """Chunks of a text with its spaces marked and one in front; an empty text has none."""
-    return CHUNK.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    if not text:
+        return []
+    marked = SPACE + text.replace(" ", SPACE)
+    if SPACE + SPACE in marked or SPACE + "\n" in marked or marked.endswith(SPACE):
+        return CHUNK.findall(marked)
+    # no runs of marks: every mark opens a chunk
+    lines = marked.split("\n")
+    out = [SPACE + part for part in lines[0].split(SPACE)[1:]]
+    for line in lines[1:]:
+        out.append("\n")
+        first, *rest = line.split(SPACE)
+        if first:
+            out.append(first)
+        out += [SPACE + part for part in rest]
+    return out
 
 
 def sample_batch(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
