@@ -388,6 +388,26 @@ def test_brown_classes_raise_likelihood_and_sum_to_one(spark):
     assert (moved[10:] == classes[10:]).all() and moved.max() < 3
 
 
+@pytest.mark.parametrize("head", [2, 4, 100])
+def test_brown_words_beyond_the_head_are_classed_too(spark, head):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["a1", "a2", "a3"] if k % 2 else ["b1", "b2", "b3"]) for k in range(40)) + (" new1 new2" if i % 50 == 0 else "")) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    scored = brown.score(frame, head=head, classes=2, rounds=6).where("held_out")
+    gain = scored.agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
+    assert gain[0] > gain[1] + 0.2
+    assert int(np.uint64(spark.sql("SELECT xxhash64(binary('zwölf words and more than thirty-two bytes'))").first()[0] % 2**64)) == brown.word_key("zwölf words and more than thirty-two bytes".encode())
+
+
+def test_brown_tail_scores_are_those_of_the_head(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("a b c d e f g h".split()) for _ in range(12))) for i in range(60)] + [(200, "a zz yy b")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    # one class: head or tail must not matter, and the exchange has nothing to choose
+    found = [{r["doc_id"]: round(r["score"], 6) for r in brown.score(frame, head=head, classes=1, rounds=1).collect()} for head in (0, 3, 50)]
+    assert found[0] == found[1] == found[2]
+
+
 # pieces
 
 
