@@ -237,12 +237,10 @@ def main_text(page: str | None, wanted: str | None) -> tuple[str, bool]:
     if wanted and path(best) != wanted:
         containers, _ = measure(root)
         depth, last = wanted.count("/"), wanted.rpartition("/")[2]
-        there = [n for n in containers if n.own and n.depth == depth and n.label == last and path(n) == wanted]
-        if there:
-            # the elected path is trusted only if it holds most of what the page itself offers
-            top = max(there, key=lambda n: n.own)
-            if top.own >= SHARE * best.own:
-                return "\n".join(blocks(top)), True
+        there = [n for n in containers if n.depth == depth and n.label == last and path(n) == wanted]
+        lines = blocks(max(there, key=lambda n: n.own)) if there else []
+        if lines:
+            return "\n".join(lines), True
         return "\n".join(blocks(best)), False
     return "\n".join(blocks(best)), bool(wanted)
 

@@ -284,6 +284,15 @@ def test_hosts_elect_their_path(spark):
     assert html.extract(frame.where("false")).count() == 0
 
 
+def test_the_elected_path_overrules_a_page(spark):
+    def page(body, extra=""):
+        return f"<html><body><div class='top1'>{extra}</div><div class='content'>{body}</div></body></html>"
+    pages = [(i, "http://a.org/x", page(f"<p>{'text ' * 50}{i}</p>")) for i in range(5)]
+    pages += [(9, "http://a.org/y", page("<p>short</p>", "promo " * 3)), (12, "http://a.org/y", page("<p>short</p>")), (13, "http://a.org/z", page("", "own"))]
+    found = {r["page_id"]: (r["text"], r["by_consensus"]) for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert [found[i] for i in (9, 12, 13)] == [("short", True), ("short", True), ("own", False)]
+
+
 # n-gram join
 
 
