@@ -39,6 +39,8 @@ NOISE = re.compile(
     r"|footer|header|masthead|topbar|toolbar|share|sharing|social|related|recommended|recommendations|comment|comments|commentlist|comment-list|disqus|replies|reply|respond|discussion"
     r"|widget|login|search|searchbox|search-form|form|hidden|sr-only|visually-hidden|contentinfo|complementary|dialog|copyright)"
 )
+#: Elements whose classes, ids and roles tell of the layout and not of what they hold. Fixed values.
+NEVER_NAMED = frozenset("html body article main".split())
 SPLIT_CLASS = re.compile(r"[-_]+")
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -54,32 +56,36 @@ SHARE = 0.9
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "label", "noise", "children", "own")
+    __slots__ = ("tag", "parent", "depth", "label", "noise", "named", "children", "own")
 
     def __init__(self, tag: str, parent: Node | None, attrs: dict[str, str]):
         self.tag, self.parent, self.children, self.own = tag, parent, [], 0
         self.depth = parent.depth + 1 if parent else 0
         classes = attrs.get("class", "").lower().split()
         self.label = ".".join([tag, *sorted(DIGITS.sub("#", c) for c in classes)])
-        self.noise = tag in DROPPED or _is_noise(classes, attrs)
+        self.noise = tag in DROPPED or bool(attrs) and _is_hidden(attrs)
+        #: Noise by its names only, which is reconsidered once the page is known.
+        self.named = _noise_name(classes, attrs) if attrs and not self.noise and tag not in NEVER_NAMED else ""
+        self.noise = self.noise or bool(self.named)
 
 
-def _is_noise(classes: list[str], attrs: dict[str, str]) -> bool:
-    if not attrs:
-        return False
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
+def _is_hidden(attrs: dict[str, str]) -> bool:
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+
+
+def _noise_name(classes: list[str], attrs: dict[str, str]) -> str:
+    """How names say that an element is noise: a ``whole`` name, a ``part`` of one, or not at all."""
     names = [*classes, attrs.get("id", "").lower(), attrs.get("role", "").lower()]
     for name in names:
         if NOISE.fullmatch(name):
-            return True
+            return "whole"
         # compound names: every part but a leading "site", "page", "post" ... must say what it is
         parts = SPLIT_CLASS.split(name)
         if len(parts) > 1 and NOISE.fullmatch(parts[0]) and parts[0] not in ("header", "footer", "side", "notice", "form", "search", "alert"):
-            return True
+            return "part"
         if len(parts) > 1 and NOISE.fullmatch(parts[-1]) and parts[0] not in ("article", "entry", "post", "content", "story", "main", "no", "with", "has"):
-            return True
-    return False
+            return "part"
+    return ""
 
 
 def parse(page: str) -> Node:
@@ -128,9 +134,55 @@ def parse(page: str) -> Node:
         elif tag not in VOID and not found["attrs"].endswith("/"):
             node = new
             opened[tag] += 1
+    _clear_wrappers(root)
     return root
 
 
+def _clear_wrappers(root: Node) -> None:
+    """Takes the mark from elements that are noise by name only but hold most of the page's ordinary
+    text: their names tell of the layout. It stays if an article or main with text stands beside them,
+    or a main heading when the whole name is one of noise: then they are long comments to a short text."""
+    order, stack, named = [], [(root, False)], False
+    while stack:
+        node, linked = stack.pop()
+        linked = linked or node.tag == "a"
+        node.own = 0
+        order.append(node)
+        named = named or node.named
+        for child in node.children:
+            if isinstance(child, str):
+                if not linked:
+                    node.own += len(child.strip())
+            elif not child.noise or child.named:
+                stack.append((child, linked))
+    if not named:
+        return
+    for node in reversed(order):
+        if node.parent is not None:
+            node.parent.own += node.own
+    # no two of these stand beside each other, so each holds those after it
+    wrappers = [n for n in order if n.named and 2 * n.own > root.own]
+    if not wrappers:
+        return
+    anchors = [n for n in order if n.tag in ("article", "main", "h1") and n.own]
+    around = [(n.tag, {n, *_ancestors(n)}) for n in anchors]
+    for wrapper in wrappers:
+        above = _ancestors(wrapper)
+        if not any(
+            wrapper not in held and anchor not in above and (tag != "h1" or wrapper.named == "whole") and not any(h.named and h not in wrappers for h in held)
+            for anchor, (tag, held) in zip(anchors, around)
+        ):
+            wrapper.noise, wrapper.named = False, ""
+
+
+def _ancestors(node: Node) -> list[Node]:
+    found = []
+    while node.parent is not None:
+        node = node.parent
+        found.append(node)
+    return found
+
+
 def path(node: Node) -> str:
     parts = []
     while node is not None:

@@ -284,6 +284,20 @@ def test_hosts_elect_their_path(spark):
     assert html.extract(frame.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("name", ["right-sidebar", "sidebar-left", "nav-open", "search-results", "search"])
+def test_names_of_layouts_are_not_noise(name):
+    text = "<h1>Head</h1><p>" + "word " * 30 + "</p>"
+    expected = "Head\n" + " ".join(["word"] * 30)
+    for page in (f"<body class={name}>{text}", f"<body><div id={name}><nav>Home</nav>{text}<div class=ad>Buy</div></div></body>", f"<body><main class={name}>{text}</main></body>"):
+        assert html.main_text(page, None)[0] == expected
+        assert html.best_container(html.parse(page)).own
+
+
+def test_long_comments_are_still_noise():
+    page = "<body><div><article><h1>A</h1><p>short</p></article><div class=comments-area>" + "<p>long long</p>" * 20 + "</div></div></body>"
+    assert html.main_text(page, None)[0] == "A\nshort"
+
+
 def test_the_elected_path_overrules_a_page(spark):
     def page(body, extra=""):
         return f"<html><body><div class='top1'>{extra}</div><div class='content'>{body}</div></body></html>"
