@@ -51,8 +51,6 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 DIGITS = re.compile(r"\d+")
 #: Open tags that end an open element of the same kind. Fixed values.
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Share of a page's ordinary text that a container must hold; the deepest such container is the best.
-SHARE = 0.9
 
 
 class Node:
@@ -215,12 +213,14 @@ def measure(root: Node) -> tuple[list[Node], int]:
 
 
 def best_container(root: Node) -> Node:
-    """The deepest container with at least ``SHARE`` of the page's ordinary text, else the page.
+    """The deepest container with all of the page's ordinary text, else the page.
 
-    An ``article`` or ``main`` beats a deeper container that adds nothing.
+    So it climbs from the densest container as long as anything is added; where less than that is the
+    main text, the votes of the host say so. An ``article`` or ``main`` that holds all of it beats a
+    deeper container that adds nothing.
     """
     containers, total = measure(root)
-    full = [n for n in containers if n.own >= SHARE * total and n.own]
+    full = [n for n in containers if n.own == total and n.own]
     if not full:
         return root
     named = [n for n in full if n.tag == "article"] or [n for n in full if n.tag == "main"]

@@ -284,6 +284,12 @@ def test_hosts_elect_their_path(spark):
     assert html.extract(frame.where("false")).count() == 0
 
 
+def test_text_beside_the_densest_container_stays():
+    page = "<body><nav>Home</nav><div class=post><h1>Head</h1><p>lead</p><div class=body><p>" + "word " * 200 + "</p></div></div><div class=ad>Buy</div></body>"
+    assert html.main_text(page, None)[0] == "Head\nlead\n" + " ".join(["word"] * 200)
+    assert html.path(html.best_container(html.parse(page))) == "html/body/div.post"
+
+
 @pytest.mark.parametrize("name", ["right-sidebar", "sidebar-left", "nav-open", "search-results", "search"])
 def test_names_of_layouts_are_not_noise(name):
     text = "<h1>Head</h1><p>" + "word " * 30 + "</p>"
