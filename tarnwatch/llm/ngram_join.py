@@ -104,7 +104,7 @@ def odd_sketch(grams: np.ndarray) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
-SETS = "doc_id long, node binary, size long, block int, counts binary"
+SETS = "doc_id long, text_hash long, node binary, size long, block int, counts binary"
 
 
 def _sets(n: int, rows: int = 256):
@@ -130,15 +130,15 @@ def _sets(n: int, rows: int = 256):
                     count = 0
             none = pa.nulls(len(nodes))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())],
-                ["doc_id", "node", "size", "block", "counts"])
+                [batch.column(0), batch.column(2), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())],
+                ["doc_id", "text_hash", "node", "size", "block", "counts"])
         if seen:
             add()
         blocks = [(i, part.astype(np.uint32).tobytes()) for i, part in enumerate(held.reshape(rows, -1)) if part.any()]
         none = pa.nulls(len(blocks))
         yield pa.RecordBatch.from_arrays(
-            [none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.int64()), pa.array([b[0] for b in blocks], pa.int32()), pa.array([b[1] for b in blocks], pa.binary())],
-            ["doc_id", "node", "size", "block", "counts"])
+            [none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.int64()), pa.array([b[0] for b in blocks], pa.int32()), pa.array([b[1] for b in blocks], pa.binary())],
+            ["doc_id", "text_hash", "node", "size", "block", "counts"])
 
     return sets
 
@@ -249,11 +249,17 @@ def similar_documents(documents: DataFrame, n: int = 5, percent: int = 80) -> Da
     component only if no other id does; an empty table gives an empty result; other columns are not
     read. Tokens are 64-bit hashes and sets are told apart by 128 bits.
     """
+    return marked_documents(documents, n, percent).drop("text_hash", "component")
+
+
+def marked_documents(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """``similar_documents`` with ``text_hash``, Spark's ``xxhash64`` of the row's text, and with
+    ``component``, which tells components of the same name apart (null: no n-grams)."""
     spark = documents.sparkSession
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     sets = stage(rows.mapInArrow(_sets(n), SETS), "ngram-sets")
     classes = spark.sparkContext.broadcast(_token_weights(sets))
-    measured = sets.where("block IS NULL").select("doc_id", "node", "size")
+    measured = sets.where("block IS NULL").select("doc_id", "text_hash", "node", "size")
     nodes = measured.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"))
 
     prefixes = stage(rows.select("text").mapInArrow(_prefixes(n, percent, classes), PREFIXES), "ngram-prefixes")
@@ -290,7 +296,7 @@ def similar_documents(documents: DataFrame, n: int = 5, percent: int = 80) -> Da
         """Links among pairs, by comparing whole sets."""
         ids = ends(met).join(nodes, "node").where("first_id IS NOT NULL").select("first_id")
         wanted = spark.sparkContext.broadcast(bit_filter(ids.mapInArrow(_hashed_ids, "hash long"), "hash"))
-        sets = stage(rows.mapInArrow(_whole_sets(n, wanted), "node binary, grams array<long>").dropDuplicates(["node"]), f"{name}-sets")
+        sets = stage(rows.select("doc_id", "text").mapInArrow(_whole_sets(n, wanted), "node binary, grams array<long>").dropDuplicates(["node"]), f"{name}-sets")
         both = met.join(side(sets, "x", ["grams"]), "x").join(side(sets, "y", ["grams"]), "y").select("x", "y", "x_grams", "y_grams")
         linked = stage(both.mapInArrow(_linked(percent), "x binary, y binary"), name)
         discard(sets)
@@ -335,11 +341,11 @@ def similar_documents(documents: DataFrame, n: int = 5, percent: int = 80) -> Da
         nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("node", "first_id", "label")
     )
     names = named.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n_texts"))
-    by_node = named.select("node", "label").join(names, "label").select("node", "component_id", "n_texts")
+    by_node = named.select("node", "label").join(names, "label").select("node", "component_id", "n_texts", F.col("label").alias("component"))
     return measured.join(by_node, "node", "left").select(
         "doc_id", F.col("size").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce("n_texts", F.lit(1)).cast("long").alias("n_texts"),
+        F.coalesce("n_texts", F.lit(1)).cast("long").alias("n_texts"), "text_hash", "component",
     )
 
 

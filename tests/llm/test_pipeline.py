@@ -70,3 +70,23 @@ def test_every_document_of_the_mix_is_encoded(staged):
 def test_run_gives_the_last_stage(spark, sf_dir, staged):
     found = spark_entry.queries()["pipeline"](spark, sf_dir)
     assert sorted(map(str, found.collect())) == sorted(map(str, staged[5].collect()))
+
+
+def test_repeated_and_null_ids_are_told_apart(spark, sf_dir):
+    copy, near, other = ("word%d " * 40 % tuple(range(k, k + 40)) for k in (0, 0, 500))
+    near += "end"
+    rows = [(1, copy), (1, other), (2, copy.replace(" ", "  ")), (2, other + "more"), (None, copy), (None, "alone"), (None, "twice"), (None, "twice"),
+            (3, "same"), (3, "same"), (3, None), (4, ""), (5, "un fin")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], schema).repartition(3)
+    found = Counter(tuple(r)[:2] for r in corpus_pipeline.drop_copies(spark, frame, sf_dir).collect())
+    assert found - Counter({(3, None): 1}) == Counter([(2, copy.replace(" ", "  ")), (1, other), (2, other + "more"), (None, "alone"), (None, "twice"), (3, "same"), (5, "un fin")])
+    assert found[3, None] == 1
+
+    rows = [(1, copy), (1, near), (2, near + " of it"), (2, "only here"), (None, copy + "x"), (None, other), (None, other + "y"), (None, "alone"), (7, "same"), (7, "same"), (8, None), (8, "")]
+    frame = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], schema).repartition(3)
+    found = Counter(tuple(r)[:2] for r in corpus_pipeline.drop_near_copies(spark, frame, sf_dir).collect())
+    big = [k for k in found if k[0] == 1]
+    none = [k for k in found if k[0] is None and k[1].startswith(other)]
+    assert [len(big), len(none), found[(big or [0])[0]], found[(none or [0])[0]]] == [1, 1, 1, 1]
+    assert found - Counter(big + none) == Counter([(2, "only here"), (None, "alone"), (7, "same"), (8, None), (8, "")])
