@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwatch.llm import brown, chat, exact_dedup, html, licenses, mixing, ngram_join, pieces, quality, toxicity
+from tarnwatch.llm import brown, chat, exact_dedup, html, licenses, merkle, mixing, ngram_join, pieces, quality, shards, spelling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -309,3 +309,40 @@ def op1_brown_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_gumbel_piece_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct sampled piece segmentations of every whole text, with inclusion scores."""
     return pieces.sampled_pieces(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of near equal bytes; equal texts stay together, largest groups first."""
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.sha2(text.cast("binary"), 256).alias("digest"),
+    )
+    sharded = shards.lpt_shards(rows, F.col("digest"), F.col("size"), 8, [F.col("doc_id")])
+    return sharded.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query
+def op13_lag_lead_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle proofs of all documents by source, and what tampered texts fold to."""
+    columns = lambda text: [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")] + [text]
+    odd = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 1, F.lit(True))
+    tampered = F.when(odd, F.col("text")).otherwise(F.regexp_replace("text", "\n", ""))
+    leaves = table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("source").alias("key"), merkle.leaf(*columns(F.col("text"))).alias("node"), merkle.leaf(*columns(tampered)).alias("found")
+    )
+    proven = merkle.manifest(leaves, [F.col("doc_id")])
+    folded = merkle.fold(F.col("found"), F.col("steps"))
+    return proven.select(
+        "doc_id", F.col("node").alias("leaf"), "subroot", "root", merkle.digest(merkle.siblings(F.col("steps"))).alias("proof_sha256"),
+        folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query
+def op11_reduced_alphabet_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words, the words one edit away and the spelling each one is a variant of."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
