@@ -346,3 +346,134 @@ def op13_lag_lead_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_reduced_alphabet_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequent words, the words one edit away and the spelling each one is a variant of."""
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def _crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of UTF-8 text, byte by byte; the table follows from the polynomial."""
+    entries = []
+    for entry in range(256):
+        for _ in range(8):
+            entry = entry >> 1 ^ (0xEDB88320 if entry & 1 else 0)
+        entries.append(entry)
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda pair: CAST('0x' || pair AS BIGINT))"
+    step = f"xor(crc >> 8, {entries}[CAST(xor(crc, octet) & 255 AS BIGINT) + 1])"
+    return f"xor(list_reduce({octets}, lambda crc, octet: {step}, CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"
+
+
+ORACLES["op12_lpt_shards"] = rf"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, sha256(coalesce(text, '')) AS digest, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size,
+         {_crc32_sql("coalesce(text, '')")} AS text_crc32
+  FROM documents
+),
+groups AS (
+  SELECT digest, weight, row_number() OVER (ORDER BY weight DESC, digest) AS turn, row_number() OVER (PARTITION BY weight ORDER BY digest) AS place
+  FROM (SELECT digest, CAST(sum(size) AS BIGINT) AS weight FROM rows GROUP BY digest)
+),
+dealt AS (
+  SELECT CAST(0 AS BIGINT) AS turn, list_transform(range(8), lambda s: CAST(0 AS BIGINT)) AS loads, CAST(NULL AS INT) AS shard
+  UNION ALL
+  SELECT g.turn, list_transform(range(8), lambda s: loads[s + 1] + CASE WHEN s + 1 = list_position(loads, list_min(loads)) THEN weight ELSE 0 END),
+         CAST(list_position(loads, list_min(loads)) - 1 AS INT)
+  FROM dealt JOIN groups g ON g.turn = dealt.turn + 1
+),
+taken AS (
+  SELECT weight, shard, row_number() OVER (PARTITION BY weight ORDER BY shard) AS place FROM dealt JOIN groups USING (turn)
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, digest) - 1 AS slot, CAST(NULL AS INT) AS grown_shard
+FROM rows JOIN groups USING (digest) JOIN taken USING (weight, place)
+"""
+
+
+def _merkle_sql() -> str:
+    field = lambda column: f"coalesce(strlen(CAST({column} AS VARCHAR)) || ':' || {column}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+    def tree(name: str, first: str) -> str:
+        """Levels of a tree per key as lists, the siblings of every node, and nothing above one node."""
+        return f"""
+{name}_levels AS (
+  {first}
+  UNION ALL
+  SELECT key, level + 1, list_transform(range((len(nodes) + 2) // 3), lambda i: sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], '')))
+  FROM {name}_levels WHERE len(nodes) > 1
+)"""
+
+    sides = lambda nodes, at: f"array_to_string(list_slice({nodes}, {at} - {at} % 3 + 1, {at}), '') AS lhs, array_to_string(list_slice({nodes}, {at} + 2, {at} - {at} % 3 + 3), '') AS rhs"
+    return f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('=' || source, '') AS key, {leaf("text")} AS leaf, {leaf("tampered")} AS found
+  FROM (SELECT *, CASE WHEN {_crc32_sql("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS tampered FROM documents)
+),
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY key, doc_id NULLS FIRST, leaf, found) AS rid,
+         row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf, found) - 1 AS pos
+  FROM leaves
+),
+{tree("low", "SELECT key, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM placed GROUP BY key")},
+subroots AS (
+  SELECT key, nodes[1] AS subroot, row_number() OVER (ORDER BY key) - 1 AS pos FROM low_levels WHERE len(nodes) = 1
+),
+{tree("high", "SELECT 0 AS key, 0 AS level, list(subroot ORDER BY pos) AS nodes FROM subroots HAVING count(*) > 0")},
+steps AS (
+  SELECT rid, level, {sides("nodes", "place")}
+  FROM (SELECT rid, level, nodes, CAST(pos AS BIGINT) // CAST(pow(3, level) AS BIGINT) AS place FROM placed JOIN low_levels USING (key) WHERE len(nodes) > 1)
+  UNION ALL
+  SELECT rid, 1000 + level, {sides("nodes", "place")}
+  FROM (SELECT rid, level, nodes, CAST(s.pos AS BIGINT) // CAST(pow(3, level) AS BIGINT) AS place
+        FROM placed JOIN subroots s USING (key), high_levels WHERE len(nodes) > 1)
+),
+ordered AS (SELECT rid, lhs, rhs, row_number() OVER (PARTITION BY rid ORDER BY level) AS turn FROM steps),
+folded AS (
+  SELECT rid, CAST(0 AS BIGINT) AS turn, found AS node FROM placed
+  UNION ALL
+  SELECT o.rid, o.turn, sha256(lhs || node || rhs) FROM folded f JOIN ordered o ON o.rid = f.rid AND o.turn = f.turn + 1
+),
+proofs AS (SELECT rid, sha256(string_agg(lhs || rhs, '' ORDER BY turn)) AS proof_sha256 FROM ordered GROUP BY rid)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed JOIN subroots USING (key)
+  JOIN (SELECT rid, arg_max(node, turn) AS folded_root FROM folded GROUP BY rid) USING (rid)
+  LEFT JOIN proofs USING (rid), (SELECT nodes[1] AS root FROM high_levels WHERE len(nodes) = 1)
+"""
+
+
+ORACLES["op13_lag_lead_merkle"] = _merkle_sql()
+
+
+ORACLES["op11_reduced_alphabet_variants"] = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) >= {spelling.MIN_LETTERS} GROUP BY doc_id, run
+),
+hashed AS (SELECT *, {_crc32_sql("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM runs),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= {spelling.MIN_LETTERS} GROUP BY word HAVING sum(n) >= {spelling.MIN_COUNT}
+),
+holes AS (SELECT DISTINCT word, n, i, left(word, i - 1) AS head, substr(word, i + 1) AS tail FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+shorter AS (SELECT DISTINCT word, n, head || tail AS rest FROM holes),
+near AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM holes a JOIN holes b USING (i, head, tail) WHERE a.word <> b.word
+  UNION ALL
+  SELECT s.word, s.n, w.word, w.n FROM shorter s JOIN words w ON w.word = s.rest
+  UNION ALL
+  SELECT w.word, w.n, s.word, s.n FROM shorter s JOIN words w ON w.word = s.rest
+),
+best AS (
+  SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM near GROUP BY word
+),
+forms AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+),
+chains AS (
+  SELECT word, word AS root FROM forms
+  UNION ALL
+  SELECT c.word, f.form FROM chains c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n
+FROM forms f JOIN chains c ON c.word = f.word JOIN forms last ON last.word = c.root WHERE last.form IS NULL
+"""
