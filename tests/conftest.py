@@ -1,4 +1,3 @@
-import math
 import sys
 from pathlib import Path
 
@@ -30,9 +29,3 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def sf_dir():
     return SF_DIR
-
-
-def haversine(lat1, lon1, lat2, lon2):
-    dlat, dlon = math.radians(lat2 - lat1), math.radians(lon2 - lon1)
-    chord = math.sin(dlat / 2) ** 2 + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * math.sin(dlon / 2) ** 2
-    return 2 * 6371.0 * math.asin(min(1.0, math.sqrt(chord)))

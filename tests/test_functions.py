@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import haversine
+from oracle import haversine
 from tarnwatch.functions import climatology, facility, geo, text, votes
 
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import haversine
+from oracle import haversine
 from tarnwatch.operators import facilities, modeloutput, nearby, report
 
 ELEMENTS = "element_id long, element_type string, lat double, lon double, center struct<lat:double,lon:double>, tags map<string,string>"

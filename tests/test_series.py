@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import haversine
+from oracle import haversine
 from tarnwatch.operators import carry, detect, features, serve, spatial
 
 DAY0 = dt.date(2024, 1, 1)
