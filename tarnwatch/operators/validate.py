@@ -12,6 +12,8 @@ from tarnwatch.operators.detect import anomalies, run_pipeline
 from tarnwatch.operators.nearby import within_box, within_radius
 from tarnwatch.schemas import NUMERIC_INPUTS
 from tarnwatch.session import stage
+from tarnwatch.sources import obstore
+from tarnwatch.sources.buckets import BucketStore
 
 MATCH_DAYS = 30
 MATCH_KM = 50.0
@@ -55,11 +57,17 @@ def event_observations(events: DataFrame, observations: DataFrame) -> DataFrame:
         F.col("name").alias("_event"), F.col("lat").alias("request_lat"),
         F.col("lon").alias("request_lon"), F.col("date").alias("request_date"),
     )
-    windowed = (
-        within_box(observations.drop("region_id"), requests, 0.5, WINDOW_DAYS)
-        .withColumnRenamed("_event", "region_id")
-        .drop("request_lat", "request_lon", "request_date")
-    )
+    windowed = within_box(observations.drop("region_id"), requests, 0.5, WINDOW_DAYS)
+    return _one_per_cell(windowed.withColumnRenamed("_event", "region_id").drop("request_lat", "request_lon", "request_date"))
+
+
+def stored_event_observations(events: DataFrame, store: BucketStore) -> DataFrame:
+    """As :func:`event_observations`, reading only the store's files for the events' places and years."""
+    windowed = obstore.around_events(store, events, 0.5, WINDOW_DAYS).drop("region_id", "event_lat", "event_lon", "event_date")
+    return _one_per_cell(windowed.withColumnRenamed("event", "region_id"))
+
+
+def _one_per_cell(windowed: DataFrame) -> DataFrame:
     key = ["region_id", "cell_id", "date"]
     first = Window.partitionBy(*key).orderBy(*(c for c in sorted(windowed.columns) if c not in key))
     return windowed.withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_place")
@@ -203,9 +211,13 @@ def false_negatives(details: DataFrame) -> DataFrame:
     )
 
 
-def run_validation(events: DataFrame, observations: DataFrame, **options) -> dict[str, DataFrame]:
-    """The validation suite: window, features, detection and match for all events in one job."""
-    windowed = stage(event_observations(events, observations), "event-windows")
+def run_validation(events: DataFrame, observations: DataFrame | BucketStore, **options) -> dict[str, DataFrame]:
+    """The validation suite: window, features, detection and match for all events in one job.
+
+    ``observations`` are a table, or a store of which only the events' places and years are read.
+    """
+    find = stored_event_observations if isinstance(observations, BucketStore) else event_observations
+    windowed = stage(find(events, observations), "event-windows")
     detections = stage(run_pipeline(with_enough_rows(windowed), **options), "event-detections")
     details = event_details(events, windowed, detections)
     matrix = confusion_matrix(details)

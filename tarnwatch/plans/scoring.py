@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from tarnwatch.operators import detect, features, spatial, validate
 from tarnwatch.plans import views
 from tarnwatch.plans.registry import query
 from tarnwatch.plans.sqlviews import haversine
-from tarnwatch.session import stage
+from tarnwatch.session import stage, staging_dir
+from tarnwatch.sources import obstore
 
 
 @query(f"""
@@ -29,13 +32,26 @@ def event_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _details(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = views.labelled_events(spark, sf_dir)
-    windowed = stage(validate.event_observations(events, views.observations(spark, sf_dir)), "event-windows")
+    return _scored(events, validate.event_observations(events, views.observations(spark, sf_dir)))
+
+
+def _scored(events: DataFrame, windowed: DataFrame) -> DataFrame:
+    windowed = stage(windowed, "event-windows")
     rows = features.compute_features(validate.with_enough_rows(windowed))
     voted = spatial.spatial_votes(stage(views.with_stand_in(rows), "event-features"))
     detections = detect.ensemble(voted)
     return validate.event_details(events, windowed, detections)
 
 
+@query("SELECT * FROM event_details", ("event_details",))
+def validation_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled events against observations read from the store by place and year."""
+    events, rows = views.labelled_events(spark, sf_dir), views.observations(spark, sf_dir)
+    store = obstore.open_store(spark, f"{staging_dir(spark)}/observed-{uuid.uuid4().hex}", buckets=16)
+    obstore.overwrite_regions(store, rows.withColumn("region_id", F.col("region_id").cast("string")))
+    return _scored(events, validate.stored_event_observations(events, store).drop("source", "cloud_fraction"))
+
+
 @query("SELECT * FROM event_details", ("event_details",))
 def validation_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each labelled event run through its own window of observations."""

@@ -71,7 +71,24 @@ FROM {source} f LEFT JOIN (
   GROUP BY ALL) n ON n.region_id = f.region_id AND n.cell_id = f.cell_id {again}"""
 
 
+def tile_place(key: str) -> tuple[str, str]:
+    return f"{key} % 160 - 8e1 + ({key} % 7) / 8e0", f"({key} * 37) % 360 - 18e1 + ({key} % 5) / 8e0"
+
+
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
+    "tile_rows": ((), f"""
+SELECT 'p' || CAST(FLOOR(l_partkey / 25e0) AS BIGINT) AS region_id, CAST(l_shipdate AS DATE) AS date, {tile_place("l_partkey")[0]} AS lat, {tile_place("l_partkey")[1]} AS lon,
+  FLOOR(l_extendedprice) / 1024e0 AS chl_a, CAST(l_quantity AS DOUBLE) AS turbidity, l_returnflag AS source
+FROM lineitem"""),
+    "tile_events": ((), f"""
+SELECT 'e' || s_suppkey AS name, {tile_place("(s_suppkey * 13)")[0]} + (s_suppkey % 5 - 2) / 4e0 AS lat, {tile_place("(s_suppkey * 13)")[1]} + (s_suppkey % 3 - 1) / 2e0 AS lon,
+  CAST(DATE '1992-03-01' + CAST((s_suppkey * 23) % 2400 AS INTEGER) AS DATE) AS date
+FROM supplier"""),
+    "tile_revised": (("tile_rows",), """
+SELECT * REPLACE (chl_a + 1 AS chl_a) FROM tile_rows WHERE turbidity > 10 AND CAST(SUBSTRING(region_id, 2) AS BIGINT) % 4 = 0 AND EXTRACT(YEAR FROM date) >= 1995"""),
+    "tile_store": (("tile_rows", "tile_revised"), """
+SELECT * FROM tile_rows WHERE (region_id, EXTRACT(YEAR FROM date)) NOT IN (SELECT (region_id, EXTRACT(YEAR FROM date)) FROM tile_revised)
+UNION ALL SELECT * FROM tile_revised"""),
     "observations": ((), """
 SELECT CAST(FLOOR(l_suppkey / 1e2) AS BIGINT) AS region_id,
   CAST(date_trunc('week', l_shipdate) AS DATE) AS date,

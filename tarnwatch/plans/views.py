@@ -205,3 +205,32 @@ def mean_vectors(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(mean.alias("_mean")).select(
         *keys, vector_to_array("_mean").alias("embedding")
     )
+
+
+def _tile_place(key):
+    """A position that depends on a number, spread over the globe in steps of an eighth of a degree."""
+    lat = key % 160 - 8e1 + (key % 7) / 8e0
+    lon = (key * 37) % 360 - 18e1 + (key % 5) / 8e0
+    return lat, lon
+
+
+def tile_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One observation per order line: a cell per part, a region per 25 parts."""
+    key = F.col("l_partkey")
+    lat, lon = _tile_place(key)
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("p"), F.floor(key / 25).cast("string")).alias("region_id"), F.to_date("l_shipdate").alias("date"),
+        lat.alias("lat"), lon.alias("lon"), (F.floor("l_extendedprice") / 1024e0).alias("chl_a"),
+        F.col("l_quantity").cast("double").alias("turbidity"), F.col("l_returnflag").alias("source"),
+    )
+
+
+def tile_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One event per supplier, at or up to half a degree from the cell of some part."""
+    key = F.col("s_suppkey")
+    lat, lon = _tile_place(key * 13)
+    return table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("e"), key.cast("string")).alias("name"),
+        (lat + (key % 5 - 2) / 4e0).alias("lat"), (lon + (key % 3 - 1) / 2e0).alias("lon"),
+        F.date_add(F.lit("1992-03-01").cast("date"), ((key * 23) % 2400).cast("int")).alias("date"),
+    )

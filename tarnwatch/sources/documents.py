@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnwatch.operators.chunks import (
     ROUTES, describe_chunks, recursive_chunks, route_documents, upsert_latest,
 )
+from tarnwatch.sources.buckets import BUCKETS, BucketStore, upsert
 
 
 def read_documents(spark: SparkSession, path: str, suffix: str = ".md") -> DataFrame:
@@ -52,3 +54,21 @@ def upsert_collections(stored: DataFrame, incoming: DataFrame, path: str) -> Non
         stored.withColumn("_version", F.lit(0)), incoming.withColumn("_version", F.lit(1)), "chunk_id", "_version"
     )
     write_collections(merged.drop("_version"), path)
+
+
+CHUNK = "collection string, chunk_id string, source string, document_type string, chunk_index int, region string, chunk string, ordinal long"
+
+
+def open_collections(spark: SparkSession, path: str, buckets: int = BUCKETS) -> BucketStore:
+    """The newest version of the chunk store at ``path``; an empty one if there is none yet."""
+    return BucketStore(spark, path, T.StructType.fromDDL(CHUNK), buckets, cluster=("collection", "chunk_id"))
+
+
+def upsert_chunks(store: BucketStore, chunks: DataFrame) -> None:
+    """Upsert chunks by collection and id into ``store``; the last ``ordinal`` wins.
+
+    Columns that ``chunks`` lacks are null. Other buckets than those of the incoming ids stay as they are.
+    """
+    fields = T.StructType.fromDDL(CHUNK).fields
+    columns = [F.col(f.name).cast(f.dataType) if f.name in chunks.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields]
+    upsert(store, chunks.select(*columns), ("collection", "chunk_id"), "ordinal")
