@@ -75,7 +75,44 @@ def tile_place(key: str) -> tuple[str, str]:
     return f"{key} % 160 - 8e1 + ({key} % 7) / 8e0", f"({key} * 37) % 360 - 18e1 + ({key} % 5) / 8e0"
 
 
+def _edge_list(points: list[tuple[str, str]]) -> str:
+    """A list of edges along the points, back to the first."""
+    pairs = zip(points, points[1:] + points[:1])
+    return "[" + ", ".join(f"{{'x1': {a}, 'y1': {b}, 'x2': {c}, 'y2': {d}}}" for (a, b), (c, d) in pairs) + "]"
+
+
+_OUTER = _edge_list([("x", "y"), ("x + w", "y + 1"), ("x + w + s", "y + h + 1"), ("x + s", "y + h")])
+_HOLE = _edge_list([("cx - 1", "cy"), ("cx", "cy + 1"), ("cx + 1", "cy"), ("cx", "cy - 1")])
+_SECOND = _edge_list([("x + 30", "y"), ("x + 32", "y"), ("x + 32", "y + 2"), ("x + 30", "y + 2")])
+_SIDES = ", ".join(f"(x2 - x1) * ({y} - y1) - (y2 - y1) * ({x} - x1)" for x in ("bw", "be") for y in ("bs", "bn"))
+
+
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
+    "box_regions": ((), """
+SELECT CAST(s_suppkey AS BIGINT) AS region_id, (s_suppkey * 37) % 140 - 7e1 + (s_suppkey % 8) / 8e0 AS lat,
+  CASE WHEN s_suppkey % 10 = 0 THEN 17975e-2 WHEN s_suppkey % 10 = 5 THEN -179875e-3 ELSE (s_suppkey * 53) % 360 - 18e1 + (s_suppkey % 4) / 4e0 END AS lon
+FROM supplier"""),
+    "footprint_edges": (("shapes",), f"""
+SELECT product_id, product_time, part, UNNEST(edges, recursive := true) FROM (
+  SELECT product_id, product_time, 0 AS part, CASE WHEN product_id % 11 = 0 THEN list_concat({_OUTER}, {_HOLE}) ELSE {_OUTER} END AS edges FROM shapes
+  UNION ALL SELECT product_id, product_time, 1, {_SECOND} FROM shapes WHERE product_id % 7 = 0) e"""),
+    "shapes": ((), """
+SELECT *, x + w / 2 + s / 2 AS cx, y + (h + 1) / 2 AS cy FROM (
+  SELECT CAST(o_orderkey AS BIGINT) AS product_id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS product_time,
+    (o_orderkey * 7919 % 23040) / 64e0 - 18e1 AS x, (o_orderkey * 104729 % 9600) / 64e0 - 75e0 AS y,
+    CAST(o_orderkey % 9 + 4 AS DOUBLE) AS w, CAST(o_orderkey % 7 + 3 AS DOUBLE) AS h, CAST(o_orderkey % 5 - 2 AS DOUBLE) AS s
+  FROM orders WHERE NOT (o_orderkey % 2 = 1 AND o_orderkey % 10 = 1)) o"""),
+    "box_hits": (("box_regions", "shapes", "footprint_edges"), f"""
+SELECT DISTINCT region_id, product_id, product_time FROM (
+  SELECT region_id, product_id, product_time, part, turn,
+    bool_or(LEAST(x1, x2) <= be AND GREATEST(x1, x2) >= bw AND LEAST(y1, y2) <= bn AND GREATEST(y1, y2) >= bs
+      AND LEAST({_SIDES}) <= 0 AND GREATEST({_SIDES}) >= 0) AS touched,
+    COUNT(*) FILTER (WHERE (y1 > bs) <> (y2 > bs) AND bw < (x2 - x1) * (bs - y1) / NULLIF(y2 - y1, 0) + x1) AS passed
+  FROM (SELECT region_id, turn, lat - 5e-1 AS bs, lat + 5e-1 AS bn, lon - 5e-1 + turn AS bw, lon + 5e-1 + turn AS be FROM box_regions, (SELECT UNNEST([-36e1, 0e0, 36e1]) AS turn) t) b
+  JOIN (SELECT * FROM footprint_edges JOIN (SELECT product_id AS p, part AS q, MIN(x1) AS fw, MAX(x1) AS fe, MIN(y1) AS fs, MAX(y1) AS fn FROM footprint_edges GROUP BY ALL) x ON p = product_id AND q = part) e
+    ON fw <= be AND fe >= bw AND fs <= bn AND fn >= bs
+  GROUP BY ALL) h
+WHERE touched OR passed % 2 = 1"""),
     "tile_rows": ((), f"""
 SELECT 'p' || CAST(FLOOR(l_partkey / 25e0) AS BIGINT) AS region_id, CAST(l_shipdate AS DATE) AS date, {tile_place("l_partkey")[0]} AS lat, {tile_place("l_partkey")[1]} AS lon,
   FLOOR(l_extendedprice) / 1024e0 AS chl_a, CAST(l_quantity AS DOUBLE) AS turbidity, l_returnflag AS source

@@ -12,7 +12,7 @@ from tarnwatch.operators import chunks
 from tarnwatch.plans import views
 from tarnwatch.plans.registry import query
 from tarnwatch.session import stage, staging_dir
-from tarnwatch.sources import buckets, documents, obstore
+from tarnwatch.sources import buckets, catalogs, documents, elements, obstore
 
 #: Buckets of the stores that queries write.
 STORE_BUCKETS = 16
@@ -83,3 +83,45 @@ def collection_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = rated.where("quality IS NOT NULL").withColumn("ordinal", F.lit(1))
     documents.upsert_chunks(store, late.withColumn("chunk", F.concat(F.lit("late: "), "chunk")))
     return store.read().select("collection", "chunk_id", "ordinal", F.md5("chunk").alias("digest"))
+
+
+def _box_catalogs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """What the written catalogs have for the regions' boxes."""
+    a, b = views.written_catalogs(spark, sf_dir, fresh(spark, "catalogs"))
+    regions = views.box_regions(spark, sf_dir)
+    found = [catalogs.products_in_boxes(c, regions) for c in (catalogs.read_catalog_a(spark, a), catalogs.read_catalog_b(spark, b))]
+    return tuple(stage(f, "box-products") for f in found)
+
+
+@query("SELECT region_id, CAST(product_id AS VARCHAR) AS product_id, product_time, CASE product_id % 2 WHEN 0 THEN 'a' ELSE 'b' END AS catalog FROM box_hits", ("box_hits",))
+def catalog_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of both catalogs whose footprint meets a region's box."""
+    a, b = _box_catalogs(spark, sf_dir)
+    return a.withColumn("catalog", F.lit("a")).unionByName(b.withColumn("catalog", F.lit("b")))
+
+
+@query("""
+, a AS (SELECT DISTINCT region_id, CAST(SUBSTRING(product_time, 1, 10) AS DATE) AS date FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY region_id ORDER BY product_time DESC, CAST(product_id AS VARCHAR) DESC) AS rn FROM box_hits WHERE product_id % 2 = 0) x WHERE rn <= 4),
+b AS (SELECT DISTINCT region_id, CAST(SUBSTRING(product_time, 1, 10) AS DATE) AS date FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY region_id ORDER BY product_time DESC, CAST(product_id AS VARCHAR) DESC) AS rn FROM box_hits WHERE product_id % 2 = 1) x WHERE rn <= 3)
+SELECT * FROM a UNION SELECT * FROM b WHERE region_id NOT IN (SELECT region_id FROM a GROUP BY region_id HAVING COUNT(*) >= 4)""", ("box_hits",))
+def catalog_box_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product dates of the boxes: the newest four of catalog A, and three of B where A has fewer dates."""
+    return catalogs.product_dates(*_box_catalogs(spark, sf_dir), newest_a=4, newest_b=3, enough=4)
+
+
+@query("""
+SELECT element_id, element_type, CASE element_type WHEN 'node' THEN lat END AS lat, CASE element_type WHEN 'node' THEN lon END AS lon,
+  CASE element_type WHEN 'way' THEN lat END AS center_lat, CASE element_type WHEN 'way' THEN lon END AS center_lon, name, operator
+FROM elements""", ("elements",))
+def map_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Map elements written as responses and read back, each response by any number of tasks."""
+    path = fresh(spark, "responses")
+    rows = views.facility_elements(spark, sf_dir).withColumnsRenamed({"element_id": "id", "element_type": "type"})
+    views.write_responses(rows.select(F.col("id").alias("key"), F.to_json(F.struct(*rows.columns)).alias("item")), "elements", path)
+    found = elements.read_elements(spark, path)
+    return found.select(
+        "element_id", "element_type", "lat", "lon", F.col("center.lat").alias("center_lat"), F.col("center.lon").alias("center_lon"),
+        F.col("tags")["name"].alias("name"), F.col("tags")["operator"].alias("operator"),
+    )

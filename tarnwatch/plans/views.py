@@ -234,3 +234,73 @@ def tile_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         (lat + (key % 5 - 2) / 4e0).alias("lat"), (lon + (key % 3 - 1) / 2e0).alias("lon"),
         F.date_add(F.lit("1992-03-01").cast("date"), ((key * 23) % 2400).cast("int")).alias("date"),
     )
+
+
+#: Products or elements of one written response.
+PAGE = 100
+
+
+def write_responses(items: DataFrame, array: str, path: str) -> None:
+    """JSON objects (``key``, text ``item``) as responses of a page of keys each, several in a file."""
+    pages = items.groupBy(F.floor(F.col("key") / PAGE)).agg(F.array_sort(F.collect_list("item")).alias("items"))
+    text = F.concat(F.lit(f'{{"{array}":['), F.array_join("items", ",\n"), F.lit("]}"))
+    pages.select(text.alias("value")).write.text(path)
+
+
+def footprint_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One product per order with a slanted footprint; some have a hole, a second part, or cross 180 degrees."""
+    key = F.col("o_orderkey")
+    x, y = (key * 7919 % 23040) / 64e0 - 18e1, (key * 104729 % 9600) / 64e0 - 75e0
+    width, height, slant = (key % 9 + 4).cast("double"), (key % 7 + 3).cast("double"), (key % 5 - 2).cast("double")
+    wrapped = lambda lon: F.when(lon >= 180, lon - 360).otherwise(lon)
+    ring = lambda *points: F.array(*(F.array(wrapped(a), b) for a, b in points))
+    outer = ring((x, y), (x + width, y + 1), (x + width + slant, y + height + 1), (x + slant, y + height), (x, y))
+    cx, cy = x + width / 2 + slant / 2, y + (height + 1) / 2
+    hole = ring((cx - 1, cy), (cx, cy + 1), (cx + 1, cy), (cx, cy - 1), (cx - 1, cy))
+    second = F.array(ring((x + 30, y), (x + 32, y), (x + 32, y + 2), (x + 30, y + 2), (x + 30, y)))
+    first = F.when(key % 11 == 0, F.array(outer, hole)).otherwise(F.array(outer))
+    return table(spark, sf_dir, "orders").select(
+        key.alias("key"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time"),
+        first.alias("first"), F.when(key % 7 == 0, second).alias("second"),
+    )
+
+
+def _geometry() -> F.Column:
+    several = F.col("second").isNotNull()
+    return F.struct(
+        F.when(several, "MultiPolygon").otherwise("Polygon").alias("type"),
+        F.when(several, F.to_json(F.array("first", "second"))).otherwise(F.to_json("first")).alias("coordinates"),
+    )
+
+
+def _well_known_text() -> F.Column:
+    """The footprint as well-known text; numbers are written as in JSON."""
+    several = F.col("second").isNotNull()
+    text = F.when(several, F.to_json(F.array("first", "second"))).otherwise(F.to_json("first"))
+    points = F.regexp_replace(text, r"\[(-?[0-9.E-]+),(-?[0-9.E-]+)\]", "$1 $2")
+    name = F.when(several, "MULTIPOLYGON").otherwise("POLYGON")
+    return F.concat(F.lit("geography'SRID=4326;"), name, F.lit(" "), F.translate(points, "[]", "()"), F.lit("'"))
+
+
+def written_catalogs(spark: SparkSession, sf_dir: str, path: str) -> tuple[str, str]:
+    """Catalog A (even orders, GeoJSON) and B (odd orders, some with well-known text) as responses."""
+    rows = footprint_products(spark, sf_dir)
+    shaped = rows.select("*", _geometry().alias("g")).select("*", "g.*")
+    json = F.concat(F.lit('{"type":"'), "type", F.lit('","coordinates":'), "coordinates", F.lit("}"))
+    key, quoted = F.col("key").cast("string"), lambda name, value: F.concat(F.lit(f'"{name}":"'), value, F.lit('"'))
+    item_a = F.concat(F.lit("{"), quoted("id", key), F.lit(',"properties":{'), quoted("datetime", F.col("time")), F.lit('},"geometry":'), json, F.lit("}"))
+    kind = F.when(F.col("key") % 10 == 1, "OTHER").otherwise("OL_2_WFR___")
+    shape = F.when(F.col("key") % 3 == 0, quoted("Footprint", _well_known_text())).otherwise(F.concat(F.lit('"GeoFootprint":'), json))
+    item_b = F.concat(F.lit("{"), quoted("Id", key), F.lit(","), quoted("ProductType", kind), F.lit(',"ContentDate":{'), quoted("Start", F.col("time")), F.lit("},"), shape, F.lit("}"))
+    for name, rest, item, array in (("a", 0, item_a, "features"), ("b", 1, item_b, "value")):
+        write_responses(shaped.where(F.col("key") % 2 == rest).select("key", item.alias("item")), array, f"{path}/{name}")
+    return f"{path}/a", f"{path}/b"
+
+
+def box_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One region per supplier; every tenth lies at the antimeridian."""
+    key = F.col("s_suppkey")
+    lon = F.when(key % 10 == 0, 179.75).when(key % 10 == 5, -179.875).otherwise((key * 53) % 360 - 18e1 + (key % 4) / 4e0)
+    return table(spark, sf_dir, "supplier").select(
+        key.cast("long").alias("region_id"), ((key * 37) % 140 - 7e1 + (key % 8) / 8e0).alias("lat"), lon.alias("lon")
+    )

@@ -30,15 +30,15 @@ MAP_ELEMENT = _struct(
 )
 MAP_RESPONSE = _struct(("elements", T.ArrayType(MAP_ELEMENT)))
 
-CATALOG_A = _struct(
-    ("region_id", L),
-    ("features", T.ArrayType(_struct(("id", S), ("properties", _struct(("datetime", S)))))),
-)
-CATALOG_B = _struct(
-    ("region_id", L),
-    ("value", T.ArrayType(_struct(
-        ("Id", S), ("ProductType", S), ("ContentDate", _struct(("Start", S)))))),
+# Nested coordinates differ in depth by geometry type, so they are read as text.
+GEOMETRY = _struct(("type", S), ("coordinates", S))
+FEATURE_A = _struct(("id", S), ("properties", _struct(("datetime", S))), ("geometry", GEOMETRY))
+PRODUCT_B = _struct(
+    ("Id", S), ("ProductType", S), ("ContentDate", _struct(("Start", S))), ("GeoFootprint", GEOMETRY), ("Footprint", S),
 )
+RESPONSE = _struct(("region_id", L))
+CATALOG_A = _struct(("region_id", L), ("features", T.ArrayType(FEATURE_A)))
+CATALOG_B = _struct(("region_id", L), ("value", T.ArrayType(PRODUCT_B)))
 
 ADDRESS = _struct(("city", S), ("town", S), ("county", S), ("state", S), ("country", S))
 PLACE = _struct(("name", S), ("display_name", S), ("address", ADDRESS))

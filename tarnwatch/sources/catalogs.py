@@ -1,12 +1,15 @@
-"""Product catalogs: which dates a region has products for."""
+"""Product catalogs: which products cover a region, and which dates it has products for."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnwatch import schemas
+from tarnwatch.operators import footprints
 from tarnwatch.operators.nearby import rank_within
+from tarnwatch.sources import jsonarrays
 
 # Fixed values, defaults of product_dates: newest products looked at per region and catalog; dates
 # that make A sufficient.
@@ -15,29 +18,48 @@ ENOUGH_DATES = 10
 PRODUCT_TYPE_B = "OL_2_WFR___"
 
 
-def read_catalog_a(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Products of catalog A: one row per feature with its timestamp text.
+def _responses(spark: SparkSession, path: str, array: str, element: T.StructType, whole: T.StructType, split: bool) -> DataFrame:
+    if split:
+        return jsonarrays.read_array(spark, path, array, element, schemas.RESPONSE)
+    raw = spark.read.schema(whole).option("multiLine", True).json(path)
+    return raw.select("region_id", F.explode(array).alias("element"))
 
-    ``multi_line=False`` reads one response per line, which splits large files.
+
+def read_catalog_a(spark: SparkSession, path: str, split: bool = True) -> DataFrame:
+    """Products of catalog A: one row per feature with its timestamp text and its footprint.
+
+    A large response is read by many tasks; ``split=False`` reads each file as a whole.
     """
-    raw = spark.read.schema(schemas.CATALOG_A).option("multiLine", multi_line).json(path)
-    return raw.select("region_id", F.explode("features").alias("f")).select(
-        "region_id", F.col("f.id").alias("product_id"), F.col("f.properties.datetime").alias("product_time")
+    rows = _responses(spark, path, "features", schemas.FEATURE_A, schemas.CATALOG_A, split)
+    return rows.select(
+        "region_id", F.col("element.id").alias("product_id"), F.col("element.properties.datetime").alias("product_time"),
+        footprints.polygons_of(F.col("element.geometry")).alias("footprint"),
     )
 
 
-def read_catalog_b(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Products of catalog B, of the water product type; ``multi_line`` as for catalog A."""
-    raw = spark.read.schema(schemas.CATALOG_B).option("multiLine", multi_line).json(path)
-    return (
-        raw.select("region_id", F.explode("value").alias("v"))
-        .where(F.col("v.ProductType") == PRODUCT_TYPE_B)
-        .select(
-            "region_id", F.col("v.Id").alias("product_id"), F.col("v.ContentDate.Start").alias("product_time")
-        )
+def read_catalog_b(spark: SparkSession, path: str, split: bool = True) -> DataFrame:
+    """Products of catalog B, of the water product type; ``split`` as for catalog A.
+
+    The footprint is the GeoJSON one, else the well-known text.
+    """
+    rows = _responses(spark, path, "value", schemas.PRODUCT_B, schemas.CATALOG_B, split)
+    geometry = F.coalesce(F.col("element.GeoFootprint"), footprints.geometry_of_text(F.col("element.Footprint")))
+    return rows.where(F.col("element.ProductType") == PRODUCT_TYPE_B).select(
+        "region_id", F.col("element.Id").alias("product_id"), F.col("element.ContentDate.Start").alias("product_time"),
+        footprints.polygons_of(geometry).alias("footprint"),
     )
 
 
+def products_in_boxes(products: DataFrame, regions: DataFrame, delta: float = 0.5) -> DataFrame:
+    """``region_id, product_id, product_time`` of the products whose footprint meets a region's box.
+
+    ``regions`` has ``region_id, lat, lon``. Each product counts once per region, however often it is
+    listed. The result takes the place of a catalog in :func:`product_dates` and the others here.
+    """
+    found = footprints.meeting_boxes(products.select("product_id", "product_time", "footprint"), regions, delta)
+    return found.select("region_id", "product_id", "product_time")
+
+
 def newest(products: DataFrame, limit: int, since: str | None = None) -> DataFrame:
     """The newest products of each region.
 
