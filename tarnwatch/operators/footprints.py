@@ -38,7 +38,7 @@ def geometry_of_text(text: Column) -> Column:
 
 
 def _unwrapped(ring: Column) -> Column:
-    """The ring's points with longitudes that never jump by more than half the globe."""
+    """The ring's points with longitudes that never jump by more than half the globe, as no edge does."""
     def follow(done: Column, point: Column) -> Column:
         before = F.element_at(done, -1)[0]
         turns = F.round((before - point[0]) / 360.0)
@@ -51,12 +51,17 @@ def _unwrapped(ring: Column) -> Column:
 
 
 def _closed(ring: Column) -> Column:
-    """The ring ending where it began; one that runs once around the globe is closed along its pole."""
+    """The ring ending at the point where it began."""
+    return F.when(ring[0] == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
+
+
+def _around_pole(ring: Column) -> Column:
+    """An unwrapped ring that runs once around the globe, closed along its pole; others as they are."""
     first, last = ring[0], F.element_at(ring, -1)
     mean = F.aggregate(ring, F.lit(0.0), lambda total, point: total + point[1])
     pole = F.when(mean >= 0, 90.0).otherwise(-90.0)
     around = F.concat(ring, F.array(F.array(last[0], pole), F.array(first[0], pole), first))
-    return F.when(F.abs(first[0] - last[0]) > 180.0, around).when(first == last, ring).otherwise(F.concat(ring, F.array(first)))
+    return F.when(F.abs(first[0] - last[0]) > 180.0, around).otherwise(ring)
 
 
 def _middle(ring: Column) -> Column:
@@ -73,7 +78,7 @@ def polygon_edges(products: DataFrame) -> DataFrame:
     sound = lambda ring: F.filter(ring, lambda point: point[0].isNotNull() & point[1].isNotNull())
     polygons = products.withColumn("_rings", F.explode("footprint")).drop("footprint")
     rings = F.filter(F.transform(F.coalesce("_rings", F.array().cast(f"array<{RING}>")), sound), lambda ring: F.size(ring) >= 3)
-    walked = polygons.withColumn("_rings", F.transform(rings, lambda ring: _closed(_unwrapped(ring)))).where(F.size("_rings") > 0)
+    walked = polygons.withColumn("_rings", F.transform(rings, lambda ring: _around_pole(_unwrapped(_closed(ring))))).where(F.size("_rings") > 0)
     # holes lie on the same turn as their outer ring; all of it begins on the first turn
     turned = walked.withColumn("_middle", _middle(F.col("_rings")[0])).withColumn(
         "_west", F.array_min(F.transform(F.col("_rings")[0], lambda point: point[0]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.types import StructType
 
 from tarnwatch import schemas
 from tarnwatch.operators import footprints
@@ -18,7 +18,7 @@ ENOUGH_DATES = 10
 PRODUCT_TYPE_B = "OL_2_WFR___"
 
 
-def _responses(spark: SparkSession, path: str, array: str, element: T.StructType, whole: T.StructType, split: bool) -> DataFrame:
+def _responses(spark: SparkSession, path: str, array: str, element: StructType, whole: StructType, split: bool) -> DataFrame:
     if split:
         return jsonarrays.read_array(spark, path, array, element, schemas.RESPONSE)
     raw = spark.read.schema(whole).option("multiLine", True).json(path)

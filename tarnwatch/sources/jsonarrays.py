@@ -138,7 +138,7 @@ def _parts_of(text: bytes, inside: int, brace: int, bracket: int) -> list[tuple]
 
 
 def read_array(
-    spark: SparkSession, path: str, array: str, element: T.DataType, outer: T.StructType | None = None, chunk_bytes: int = CHUNK_BYTES
+    spark: SparkSession, path: str, array: str, element: T.DataType | str, outer: T.StructType | str | None = None, chunk_bytes: int = CHUNK_BYTES
 ) -> DataFrame:
     """One row per object of the array ``array`` of every response: ``outer.*`` and ``element``.
 
