@@ -1,4 +1,4 @@
-"""Isolation forest per region (Liu, Ting & Zhou 2008), fitted and applied in bounded pieces."""
+"""Isolation forest per region (Liu, Ting & Zhou 2008): each tree samples the whole region, rows are scored in blocks."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,6 @@ from tarnwatch.operators.features import MODEL_INPUTS
 from tarnwatch.operators.quantile import order_statistic
 from tarnwatch.session import stage
 
-SALTS = 64
 ROWS_PER_BLOCK = 100_000
 SCORING_CHUNK = 8_192
 
@@ -36,11 +35,15 @@ def grow_trees(points: np.ndarray, trees: int, sample_size: int, rng: np.random.
     its path length. Returns ``feature``, ``threshold`` (trees x inner nodes) and ``path``
     (trees x leaves).
     """
-    n, width = points.shape
-    size = min(sample_size, n)
+    n = len(points)
+    drawn = np.argsort(rng.random((trees, n)), axis=1)[:, : min(sample_size, n)]
+    return grow_from(points[drawn], rng)
+
+
+def grow_from(sample: np.ndarray, rng: np.random.Generator):
+    """As :func:`grow_trees`, from the rows drawn for each tree (trees x size x inputs)."""
+    trees, size, width = sample.shape
     height = int(np.ceil(np.log2(max(size, 2))))
-    drawn = np.argsort(rng.random((trees, n)), axis=1)[:, :size]
-    sample = points[drawn]
     inner, leaves = 2**height - 1, 2**height
     feature = np.zeros((trees, inner), dtype=np.int8)
     threshold = np.full((trees, inner), np.inf)
@@ -100,33 +103,52 @@ def score_points(points: np.ndarray, feature, threshold, path, size: int) -> np.
     return np.exp2(-scores / average_path(np.array([size]))[0]) if size > 1 else np.full(len(points), 0.5)
 
 
-def _region_sample(rows: DataFrame, rows_wanted: int, seed: int) -> DataFrame:
-    """A uniform sample of about ``rows_wanted`` rows per region, independent of partitioning.
+def tree_samples(rows: DataFrame, trees: int, sample_size: int, seed: int) -> DataFrame:
+    """For each region and tree its own uniform sample from all rows: ``rows`` with ``tree``, ``priority``.
+
+    A tree draws the ``sample_size`` rows with the smallest priorities, a hash of row and tree. Rows
+    that surely lie above are left out where they are read: a row is a candidate of a tree with a
+    probability that lets ``sample_size`` and nine standard deviations more pass, given the rows of
+    the region. Which tree is the first to take a row follows from one hash (the gap of a Bernoulli
+    sequence), so a row that no tree takes, nearly every one, costs one logarithm. Whatever
+    the size of a region, a few hundred rows per tree are shuffled.
 
-    Rows are ordered by a hash of their identity within salted parts of the region; each part
-    contributes its first rows. The ranked filter also runs before the shuffle, so a region that
-    holds most of the table sends only a bounded number of rows per task.
+    Should fewer rows pass than a tree may draw, which happens once in 10 ** 18 trees, all trees of
+    the region draw that many.
     """
+    counts = rows.groupBy("region_id").agg(F.count(F.lit(1)).alias("_rows"))
+    passing = sample_size + 9.0 * sample_size**0.5 + 16.0
+    chance = F.least(F.lit(1.0), F.lit(passing) / F.col("_rows"))
     identity = F.xxhash64("region_id", "cell_id", "date", F.lit(seed))
-    hashed = rows.withColumn("_hash", identity).withColumn("_salt", F.pmod("_hash", F.lit(SALTS)))
-    first = Window.partitionBy("region_id", "_salt").orderBy("_hash", "cell_id", "date")
-    return (
-        hashed.withColumn("_place", F.row_number().over(first))
-        .where(F.col("_place") <= -(-rows_wanted // SALTS))
-        .drop("_place", "_salt")
-    )
+
+    def unit(*key) -> F.Column:
+        """A number in (0, 1) from a hash."""
+        return (F.shiftrightunsigned(F.xxhash64(*key), 11).cast("double") + 0.5) * 2.0**-53
+
+    hashed = rows.join(counts, "region_id").withColumns({"_id": identity, "_chance": chance})
+    # log(1 - 1) is null in SQL: a row that is sure to pass is taken by the first tree
+    first = F.when(F.col("_chance") >= 1.0, F.lit(0.0)).otherwise(F.floor(F.log(unit("_id", F.lit("first"))) / F.log1p(-F.col("_chance"))))
+    taken = hashed.withColumn("_first", first).where(F.col("_first") < trees).withColumn("_first", F.col("_first").cast("int"))
+    # after the first one every tree decides for itself
+    later = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: (t > F.col("_first")) & (unit("_id", t) < F.col("_chance")))
+    dealt = taken.withColumn("tree", F.explode(F.concat(F.array("_first"), later)))
+    return dealt.withColumn("priority", F.xxhash64("_id", "tree", F.lit("priority"))).drop("_id", "_chance", "_first", "_rows")
+
+
+def drawn_rows(sample: pd.DataFrame, inputs: list[str], trees: int, sample_size: int) -> np.ndarray:
+    """Rows of each tree (trees x size x inputs) from the candidates of one region."""
+    ordered = sample.sort_values(["tree", "priority", "cell_id", "date"])
+    values = ordered[inputs].to_numpy(dtype=np.float64)
+    counts = np.bincount(ordered["tree"].to_numpy(), minlength=trees)
+    size = min(sample_size, int(counts.min()))
+    starts = np.cumsum(counts) - counts
+    return values[starts[:, None] + np.arange(size)]
 
 
 def fit_forests(
     features: DataFrame, inputs: list[str], trees: int = 100, sample_size: int = 256, seed: int = 42,
-    pool: int | None = None,
 ) -> DataFrame:
-    """One row per region holding its packed trees, grown from a bounded sample of the region.
-
-    ``pool`` bounds the rows of a region that the fit sees, picked by hash from all of them; each
-    tree draws its ``sample_size`` rows from it. The default, ``trees * sample_size``, gives every
-    tree as many rows of its own as it draws. Scores and thresholds always cover all rows.
-    """
+    """One row per region holding its packed trees; every tree draws its rows from the whole region."""
     region = features.schema["region_id"]
     schema = T.StructType([
         T.StructField("region_id", region.dataType),
@@ -138,11 +160,8 @@ def fit_forests(
     ])
 
     def fit(key: tuple, sample: pd.DataFrame) -> pd.DataFrame:
-        sample = sample.sort_values(["_hash", "cell_id", "date"])
         rng = np.random.default_rng([seed, zlib.crc32(str(key[0]).encode())])
-        feature, threshold, path, size = grow_trees(
-            sample[inputs].to_numpy(dtype=np.float64), trees, sample_size, rng
-        )
+        feature, threshold, path, size = grow_from(drawn_rows(sample, inputs, trees, sample_size), rng)
         return pd.DataFrame([{
             "region_id": key[0], "trees": trees, "size": size, "feature": feature.tobytes(),
             "threshold": threshold.tobytes(), "path": path.tobytes(),
@@ -151,8 +170,7 @@ def fit_forests(
     rows = features.select(
         "region_id", "cell_id", "date", *[F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c) for c in inputs]
     )
-    sampled = _region_sample(rows, pool or trees * sample_size, seed)
-    return sampled.groupBy("region_id").applyInPandas(fit, schema)
+    return tree_samples(rows, trees, sample_size, seed).groupBy("region_id").applyInPandas(fit, schema)
 
 
 def isolation_scores(

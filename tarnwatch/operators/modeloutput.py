@@ -36,18 +36,30 @@ def _default() -> Column:
     )
 
 
+def _is_json(text: Column) -> Column:
+    """Whether the text is JSON, where keys may be repeated.
+
+    The strict parser refuses repeated keys, the lenient one reads them but also stops at the end of
+    the first value and takes single quotes. So what only the lenient one reads must come out with
+    all its quotes and braces, and must still be refused: then repeated keys are what is wrong.
+    """
+    read = F.get_json_object(text, "$")
+    whole = lambda mark: F.regexp_count(text, F.lit(mark)) == F.regexp_count(read, F.lit(mark))
+    repeated = read.isNotNull() & F.try_parse_json(read).isNull() & whole(r"\}") & whole(r"\"")
+    return F.coalesce(F.try_parse_json(text).isNotNull() | repeated, F.lit(False))
+
+
 def report_json(raw: Column) -> Column:
     """The JSON text inside raw output, or NULL.
 
     Code fences are stripped; if the rest is not JSON, the span from the first opening to the last
-    closing brace is tried. Text that is JSON but not an object is no report.
+    closing brace is tried. Text that is JSON but not an object is no report. Of repeated keys the
+    last one counts.
     """
     unfenced = F.regexp_replace(raw, r"```(?:json)?\s*", "")
     cleaned = F.regexp_replace(unfenced, r"^\s+|[\s`]+$", "")
     braces = F.regexp_extract(cleaned, r"(?s)\{.*\}", 0)
-    return F.when(F.try_parse_json(cleaned).isNotNull() & cleaned.startswith("{"), cleaned).when(
-        F.try_parse_json(braces).isNotNull(), braces
-    )
+    return F.when(_is_json(cleaned) & cleaned.startswith("{"), cleaned).when(_is_json(braces), braces)
 
 
 def parse_reports(outputs: DataFrame, raw: str = "raw") -> DataFrame:

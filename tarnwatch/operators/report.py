@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnwatch import schemas
 from tarnwatch.functions import wording
-from tarnwatch.functions.geo import location_label
+from tarnwatch.functions.geo import location_label, number_text
 from tarnwatch.functions.text import fixed
 from tarnwatch.operators.nearby import rank_within
 from tarnwatch.session import stage
@@ -114,7 +114,7 @@ def community_reports(events: DataFrame, facilities: DataFrame, place: Column |
         "region_id": F.col("region_id").cast("string"),
         "event_date": F.date_format("date", "yyyy-MM-dd"),
         "event_coordinates": F.concat(
-            F.lit("["), F.col("lat").cast("string"), F.lit(", "), F.col("lon").cast("string"), F.lit("]")
+            F.lit("["), number_text(F.col("lat")), F.lit(", "), number_text(F.col("lon")), F.lit("]")
         ),
         "location_name": F.col("location_name"),
         "generated_by": F.lit(GENERATED_BY),
@@ -128,7 +128,7 @@ def community_reports(events: DataFrame, facilities: DataFrame, place: Column |
         "event_id",
         F.concat_ws(
             "_", F.col("region_id").cast("string"), F.date_format("date", "yyyy-MM-dd"),
-            F.col("lat").cast("string"), F.col("lon").cast("string"),
+            number_text(F.col("lat")), number_text(F.col("lon")),
         ).alias("report_key"),
         "alert_level",
         "alert_summary",
@@ -209,7 +209,7 @@ def render_text(reports: DataFrame, events: DataFrame, title: str = "Community W
         lambda s, i: F.concat(
             (i + 1).cast("string"), F.lit(". "), s["source_name"], F.lit(" ("), s["source_type"],
             F.lit(", "), s["likelihood"], F.lit(")\n   Distance: "),
-            F.when(s["distance_km"] > 0, F.concat(s["distance_km"].cast("string"), F.lit(" km"))).otherwise("unknown"),
+            F.when(s["distance_km"] > 0, F.concat(F.regexp_replace(number_text(s["distance_km"]), r"\.0$", ""), F.lit(" km"))).otherwise("unknown"),
             F.lit("\n   "), s["evidence"], F.lit("\n\n"),
         ),
     )

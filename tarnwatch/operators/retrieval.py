@@ -249,12 +249,12 @@ def render_prompts(events: DataFrame, facility_texts: DataFrame, contexts: DataF
         "region_id": F.col("region_id").cast("string"),
         "location_name": F.col("location_name"),
         "date": F.date_format("date", "yyyy-MM-dd"),
-        "lat": F.col("lat").cast("string"),
-        "lon": F.col("lon").cast("string"),
+        "lat": number_text(F.col("lat")),
+        "lon": number_text(F.col("lon")),
         "severity": F.col("severity"),
-        "chl_a_value": F.col("chl_a_value").cast("string"),
-        "chl_a_baseline": F.col("chl_a_baseline").cast("string"),
-        "z_score": F.bround("z_score", 2).cast("string"),
+        "chl_a_value": number_text(F.col("chl_a_value")),
+        "chl_a_baseline": number_text(F.col("chl_a_baseline")),
+        "z_score": number_text(F.bround("z_score", 2)),
         "weather_context": F.col("weather_context"),
         "facilities": F.coalesce("facilities_text", F.lit(NO_FACILITIES)),
         "context": F.coalesce("context", F.lit("")),

@@ -84,7 +84,29 @@ def test_order_statistic(spark, fraction):
         assert got == want
 
 
-def test_sample_is_bounded(points):
-    sample = forest._region_sample(points, 640, 42).groupBy("region_id").count().collect()
-    counts = {r["region_id"]: r["count"] for r in sample}
-    assert counts["big"] == 640 and counts["small"] == 41 and counts["tiny"] == 1
+def test_every_tree_draws_from_all_rows(spark):
+    rows = spark.range(40_000).selectExpr("'r' || (id % 3 = 0) as region_id", "id as cell_id", "date'2020-01-01' as date", "cast(id as double) as v")
+    sample = forest.tree_samples(rows, 100, 256, 42).toPandas()
+    sizes = {r["region_id"]: r["n"] for r in rows.groupBy("region_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for region, part in sample.groupby("region_id"):
+        per_tree = part.groupby("tree").size()
+        # candidates are few, and never fewer than a tree draws
+        assert len(per_tree) == 100 and per_tree.min() >= 256 and per_tree.max() < 600
+        assert not part.duplicated(["tree", "cell_id"]).any()
+        drawn = forest.drawn_rows(part, ["v"], 100, 256)[:, :, 0]
+        assert drawn.shape == (100, 256) and all(len(set(d)) == 256 for d in drawn)
+        # uniform over the region, and trees draw independently of each other
+        place = np.sort(drawn.ravel()) / 40_000
+        assert np.abs(place - np.linspace(0, 1, len(place))).max() < 0.02
+        shared = len(set(drawn[0]) & set(drawn[1]))
+        assert shared < 8 * 256**2 / sizes[region] + 8
+        assert len(set(drawn.ravel())) > 0.8 * sizes[region] * (1 - np.exp(-25_600 / sizes[region]))
+
+
+def test_small_regions_are_drawn_whole(spark):
+    rows = spark.range(300).selectExpr("case when id < 10 then 'small' else 'most' end as region_id", "id as cell_id", "date'2020-01-01' as date", "cast(id as double) as v")
+    sample = forest.tree_samples(rows, 20, 256, 1).toPandas()
+    small = forest.drawn_rows(sample[sample["region_id"] == "small"], ["v"], 20, 256)
+    assert small.shape == (20, 10, 1) and all(set(d) == set(range(10)) for d in small[:, :, 0])
+    most = forest.drawn_rows(sample[sample["region_id"] == "most"], ["v"], 20, 256)
+    assert most.shape == (20, 256, 1) and len(set(most.ravel())) == 290

@@ -139,6 +139,12 @@ def test_source_coordinates(spark):
     ('Sure! {"alert_level": "CRITICAL"} Anything else?', "CRITICAL", True),
     ("no braces here", "MODERATE", False),
     ('{"alert_level": ', "MODERATE", False),
+    ('{"alert_level": "LOW", "x": {"a": 1, "a": 2}, "alert_level": "SEVERE"}', "SEVERE", True),
+    ('Here: ```json {"alert_level": "LOW", "alert_level": "HIGH"}``` done', "HIGH", True),
+    ('{"alert_level": "LOW", "alert_level": "HIGH"} and {b}', "MODERATE", False),
+    ("{'alert_level': 'LOW'}", "MODERATE", False),
+    ('{"alert_level": "LOW", "alert_level": "HIGH",}', "MODERATE", False),
+    ("", "MODERATE", False), (None, "MODERATE", False), ("[1, 2]", "MODERATE", False),
 ])
 def test_model_output(spark, raw, level, parsed):
     row = modeloutput.parse_reports(spark.createDataFrame([(raw,)], "raw string")).first()
@@ -183,5 +189,10 @@ def test_reports_nest_and_render(spark, tmp_path):
     assert "[WITHIN 24H] Coordinate with upstream agencies" in text[1]
     assert "   Distance: unknown\n" in text[2]
     report.write_reports(report.community_reports(events, near), str(tmp_path / "reports"))
+    near_zero = events.where("event_id = 2").withColumn("lat", F.lit(0.0005)).withColumn("lon", F.lit(-5e-05))
+    odd = report.community_reports(near_zero, near.where("false")).first()
+    assert odd["report_key"].endswith("_0.0005_-5e-05") and odd["metadata"]["event_coordinates"] == "[0.0005, -5e-05]"
+    told = report.community_reports(events, near).withColumn("probable_sources", F.transform("probable_sources", lambda s: s.withField("distance_km", F.lit(15.0))))
+    assert all("   Distance: 15 km\n" in r["report_text"] for r in report.render_text(told, events).collect())
     back = spark.read.json(str(tmp_path / "reports"))
     assert back.select(F.sum(F.size("recommended_actions"))).first()[0] == 6
