@@ -12,7 +12,7 @@ from tarnwatch.operators import chunks
 from tarnwatch.plans import views
 from tarnwatch.plans.registry import query
 from tarnwatch.session import stage, staging_dir
-from tarnwatch.sources import buckets, catalogs, documents, elements, obstore
+from tarnwatch.sources import buckets, catalogs, documents, elements, gridded, obstore
 
 #: Buckets of the stores that queries write.
 STORE_BUCKETS = 16
@@ -125,3 +125,21 @@ def map_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "element_id", "element_type", "lat", "lon", F.col("center.lat").alias("center_lat"), F.col("center.lon").alias("center_lon"),
         F.col("tags")["name"].alias("name"), F.col("tags")["operator"].alias("operator"),
     )
+
+
+@query("SELECT region_id, date, lat, lon, chl_a, CASE source WHEN 'R' THEN turbidity END AS turbidity FROM (SELECT *, CAST(SUBSTRING(region_id, 2) AS BIGINT) AS n FROM tile_rows) t WHERE chl_a > 0 AND chl_a < 300",
+       ("tile_rows",))
+def mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gridded files of three kinds of headers in one folder, read by name."""
+    path, rows = fresh(spark, "mixed"), views.tile_rows(spark, sf_dir)
+    kinds = {
+        "A": ["region_id", "time", "latitude", "longitude", "chlorophyll"],
+        "N": ["Chlor_A", "Longitude", "Latitude", "Time_UTC", "region_id"],
+        "R": ["region_id", "time", "lat", "lon", "chlor_a", "turbidity"],
+    }
+    names = {"region_id": "region_id", "turbidity": "turbidity"}
+    for kind, header in kinds.items():
+        columns = [names.get(h) or next(c for part, c in (("time", "date"), ("lat", "lat"), ("lon", "lon"), ("chlor", "chl_a")) if part in h.lower()) for h in header]
+        rows.where(F.col("source") == kind).select(*(F.col(c).cast("string").alias(h) for c, h in zip(columns, header))).write.mode("append").option("header", True).csv(path)
+    found = gridded.read_gridded_csv(spark, path)
+    return found.select("region_id", "date", "lat", "lon", "chl_a", F.col("turbidity").cast("double").alias("turbidity"))

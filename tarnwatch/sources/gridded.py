@@ -59,15 +59,41 @@ def clean(df: DataFrame, low: float = 0.0, high: float = 300.0) -> DataFrame:
     )
 
 
+def header_groups(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files of a folder by their header line; files without any line are left out.
+
+    The first lines are found by one scan of the text. What reaches the driver are the names of the
+    files, which it lists to plan any scan.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value"
+    )
+    first = (
+        lines.withColumn("place", F.monotonically_increasing_id()).where("block = 0")
+        .groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    )
+    name = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))
+    header = F.regexp_replace("header", "^\ufeff|\r$", "")
+    grouped = first.select(header.alias("header"), name.alias("file")).groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return {r["header"]: r["files"] for r in grouped.orderBy("header").collect()}
+
+
 def read_gridded_csv(spark: SparkSession, path: str, value_names: Sequence[str] = VALUE_NAMES) -> DataFrame:
     """Gridded CSV with a units row below the header.
 
     Everything is read as text. The units row needs no special case: its date does not parse, so
-    cleaning drops it in every file of the folder.
+    cleaning drops it in every file of the folder. Files may differ in their headers: each kind of
+    header is read with its own names, and the kinds are put together by name.
     """
-    # files whose header differs from the first one's fail instead of being read by position
-    raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
-    return clean(normalize_headers(raw, value_names))
+    groups = header_groups(spark, path)
+    if not groups:
+        raise ValueError(f"no header in {path}")
+    out = None
+    for files in groups.values():
+        raw = spark.read.option("header", True).option("enforceSchema", False).csv(files)
+        rows = clean(normalize_headers(raw, value_names))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
 
 
 def fill_missing(

@@ -26,6 +26,21 @@ def test_gridded_csv(spark, tmp_path):
     assert [tuple(r) for r in rows] == [(dt.date(2024, 7, 3), 41.6458, -83.0208, v) for v in (12.4, 13.5)]
 
 
+def test_gridded_csv_with_several_headers(spark, tmp_path):
+    other = "lon,Lat_deg,chlor_a,time_utc,flag\ndegrees_east,degrees_north,mg m-3,UTC,\n-83.5,41.5,7.5,2024-07-05T00:00:00Z,x\n"
+    (tmp_path / "a b+c.csv").write_text(CSV)
+    (tmp_path / "b.csv").write_text(other)
+    (tmp_path / "c%41.csv").write_text(other.replace("7.5", "8.5").replace("\n", "\r\n"))
+    (tmp_path / "empty.csv").write_text("")
+    assert sorted(map(len, gridded.header_groups(spark, str(tmp_path)).values())) == [1, 2]
+    rows = gridded.read_gridded_csv(spark, str(tmp_path)).orderBy("chl_a")
+    assert [tuple(r) for r in rows.select("date", "lat", "lon", "chl_a", "flag").collect()] == [
+        (dt.date(2024, 7, 5), 41.5, -83.5, 7.5, "x"), (dt.date(2024, 7, 5), 41.5, -83.5, 8.5, "x"), (dt.date(2024, 7, 3), 41.6458, -83.0208, 12.4, None)]
+    (tmp_path / "bad.csv").write_text("time,lat\n1,2\n")
+    with pytest.raises(ValueError, match="missing columns"):
+        gridded.read_gridded_csv(spark, str(tmp_path))
+
+
 def test_headers_need_all_columns(spark):
     table = spark.createDataFrame([("x", 1.0)], "time string, latitude double")
     with pytest.raises(ValueError, match="missing columns"):
