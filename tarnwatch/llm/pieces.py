@@ -36,9 +36,9 @@ SAMPLES = 2
 #: Shift of the Zipf-Mandelbrot law.
 SHIFT = 10.0
 #: Texts and characters handled together.
-TEXTS, CHARS = 1200, 3_000_000
+TEXTS, CHARS = 400, 500_000
 #: Edges of the lattices a task keeps (24 bytes each).
-MOST_EDGES = 4_000_000
+MOST_EDGES = 2_000_000
 #: Base of the prefix hashes.
 BASE = 0x9E3779B97F4A7C15
 SPACE = "▁"
