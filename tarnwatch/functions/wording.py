@@ -56,6 +56,7 @@ def likelihood(kind: Column, distance_km: Column, category: Column) -> Column:
     )
 
 
+# The sentences of the evidence.
 def evidence(name: Column, kind: Column, distance_km: Column, direction: Column, tags: Column) -> Column:
     operator, product = F.nullif(tags["operator"], F.lit("")), F.nullif(tags["product"], F.lit(""))
     detail = F.coalesce(
@@ -71,6 +72,7 @@ def evidence(name: Column, kind: Column, distance_km: Column, direction: Column,
     )
 
 
+# The sources named where no facility is known.
 def generic_sources(severity: Column, chl: Column) -> Column:
     """Array of sources for an event with no mapped facility nearby, most likely first."""
     amount = fixed(chl, 1)
@@ -105,6 +107,7 @@ def alert_level(severity: Column) -> Column:
     return choose(severity, ALERT_LEVELS, "MODERATE")
 
 
+# The sentences of the summary.
 def alert_summary(
     severity: Column, chl: Column, baseline: Column, z: Column, place: Column, date: Column, weather: Column
 ) -> Column:
@@ -127,6 +130,7 @@ def contaminant(chl: Column) -> Column:
     return F.when(chl > 20, "algal_toxins").otherwise("nutrient_loading")
 
 
+# The sentence of the advice.
 def monitoring_advice(chl: Column) -> Column:
     return F.concat(
         F.lit("Increase sampling frequency at downstream intakes. Current chl-a of "), fixed(chl, 1),
@@ -135,6 +139,7 @@ def monitoring_advice(chl: Column) -> Column:
     )
 
 
+# The sentences of the context.
 def historical_context(place: Column) -> Column:
     return F.concat(
         F.lit("Anomaly detected near "), place,
@@ -143,6 +148,7 @@ def historical_context(place: Column) -> Column:
     )
 
 
+# Priorities, actions and parties by severity.
 def recommended_actions(severity: Column, place: Column, chl: Column) -> Column:
     """Array of ``struct<priority, action, responsible_party>``, scaled by severity."""
     amount = fixed(chl, 0)
