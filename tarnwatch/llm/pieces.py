@@ -41,6 +41,8 @@ TEXTS, CHARS = 400, 500_000
 MOST_EDGES = 2_000_000
 #: Base of the prefix hashes.
 BASE = 0x9E3779B97F4A7C15
+#: Buckets of the prefixes of pieces, as a power of two.
+BUCKET_BITS = 18
 SPACE = "▁"
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 NONE = -np.inf
@@ -84,9 +86,34 @@ class Vocabulary:
             for end, char in enumerate(piece, 1):
                 code = (code * BASE + ord(char) + 1) % 2**64
                 prefixes[code] = i if end == len(piece) else prefixes.get(code, -1)
-        order = sorted(prefixes)
-        self.prefix = np.array(order, np.uint64)
-        self.prefix_piece = np.array([prefixes[c] for c in order], np.int64)
+        # in buckets by their upper bits once mixed; first and last place of each bucket
+        self.prefix, self.prefix_piece = np.array(list(prefixes), np.uint64), np.array(list(prefixes.values()), np.int64)
+        bucket = self._bucket(self.prefix)
+        order = np.argsort(bucket)
+        self.prefix, self.prefix_piece = self.prefix[order], self.prefix_piece[order]
+        bounds = np.searchsorted(bucket[order], np.arange(2**BUCKET_BITS + 1)).astype(np.int32)
+        self.bucket_first, self.bucket_last = bounds[:-1], bounds[1:]
+
+    @staticmethod
+    def _bucket(codes: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((codes * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+    def known(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are prefixes of pieces, and of those the piece (or -1)."""
+        bucket = self._bucket(codes)
+        place, last = self.bucket_first[bucket], self.bucket_last[bucket]
+        found = np.full(len(codes), -1, np.int64)
+        open_ = np.flatnonzero(place < last)
+        while len(open_):
+            at = place[open_]
+            hit = self.prefix[at] == codes[open_]
+            found[open_[hit]] = at[hit]
+            open_, at = open_[~hit], at[~hit] + 1
+            place[open_] = at
+            open_ = open_[at < last[open_]]
+        known = np.flatnonzero(found >= 0)
+        return known, self.prefix_piece[found[known]]
 
     def lattices(self, chunks: list[str]) -> tuple[np.ndarray, ...]:
         """Lengths of the chunks, and the edges of all their lattices ordered by end.
@@ -107,9 +134,8 @@ class Vocabulary:
             active = active[inside]
             with np.errstate(over="ignore"):
                 held = held[inside] * np.uint64(BASE) + (code[active + size - 1] + 1).astype(np.uint64)
-            place = np.minimum(np.searchsorted(self.prefix, held), len(self.prefix) - 1)
-            known = self.prefix[place] == held
-            active, held, piece = active[known], held[known], self.prefix_piece[place[known]]
+            known, piece = self.known(held)
+            active, held = active[known], held[known]
             whole = piece >= 0
             starts.append(active[whole])
             ends.append(active[whole] + size - 1)
@@ -121,7 +147,7 @@ class Vocabulary:
         width = 1 + (code[lone] > 0x7F) + (code[lone] > 0x7FF) + (code[lone] > 0xFFFF)
         weight = np.concatenate((self.log_probability[ids[:len(ids) - len(lone)]], width * np.log(self.byte_probability)))
         level = ends - first[ends]
-        order = np.argsort(level * len(code) + ends)
+        order = np.argsort(level * len(code) + ends, kind="stable")
         starts, ends, ids, weight, level = (x[order] for x in (starts, ends, ids, weight, level))
         edges = np.bincount(ends, minlength=len(code))
         mass, part = np.zeros(len(code)), np.empty(len(starts))
@@ -138,7 +164,7 @@ class Vocabulary:
             total = np.add.reduceat(value, bounds)
             mass[ends[low:high][bounds]] = most + np.log(total)
             part[low:high] = value / np.repeat(total, counts)
-        order = np.argsort(ends - 0.999 * part)  # by end, likely edges first
+        order = np.argsort(ends - 0.999 * part, kind="stable")  # by end, likely edges first
         return length, edges, (starts - origin)[order], ids[order], part[order]
 
     def expand(self, ids: np.ndarray) -> np.ndarray:
@@ -169,15 +195,24 @@ def _mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def uniform(keys: np.ndarray, number: int, place: np.ndarray, position: np.ndarray) -> np.ndarray:
-    """Numbers in (0, 1) from row keys and three counters."""
+def seeds(keys: np.ndarray, number: int, place: np.ndarray) -> np.ndarray:
+    """Row keys combined with two counters."""
+    with np.errstate(over="ignore"):
+        return keys + np.uint64((number + 1) * 0x9E3779B97F4A7C15 % 2**64) + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+
+
+def uniform_at(seed: np.ndarray, position: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) from seeds and a third counter."""
     with np.errstate(over="ignore"):
-        x = keys + np.uint64((number + 1) * 0x9E3779B97F4A7C15 % 2**64)
-        x += np.asarray(place).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
-        x += np.asarray(position).astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7)
+        x = seed + position.astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7)
     return ((_mixed(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def uniform(keys: np.ndarray, number: int, place: np.ndarray, position: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) from row keys and three counters."""
+    return uniform_at(seeds(keys, number, place), position)
+
+
 class Lattices:
     """Lattices of the chunks a task has met, as flat arrays; emptied when they outgrow a bound."""
 
@@ -189,7 +224,7 @@ class Lattices:
         self.index: dict[str, int] = {}
         self.length, self.base, self.edge_end, self.edge_first = (np.zeros(0, np.int64) for _ in range(4))
         self.edge_start, self.edge_id = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.part, self.upto = np.zeros(0), np.zeros(0)
+        self.part = np.zeros(0)
 
     def numbers(self, chunks: list[str]) -> np.ndarray:
         """Numbers of chunks; those not met yet get their lattices."""
@@ -206,13 +241,8 @@ class Lattices:
         groups, edges = len(self.edge_end), len(self.part)
         self.index.update(zip(new, range(len(self.length), len(self.length) + len(new))))
         last = np.cumsum(ends)
-        group = np.repeat(np.arange(len(ends)), ends)
-        running = np.cumsum(part)
-        before = np.concatenate(([0.0], running))[last - ends]
-        upto = groups + group + np.minimum(running - before[group], 1.0)
-        upto[last - 1] = groups + np.arange(len(ends)) + 1.0
         for name, more in (("length", length), ("base", groups + np.cumsum(length) - length), ("edge_end", edges + last), ("edge_first", edges + last - ends),
-                           ("edge_start", start.astype(np.int32)), ("edge_id", ids.astype(np.int32)), ("part", part), ("upto", upto)):
+                           ("edge_start", start.astype(np.int32)), ("edge_id", ids.astype(np.int32)), ("part", part)):
             setattr(self, name, np.concatenate((getattr(self, name), more)))
 
 
@@ -227,7 +257,7 @@ class Search:
         self.bounds = np.concatenate(([0], np.cumsum(counts)))
         self.text = np.repeat(np.arange(len(chunks)), counts)
         self.place = np.arange(len(self.chunk)) - self.bounds[self.text]
-        for name in ("length", "base", "edge_end", "edge_first", "edge_start", "edge_id", "part", "upto"):
+        for name in ("length", "base", "edge_end", "edge_first", "edge_start", "edge_id", "part"):
             setattr(self, name, getattr(lattices, name))
 
     def edges_into(self, occurrence: int, position: int) -> tuple[int, int]:
@@ -238,18 +268,28 @@ class Search:
         """Paths of all occurrences from their positions: edges, the positions they end at, counts."""
         steps, active, turn = [], np.flatnonzero(position > 0), 0
         at = position[active]
+        base = self.base[self.chunk[active]] - 1
+        seed = seeds(self.keys[self.text[active]], number, self.place[active])
         counts = np.zeros(len(position), np.int64)
         while len(active):
-            group = self.base[self.chunk[active]] + at - 1
-            u = uniform(self.keys[self.text[active]], number, self.place[active], at)
+            group = base + at
+            u = uniform_at(seed, at)
             edge = self.edge_first[group]
+            # the edge whose share of the mass the number falls into; sums start anew at each end
             other = np.flatnonzero(u >= self.part[edge])
-            edge[other] = np.searchsorted(self.upto, group[other] + u[other], side="right")
+            upto, final = self.part[edge[other]], self.edge_end[group[other]] - 1
+            while len(other):
+                further = np.flatnonzero(edge[other] < final)
+                other, upto, final = other[further], upto[further], final[further]
+                edge[other] += 1
+                upto += self.part[edge[other]]
+                beyond = np.flatnonzero(u[other] >= upto)
+                other, upto, final = other[beyond], upto[beyond], final[beyond]
             steps.append((active, edge, at))
             counts[active] += 1
             at = self.edge_start[edge]
-            going = at > 0
-            active, at, turn = active[going], at[going], turn + 1
+            going = np.flatnonzero(at > 0)
+            active, at, base, seed, turn = active[going], at[going], base[going], seed[going], turn + 1
         offset = np.cumsum(counts) - counts
         edges, ends = np.empty(int(counts.sum()), np.int64), np.empty(int(counts.sum()), np.int64)
         for i, (occurrence, edge, end) in enumerate(steps):
@@ -265,8 +305,11 @@ class Search:
             value = np.where(free < below - 50, free, below - np.log1p(np.exp(np.minimum(below - free, 60.0))))
         return np.where(np.isneginf(location), NONE, value)
 
-    def top(self, k: int) -> list[list[dict]]:
-        """For each text its first k paths: edges from the end, log probability, perturbed value."""
+    def top(self, k: int) -> tuple[list[list[dict]], np.ndarray]:
+        """For each text its first k paths: edges from the end, log probability, perturbed value.
+
+        Also the value of the path that would come next (-inf: none is left), which needs no drawing.
+        """
         n = len(self.keys)
         found: list[list[dict]] = [[] for _ in range(n)]
         ones = np.ones(n, np.int64)
@@ -280,11 +323,16 @@ class Search:
             text = self.text[occurrence]
             with np.errstate(divide="ignore"):
                 parts, rest = self.part[edges], np.log1p(-np.minimum(self.part[edges], 1.0))
-            running = np.concatenate(([0.0], np.cumsum(np.log(parts))))
-            before = running[:-1] - running[cut[text]] + start[text]
+            # sums of each text by itself, so that they don't depend on its neighbours
+            logs = np.log(parts)
+            before, log_prob = np.empty(len(edges)), start.copy()
+            for t in np.flatnonzero(np.diff(cut)):
+                running = np.cumsum(logs[cut[t]:cut[t + 1]])
+                before[cut[t]] = start[t]
+                before[cut[t] + 1:cut[t + 1]] = running[:-1] + start[t]
+                log_prob[t] += running[-1]
             u = uniform(self.keys[text], number, self.place[occurrence], ends + (1 << 40))
             following = self.truncated(before + rest, value[text], u)
-            log_prob = running[cut[1:]] - running[cut[:-1]] + start
             for t in np.flatnonzero(~np.isneginf(value)):
                 own = slice(cut[t], cut[t + 1])
                 path = {"edges": edges[own], "ends": ends[own], "occurrence": occurrence[own], "before": before[own], "next": following[own]}
@@ -295,14 +343,12 @@ class Search:
                         path[name] = np.concatenate((kept, path[name]))
                 path["log_prob"], path["value"], path["taken"] = float(log_prob[t]), float(value[t]), {}
                 found[t].append(path)
-            if number + 1 == k:
-                break
             position = np.zeros(len(self.chunk), np.int64)
             for t in np.flatnonzero(~np.isneginf(value)):
                 old = max(found[t], key=lambda p: p["next"].max())
                 step = int(old["next"].argmax())
                 value[t] = old["next"][step]
-                if np.isneginf(value[t]):
+                if number + 1 == k or np.isneginf(value[t]):
                     continue
                 where, end = int(old["occurrence"][step]), int(old["ends"][step])
                 taken = old["taken"].setdefault(step, {int(old["edges"][step])})
@@ -321,7 +367,7 @@ class Search:
                 start[t] = old["before"][step] + np.log(self.part[edge])
                 position[where + 1:self.bounds[t + 1]] = self.length[self.chunk[where + 1:self.bounds[t + 1]]]
                 position[where] = self.edge_start[edge]
-        return found
+        return found, value
 
 
 def log_inclusion(distance: float) -> float:
@@ -360,9 +406,8 @@ def sample_batch(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int)
     some = [i for i, own in enumerate(chunks) if own]
     if some:
         search = Search(lattices, [chunks[i] for i in some], keys[some])
-        for i, paths in zip(some, search.top(k + 1)):
-            kappa = paths[k]["value"] if len(paths) > k else NONE
-            for path in paths[:k]:
+        for i, paths, kappa in zip(some, *search.top(k)):
+            for path in paths:
                 inclusion = 0.0 if np.isneginf(kappa) else log_inclusion(path["log_prob"] - kappa)
                 out[i].append((lattices.words.expand(search.edge_id[path["edges"]][::-1]), path["log_prob"], float(path["value"]), inclusion))
     return [own or [(np.zeros(0, np.int32), 0.0, 0.0, 0.0)] for own in out]
