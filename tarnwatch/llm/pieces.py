@@ -21,6 +21,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ SAMPLES = 2
 SHIFT = 10.0
 #: Texts and characters handled together.
 TEXTS, CHARS = 400, 500_000
-#: Edges of the lattices a task keeps (24 bytes each).
-MOST_EDGES = 2_000_000
+#: Edges of the lattices a task keeps (16 bytes each).
+MOST_EDGES = 4_000_000
 #: Base of the prefix hashes.
 BASE = 0x9E3779B97F4A7C15
 #: Buckets of the prefixes of pieces, as a power of two.
@@ -147,7 +148,9 @@ class Vocabulary:
         width = 1 + (code[lone] > 0x7F) + (code[lone] > 0x7FF) + (code[lone] > 0xFFFF)
         weight = np.concatenate((self.log_probability[ids[:len(ids) - len(lone)]], width * np.log(self.byte_probability)))
         level = ends - first[ends]
-        order = np.argsort(level * len(code) + ends, kind="stable")
+        # whole keys without ties: the order within a chunk must not depend on the chunks around it
+        bits = self.longest.bit_length()
+        order = np.argsort(((level * len(code) + ends) << bits) + (ends - starts))
         starts, ends, ids, weight, level = (x[order] for x in (starts, ends, ids, weight, level))
         edges = np.bincount(ends, minlength=len(code))
         mass, part = np.zeros(len(code)), np.empty(len(starts))
@@ -164,12 +167,15 @@ class Vocabulary:
             total = np.add.reduceat(value, bounds)
             mass[ends[low:high][bounds]] = most + np.log(total)
             part[low:high] = value / np.repeat(total, counts)
-        order = np.argsort(ends - 0.999 * part, kind="stable")  # by end, likely edges first
+        # by end, likely edges first, in steps of 2^-24
+        order = np.argsort((((ends << 25) + ((1 - part) * 2**24).astype(np.int64)) << bits) + (ends - starts))
         return length, edges, (starts - origin)[order], ids[order], part[order]
 
     def expand(self, ids: np.ndarray) -> np.ndarray:
         """Piece ids with characters that have no piece written as bytes."""
         lone = ids < 0
+        if not lone.any():
+            return ids
         if not (lone & (ids < -128)).any():
             return np.where(lone, self.byte[np.where(lone, -1 - ids, 0)], ids).astype(np.int32)
         out: list[int] = []
@@ -213,37 +219,57 @@ def uniform(keys: np.ndarray, number: int, place: np.ndarray, position: np.ndarr
     return uniform_at(seeds(keys, number, place), position)
 
 
+class Numbers(dict):
+    """Numbers of keys in order of their first use."""
+
+    def __missing__(self, key: str) -> int:
+        number = self[key] = len(self)
+        return number
+
+
 class Lattices:
-    """Lattices of the chunks a task has met, as flat arrays; emptied when they outgrow a bound."""
+    """Lattices of the chunks a task has met, as flat arrays; emptied when they outgrow a bound.
+
+    The arrays grow by half at a time, so what lies behind ``chunks``, ``ends`` and ``edges`` is unused.
+    """
 
     def __init__(self, words: Vocabulary, most_edges: int = MOST_EDGES):
         self.words, self.most_edges = words, most_edges
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = Numbers()
+        self.chunks = self.ends = self.edges = 0
         self.length, self.base, self.edge_end, self.edge_first = (np.zeros(0, np.int64) for _ in range(4))
-        self.edge_start, self.edge_id = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.part = np.zeros(0)
+        self.edge_start, self.edge_id, self.part = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0)
 
     def numbers(self, chunks: list[str]) -> np.ndarray:
         """Numbers of chunks; those not met yet get their lattices."""
-        if len(self.part) > self.most_edges:
+        if self.edges > self.most_edges:
             self.clear()
-        held = list(map(self.index.get, chunks))
-        if None in held:
-            self._add(list({c for c, i in zip(chunks, held) if i is None}))
-            held = list(map(self.index.get, chunks))
-        return np.array(held, np.int64)
+        held = np.array(list(map(self.index.__getitem__, chunks)), np.int64)
+        if new := list(islice(self.index, self.chunks, None)):
+            self._add(new)
+        return held
+
+    def _append(self, name: str, used: int, more: np.ndarray) -> None:
+        held, size = getattr(self, name), used + len(more)
+        if size > len(held):
+            grown = np.empty(max(size, len(held) * 3 // 2), held.dtype)
+            grown[:used] = held[:used]
+            setattr(self, name, held := grown)
+        held[used:size] = more
 
     def _add(self, new: list[str]) -> None:
         length, ends, start, ids, part = self.words.lattices(new)
-        groups, edges = len(self.edge_end), len(self.part)
-        self.index.update(zip(new, range(len(self.length), len(self.length) + len(new))))
         last = np.cumsum(ends)
-        for name, more in (("length", length), ("base", groups + np.cumsum(length) - length), ("edge_end", edges + last), ("edge_first", edges + last - ends),
-                           ("edge_start", start.astype(np.int32)), ("edge_id", ids.astype(np.int32)), ("part", part)):
-            setattr(self, name, np.concatenate((getattr(self, name), more)))
+        self._append("length", self.chunks, length)
+        self._append("base", self.chunks, self.ends + np.cumsum(length) - length)
+        self._append("edge_end", self.ends, self.edges + last)
+        self._append("edge_first", self.ends, self.edges + last - ends)
+        for name, more in (("edge_start", start), ("edge_id", ids), ("part", part)):
+            self._append(name, self.edges, more)
+        self.chunks, self.ends, self.edges = self.chunks + len(length), self.ends + len(ends), self.edges + len(part)
 
 
 class Search:
