@@ -179,16 +179,18 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     """
     taken = mix(documents, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "passes", "parts")
     taken = taken.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_size").orderBy("passes", F.size("parts"))))
-    words = F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD), F.lit(0))
-    rows = documents.withColumn("_words", n_words(F.col("text").cast("string")))
-    rows = rows.withColumn("_nth_row", F.row_number().over(Window.partitionBy("doc_id", "_words").orderBy("text")))
-    joined = rows.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")) & (F.col("_nth_row") == F.col("_nth")))
+    # input rows travel as one struct, so their columns may have any names
+    rows = documents.select(F.struct(*documents.columns).alias("row"))
+    words = F.regexp_extract_all(F.coalesce(F.col("row.text").cast("string"), F.lit("")), F.lit(WORD), F.lit(0))
+    rows = rows.withColumn("_words", n_words(F.col("row.text").cast("string")))
+    rows = rows.withColumn("_nth_row", F.row_number().over(Window.partitionBy("row.doc_id", "_words").orderBy("row.text")))
+    joined = rows.join(taken, F.col("row.doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")) & (F.col("_nth_row") == F.col("_nth")))
     copies = F.expr("concat(array_repeat(false, cast(passes as int)), if(size(parts) > 0, array(true), cast(array() as array<boolean>)))")
     cut = F.concat_ws(" ", F.flatten(F.transform("parts", lambda p: F.slice(words, p["start"] + 1, p["stop"] - p["start"]))))
-    text = F.when(F.col("_partial"), cut).otherwise(F.col("text"))
+    text = F.when(F.col("_partial"), cut).otherwise(F.col("row.text"))
     exploded = joined.withColumn("_partial", F.explode(copies)).withColumn("_text", text)
     columns = [
-        F.col("_text").alias("text") if c == "text" else F.length("_text").cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c)
+        F.col("_text").alias("text") if c == "text" else F.length("_text").cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row")[c].alias(c)
         for c in documents.columns
     ]
     return exploded.select(*columns)

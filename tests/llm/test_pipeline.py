@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as spark_entry
 import corpus_pipeline
@@ -90,3 +91,16 @@ def test_repeated_and_null_ids_are_told_apart(spark, sf_dir):
     none = [k for k in found if k[0] is None and k[1].startswith(other)]
     assert [len(big), len(none), found[(big or [0])[0]], found[(none or [0])[0]]] == [1, 1, 1, 1]
     assert found - Counter(big + none) == Counter([(2, "only here"), (None, "alone"), (7, "same"), (8, None), (8, "")])
+
+
+def test_columns_of_the_input_may_have_any_names(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60")
+    docs = stage(docs.unionByName(docs.where("doc_id < 9")), "test-stage")
+    names = ["row_key", "row", "id", "key", "best", "points", "passes", "parts", "_words", "_id", "_size", "_nth", "_nth_row", "_text", "_partial", "component", "kept"]
+    strange = stage(docs.select("*", *(F.concat(F.lit(f"{c}/"), F.col("doc_id").cast("string")).alias(c) for c in names)), "test-stage")
+    for _, function in corpus_pipeline.STAGES[:4]:
+        plain, found = function(spark, docs, sf_dir), function(spark, strange, sf_dir)
+        assert found.columns == strange.columns
+        rows = found.collect()
+        assert all(r[c] == f"{c}/{r['doc_id']}" for r in rows for c in names)
+        assert Counter(tuple(r)[:len(docs.columns)] for r in rows) == Counter(map(tuple, plain.collect()))
