@@ -19,12 +19,13 @@ from tarnwatch.llm.words import lower_ascii
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Phrases that must stand word by word. Fixed values.
-PHRASES = {"mit": "mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
+PHRASES = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
 
 #: Notices of public licenses as they stand in texts and source headers. Fixed values.
 TEMPLATES = (
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
     ("mit", "Licensed under the MIT License."),
+    ("mit", "MIT License"),
     ("apache-2", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
     ("apache-2", "Licensed under the Apache License, Version 2.0."),
     ("gpl-3", "This work is licensed under the GNU General Public License, version 3."),

@@ -205,6 +205,14 @@ def test_license_phrases_match_brute_force(spark):
         assert 0 <= r["score"] <= 1
 
 
+def test_license_phrases_are_those_of_the_contract(spark):
+    texts = ["the mit license", "MIT License here", "released Under the MIT-License, under the mit license", "under mit license", "under the apache license, version 2", "by cc by nc"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in licenses.scan(frame).collect()}
+    none = (0, None, None, "")
+    assert found == {0: none, 1: none, 2: (2, 1, 5, "mit"), 3: none, 4: (1, 2, 2, "apache-2"), 5: (1, 1, 1, "cc-by-nc")}
+
+
 def test_notices_are_found_despite_edits(spark):
     notice = dict(licenses.TEMPLATES)["bsd"]
     words = notice.split()
