@@ -442,13 +442,16 @@ def sample_batch(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int)
 ENCODED = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_sha256 string, round_trip boolean"
 
 
-def sampled_pieces(documents: DataFrame, k: int = SAMPLES, model: str = MODEL, seed: int = 0, with_ids: bool = False) -> DataFrame:
+def sampled_pieces(
+    documents: DataFrame, k: int = SAMPLES, model: str = MODEL, seed: int = 0, with_ids: bool = False, per_row: bool = False
+) -> DataFrame:
     """Up to ``k`` distinct segmentations per row, in order of their perturbed value.
 
     Columns ``doc_id, sample`` (from 1), ``n_pieces, log_prob`` (of the segmentation given the text),
     ``perturbed, log_inclusion`` (logarithm of the
     inclusion score), ``ids_sha256`` (of the little-endian 32-bit ids), ``round_trip`` (decoding
-    gives back the text) and, if asked for, ``ids``.
+    gives back the text) and, if asked for, ``ids``. With ``per_row`` every row is encoded to one row:
+    its first segmentation, and the further ones as structs of the same columns in ``others``.
 
     Defined cases: null or empty text has one segmentation without pieces; a text with fewer than k
     segmentations gives all it has; the mark U+2581 in a text reads as a space, as in SentencePiece;
@@ -458,6 +461,11 @@ def sampled_pieces(documents: DataFrame, k: int = SAMPLES, model: str = MODEL, s
     types = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.bool_()]
     names = [c.split()[0] for c in ENCODED.split(", ")] + ["ids"] * with_ids
     types += [pa.list_(pa.int32())] * with_ids
+    schema, own_names = ENCODED + ", ids array<int>" * with_ids, names[1:]
+    if per_row:
+        inner = ", ".join(c.replace(" ", ": ") for c in schema.split(", ")[1:])
+        types.append(pa.list_(pa.struct(list(zip(own_names, types[1:])))))
+        names, schema = [*names, "others"], f"{schema}, others array<struct<{inner}>>"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(model)
@@ -468,9 +476,14 @@ def sampled_pieces(documents: DataFrame, k: int = SAMPLES, model: str = MODEL, s
             rows = []
             for doc_id, text, own in zip(ids, texts, sample_batch(lattices, texts, keys, k)):
                 plain = text.replace(SPACE, " ")
+                told = []
                 for number, (pieces, log_prob, value, included) in enumerate(own, 1):
-                    row = (doc_id, number, len(pieces), round(log_prob, 6), round(value, 6), round(included, 6), hashlib.sha256(pieces.astype("<i4").tobytes()).hexdigest(), words.decode(pieces) == plain)
-                    rows.append((*row, pieces) if with_ids else row)
+                    row = (number, len(pieces), round(log_prob, 6), round(value, 6), round(included, 6), hashlib.sha256(pieces.astype("<i4").tobytes()).hexdigest(), words.decode(pieces) == plain)
+                    told.append((*row, pieces) if with_ids else row)
+                if per_row:
+                    rows.append((doc_id, *told[0], [dict(zip(own_names, t)) for t in told[1:]]))
+                else:
+                    rows += [(doc_id, *t) for t in told]
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names)
 
         for batch in batches:
@@ -486,4 +499,4 @@ def sampled_pieces(documents: DataFrame, k: int = SAMPLES, model: str = MODEL, s
                 yield send(ids, texts)
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(encode, ENCODED + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(encode, schema)

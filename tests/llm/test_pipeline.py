@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as spark_entry
 import corpus_pipeline
+from tarnwatch.llm import pieces
 from tarnwatch.session import stage
 
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
@@ -68,6 +69,20 @@ def test_every_document_of_the_mix_is_encoded(staged):
     assert staged[5].where("NOT round_trip").count() == 0
 
 
+def test_every_document_has_all_its_segmentations(spark, sf_dir):
+    texts = ["some words of a text", "x", "", None]
+    docs = stage(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), "test-stage")
+    plain = defaultdict(list)
+    for r in pieces.sampled_pieces(docs, with_ids=True).orderBy("doc_id", "sample").collect():
+        plain[r["doc_id"]].append(tuple(r)[1:])
+    found = corpus_pipeline.encode(spark, docs, sf_dir).collect()
+    assert {r["doc_id"]: [tuple(r)[1:-1], *map(tuple, r["others"])] for r in found} == dict(plain)
+    rows = {r["doc_id"]: r for r in found}
+    assert len(found) == 4 and len(rows[0]["others"]) == pieces.SAMPLES - 1
+    assert len({tuple(ids) for ids in (rows[0]["ids"], *(o["ids"] for o in rows[0]["others"]))}) == pieces.SAMPLES
+    assert (rows[2]["n_pieces"], rows[2]["others"], rows[3]["others"]) == (0, [], [])
+
+
 def test_run_gives_the_last_stage(spark, sf_dir, staged):
     found = spark_entry.queries()["pipeline"](spark, sf_dir)
     assert sorted(map(str, found.collect())) == sorted(map(str, staged[5].collect()))
