@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from tarnwatch.operators import modeloutput, retrieval
 from tarnwatch.operators.facilities import facility_lines
+from tarnwatch.operators.nearby import rank_within
 from tarnwatch.operators.report import COLLECTIONS, match_source_coordinates
 from tarnwatch.session import stage
 from tarnwatch.sources.buckets import BucketStore, upsert
@@ -82,20 +83,41 @@ def embed_changed(chunks: DataFrame, store: BucketStore, embedder: Embedder, col
     return named.join(store.read().select("digest", "embedding"), "digest", "left")
 
 
+def _in_order(rows: DataFrame, column: str) -> F.Column:
+    """A column of text or whole numbers as texts of the same order; null comes first."""
+    value = F.col(column)
+    if not isinstance(rows.schema[column].dataType, T.StringType):
+        value = F.lpad((value.cast("decimal(20,0)") + F.expr("9223372036854775808BD")).cast("string"), 20, "0")
+    return F.coalesce(value, F.lit(""))
+
+
 def search(events: DataFrame, corpus: DataFrame, embedder: Embedder, k: int = retrieval.TOP_K) -> DataFrame:
     """The retrieval queries of all events against ``corpus`` (``doc_id, collection, digest, embedding``, with ``n_chars``).
 
     One row per hit: ``event_id, position, digest, n_chars``; positions follow the order of queries,
     collections and ranks.
+
+    Exact, as :func:`retrieval.vector_topk`: queries that ask for the same vector are searched once,
+    and so are documents of one text. At most ``k`` of these, the first by id, can be among the best.
     """
-    queries = stage(retrieval.retrieval_queries(events), "attribution-queries")
-    distinct = queries.select(digest(F.col("query")).alias("digest"), "query").distinct()
-    vectors = embedded(distinct, "digest", "query", embedder)
-    asked = queries.select("event_id", "query_no", digest(F.col("query")).alias("digest")).join(vectors, "digest").drop("digest")
-    hits = retrieval.vector_topk(asked, corpus.select("doc_id", "collection", "embedding"), k, ("event_id", "query_no"))
+    queries = stage(retrieval.retrieval_queries(events).select("event_id", "query_no", "query", digest(F.col("query")).alias("digest")), "attribution-queries")
+    vectors = stage(embedded(queries.select("digest", "query").distinct(), "digest", "query", embedder), "query-vectors")
+    searched = vectors.where(F.col("embedding").isNotNull()).groupBy("embedding").agg(F.min("digest").alias("vector"))
+    searched = stage(searched, "searched-vectors")
+    asked = queries.select("event_id", "query_no", "digest").join(vectors, "digest").join(searched, "embedding").select("event_id", "query_no", "vector")
+
+    own = ["collection", "digest"]
+    known = corpus.where(F.col("embedding").isNotNull()).select("doc_id", *own, "n_chars", "embedding")
+    copies = stage(known.withColumn("copy", rank_within(own, "doc_id")).where(F.col("copy") <= k), "searched-texts")
+    # a text goes by the id of its first copy, which decides between equal distances, and its digest
+    named = F.concat(_in_order(copies, "doc_id"), F.lit("\0"), F.col("digest")).alias("doc_id")
+    best = retrieval.vector_topk(searched, copies.where("copy = 1").select(named, "collection", "embedding"), k, ("vector",))
+    found = best.select("vector", "collection", "distance", F.substring_index("doc_id", "\0", -1).alias("digest"))
+    all_copies = found.join(copies.select(*own, "doc_id", "n_chars"), own)
+    hits = all_copies.withColumn("rank", rank_within(["vector", "collection"], "distance", "doc_id")).where(F.col("rank") <= k)
     order = F.array_position(F.array(*map(F.lit, COLLECTIONS)), F.col("collection")) - 1
     position = ((F.col("query_no") * len(COLLECTIONS) + order) * k + F.col("rank")).cast("int")
-    return hits.withColumn("position", position).join(corpus.select("doc_id", "digest", "n_chars"), "doc_id").select("event_id", "position", "digest", "n_chars")
+    return asked.join(hits, "vector").withColumn("position", position).select("event_id", "position", "digest", "n_chars")
 
 
 def budgeted_context(hits: DataFrame, texts: DataFrame, limit: int = retrieval.CONTEXT_CHARS) -> DataFrame:

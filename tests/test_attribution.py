@@ -50,6 +50,40 @@ def test_only_changed_chunks_are_embedded(spark, tmp_path):
     assert seen() == sorted([f"text {i}" for i in range(7)] + ["banana"])
 
 
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_search_equals_brute_force_and_compares_each_vector_once(spark, monkeypatch, kind):
+    rng, table = random.Random(11), {}
+    place = lambda n: (f"r_{n % 4}", dt.date(2020, 6, 1 + n % 2), 40.0 + n % 3, -83.0, ["calm_conditions", "wind"][n % 2])
+    events = spark.createDataFrame([(n, *place(n)) for n in range(24)], "event_id long, region_id string, date date, lat double, lon double, weather_context string")
+    vector = lambda t: table.setdefault(t, [float(len(t) % 3 + 1), float(t.count("a") % 4 + 1), 1.0])
+    texts = ["one a", "two aa", "three aaa", "x", "a" * 9, "b a b a", "same length"]
+    ids = [-3, 2, 10, 9] * 8
+    rows = [(i if kind == "long" else str(i), retrieval_group, t, vector(t)) for i, retrieval_group, t in zip(ids, ["permits", "agriculture", "watershed"] * 11, rng.choices(texts, k=32))]
+    corpus = spark.createDataFrame(rows, f"doc_id {kind}, collection string, text string, embedding array<double>").repartition(5)
+    corpus = corpus.withColumn("digest", attribution.digest(F.col("text"))).withColumn("n_chars", F.length("text"))
+    compared = []
+    topk = retrieval.vector_topk
+
+    def counted(queries, documents, *rest):
+        compared.append((queries.count(), documents.count()))
+        return topk(queries, documents, *rest)
+
+    monkeypatch.setattr(retrieval, "vector_topk", counted)
+    found = attribution.search(events, corpus, lambda: lambda ts: np.array([[len(t) % 3 + 1.0, t.count("a") % 4 + 1.0, 1.0] for t in ts]))
+    found = sorted((r["event_id"], r["position"], r["n_chars"]) for r in found.collect())
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    queries, expected = retrieval.retrieval_queries(events).collect(), []
+    for q in queries:
+        for c, name in enumerate(["permits", "agriculture", "watershed"]):
+            near = sorted((round(1 - float(unit(v) @ unit(vector(q["query"]))), 12), i, len(t)) for i, own, t, v in rows if own == name)[:3]
+            expected += [(q["event_id"], (q["query_no"] * 3 + c) * 3 + rank, km[:2]) for rank, km in enumerate(near, 1)]
+    assert [e[:2] for e in sorted(expected)] == [f[:2] for f in found]
+    lengths = {(name, i): {len(t) for j, own, t, _ in rows if (j, own) == (i, name)} for i, name in {(r[0], r[1]) for r in rows}}
+    names = ["permits", "agriculture", "watershed"]
+    assert all(f[2] in lengths[names[(f[1] - 1) // 3 % 3], e[2][1]] for e, f in zip(sorted(expected), found))
+    assert compared == [(len({tuple(vector(q["query"])) for q in queries}), len({(r[1], r[2]) for r in rows}))]
+
+
 def brute_context(hits, texts, limit):
     out = {}
     for event in {h[0] for h in hits}:
