@@ -2,19 +2,23 @@
 
 Footprints are polygons with holes, given as arrays of polygons, rings and ``[lon, lat]`` points.
 Their longitudes are unwrapped first, so a ring that crosses the antimeridian is one piece, and a
-ring around a pole is closed along it. A polygon is copied to the grid cells of its bands of latitude,
-a box to the few cells it touches; cells meet by an equi-join and the pair is then tested exactly.
+ring around a pole is closed along it. A product is copied to the grid cells in which the south-west
+corner of a box that meets it may lie, by bands of latitude; a box lies in the one cell of its corner.
+Cells meet by an equi-join, so a product and a box come together once at most, and are tested exactly
+where they meet: pairs are neither shuffled nor stored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwatch.session import stage, without_blind_broadcast
+from tarnwatch.session import small_side, stage, without_blind_broadcast
 
 #: Degrees a grid cell is wide and tall.
 CELL = 2.0
+#: Polygons of one product id that may stand in one row.
+MOST_PARTS = 200
 RING = "array<array<double>>"
 EDGES = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
 
@@ -117,23 +121,58 @@ def meets_box(edges: Column, west: Column, south: Column, east: Column, north: C
     return F.exists(edges, crosses) | (F.size(F.filter(edges, passed)) % 2 == 1)
 
 
-def _covered(polygons: DataFrame, cell: float) -> DataFrame:
-    """The cells of each polygon: per band of latitude those between its outermost points in the band."""
-    bands = polygons.withColumn("row", F.explode(F.sequence(F.floor(F.col("south") / cell), F.floor(F.col("north") / cell))))
-    low, high = F.col("row") * cell, (F.col("row") + 1) * cell
+def _cells(part: Column, delta: float, cell: float, turn: int) -> Column:
+    """The cells in which a box that meets the polygon may have its south-west corner.
 
-    def ends(e: Column) -> Column:
-        """Longitudes at which the edge enters and leaves the band."""
-        flat = e["y1"] == e["y2"]
-        at = lambda y: F.when(flat, e["x1"]).otherwise(e["x1"] + (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]))
-        clamp = lambda y: F.least(F.greatest(y, low), high)
-        return F.array(at(clamp(e["y1"])), F.when(flat, e["x2"]).otherwise(at(clamp(e["y2"]))))
-
-    inside = F.filter("edges", lambda e: (F.least(e["y1"], e["y2"]) <= high) & (F.greatest(e["y1"], e["y2"]) >= low))
-    lons = bands.withColumn("_lons", F.flatten(F.transform(inside, ends)))
-    # a hair more on both sides, as the points on the band's edges are rounded
-    columns = F.sequence(F.floor((F.array_min("_lons") - 1e-9) / cell), F.floor((F.array_max("_lons") + 1e-9) / cell))
-    return lons.select("polygon", "west", "east", "south", "north", "row", F.explode(columns).alias("column"))
+    Per band of latitude those between the polygon's outermost points in what such boxes cover, and
+    one width of a box to the west. Columns are counted around the globe.
+    """
+    # a hair more on all sides, as the points on the band's edges are rounded
+    hair, width = 1e-9, 360.0 / turn
+
+    def columns(row: Column) -> Column:
+        low, high = row * cell - hair, (row + 1) * cell + 2 * delta + hair
+
+        def ends(e: Column) -> Column:
+            """Longitudes at which the edge enters and leaves the band."""
+            flat = e["y1"] == e["y2"]
+            at = lambda y: F.when(flat, e["x1"]).otherwise(e["x1"] + (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]))
+            clamp = lambda y: F.least(F.greatest(y, low), high)
+            return F.array(at(clamp(e["y1"])), F.when(flat, e["x2"]).otherwise(at(clamp(e["y2"]))))
+
+        inside = F.filter(part["edges"], lambda e: (F.least(e["y1"], e["y2"]) <= high) & (F.greatest(e["y1"], e["y2"]) >= low))
+        span = lambda lons: F.sequence(F.floor((F.array_min(lons) - 2 * delta - hair) / width), F.floor((F.array_max(lons) + hair) / width))
+        # as an array of one, so that the longitudes are worked out once
+        span = F.transform(F.array(F.flatten(F.transform(inside, ends))), span)[0]
+        cells = F.transform(span, lambda column: F.struct(row.alias("row"), F.pmod(column, F.lit(turn)).alias("column")))
+        return F.coalesce(cells, F.array().cast("array<struct<row:bigint,column:bigint>>"))
+
+    rows = F.sequence(F.floor((part["south"] - 2 * delta - hair) / cell), F.floor((part["north"] + hair) / cell))
+    return F.flatten(F.transform(rows, columns))
+
+
+def _hits(shapes: DataFrame, boxes: DataFrame, delta: float, cell: float, turn: int) -> DataFrame:
+    """``region_id, product_id, first`` of the products and boxes that meet; each pair of rows once."""
+    def meets(part: Column) -> Column:
+        def at(shift: Column) -> Column:
+            west = F.col("box_west") + shift
+            east = west + 2 * delta
+            return (part["west"] <= east) & (part["east"] >= west) & meets_box(part["edges"], west, south, east, north)
+
+        south, north = F.col("box_south"), F.col("box_north")
+        level = (part["south"] <= north) & (part["north"] >= south)
+        # polygons begin in [-180, 180) and span one turn at most
+        return level & (at(F.lit(0.0)) | ((part["east"] >= 180.0) & at(F.lit(360.0))) | at(F.lit(-360.0)))
+
+    placed = shapes.withColumn("_cell", F.explode(F.array_distinct(F.flatten(F.transform("parts", lambda part: _cells(part, delta, cell, turn))))))
+    placed = placed.select("product_id", "parts", "_cell.*")
+    side = small_side(boxes)
+    near = (placed if side is not boxes else without_blind_broadcast(placed, shapes, 64)).join(side, ["row", "column"])
+    met = near.where(F.exists("parts", meets))
+    first = F.when(F.size("parts") == 1, F.col("parts")[0]["own"]).otherwise(
+        F.array_min(F.transform(F.filter("parts", meets), lambda part: part["own"]))
+    )
+    return met.select("region_id", "product_id", first.alias("first"))
 
 
 def meeting_boxes(products: DataFrame, regions: DataFrame, delta: float = 0.5, cell: float = CELL) -> DataFrame:
@@ -143,26 +182,34 @@ def meeting_boxes(products: DataFrame, regions: DataFrame, delta: float = 0.5, c
     has ``region_id, lat, lon``. One row per product and region, of repeated products the first by
     their other columns. Boxes may cross the antimeridian. Products without a footprint and regions
     without a position meet nothing.
+
+    The polygons of a product travel in one row. Only pairs of a region id that stands for several
+    boxes, or of a product id of more than ``MOST_PARTS`` polygons, are grouped afterwards.
     """
     others = [c for c in products.columns if c not in ("product_id", "footprint")]
-    # numbered where they are stored, so the numbers stay whatever is computed again
-    polygons = stage(polygon_edges(products), "footprints").withColumn("polygon", F.monotonically_increasing_id())
-    numbered = stage(polygons, "footprint-polygons")
+    turn = max(1, round(360.0 / cell))
+    own = F.struct(*others) if others else F.struct(F.lit(1).alias("none"))
+    part = F.struct(own.alias("own"), "edges", "west", "east", "south", "north").alias("part")
+    polygons = stage(polygon_edges(products).select("product_id", part), "footprints")
+    many = polygons.groupBy("product_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_PARTS)
+    many = stage(many.select(F.col("product_id").alias("_id")), "footprints-many")
+    listed, heavy = polygons, None
+    if not many.isEmpty():
+        same = polygons["product_id"].eqNullSafe(many["_id"])
+        listed, heavy = polygons.join(many, same, "left_anti"), polygons.join(many, same, "left_semi").select("product_id", F.array("part").alias("parts"))
+    shapes = listed.groupBy("product_id").agg(F.collect_list("part").alias("parts"))
+
     west = F.col("lon") - delta
     home = -360.0 * F.floor((west + 180.0) / 360.0)
     boxes = regions.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(
-        "region_id", (F.col("lat") - delta).alias("box_south"), (F.col("lat") + delta).alias("box_north"),
-        (west + home).alias("box_west"), F.explode(F.array(*map(F.lit, (-360.0, 0.0, 360.0)))).alias("turn"),
-    ).withColumn("box_west", F.col("box_west") + F.col("turn")).withColumn("box_east", F.col("box_west") + 2 * delta).drop("turn")
-    # polygons begin in [-180, 180) and span one turn at most
-    boxes = boxes.where((F.col("box_east") >= -180.0) & (F.col("box_west") <= 540.0))
-    cells = boxes.withColumn("row", F.explode(F.sequence(F.floor(F.col("box_south") / cell), F.floor(F.col("box_north") / cell))))
-    cells = cells.withColumn("column", F.explode(F.sequence(F.floor(F.col("box_west") / cell), F.floor(F.col("box_east") / cell))))
-    cells = without_blind_broadcast(cells, regions, 3 * (2 * delta / cell + 2) ** 2)
-    overlap = (F.col("west") <= F.col("box_east")) & (F.col("east") >= F.col("box_west")) & (F.col("south") <= F.col("box_north")) & (F.col("north") >= F.col("box_south"))
-    extent = ["box_west", "box_south", "box_east", "box_north"]
-    near = _covered(numbered, cell).join(cells, ["row", "column"]).where(overlap).select("polygon", "region_id", *extent).distinct()
-    exact = near.join(numbered.select("polygon", "product_id", *others, "edges"), "polygon").where(meets_box(F.col("edges"), *map(F.col, extent)))
-    first = F.min(F.struct(*others)).alias("first") if others else F.count(F.lit(1)).alias("first")
-    found = exact.groupBy("region_id", "product_id").agg(first)
+        "region_id", (F.col("lat") - delta).alias("box_south"), (F.col("lat") + delta).alias("box_north"), (west + home).alias("box_west"),
+    ).withColumns({"row": F.floor(F.col("box_south") / cell), "column": F.pmod(F.floor(F.col("box_west") / (360.0 / turn)), F.lit(turn))})
+    boxes = stage(boxes.withColumn("again", F.count(F.lit(1)).over(Window.partitionBy("region_id")) > 1), "boxes")
+    once, again = boxes.where("NOT again"), boxes.where("again")
+
+    found = _hits(shapes, once, delta, cell, turn)
+    several = ([_hits(shapes, again, delta, cell, turn)] if not again.isEmpty() else []) + ([_hits(heavy, boxes, delta, cell, turn)] if heavy is not None else [])
+    if several:
+        pairs = several[0] if len(several) == 1 else several[0].unionByName(several[1])
+        found = found.unionByName(pairs.groupBy("region_id", "product_id").agg(F.min("first").alias("first")))
     return found.select("region_id", "product_id", *(["first.*"] if others else []))

@@ -89,8 +89,7 @@ def _box_catalogs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     """What the written catalogs have for the regions' boxes."""
     a, b = views.written_catalogs(spark, sf_dir, fresh(spark, "catalogs"))
     regions = views.box_regions(spark, sf_dir)
-    found = [catalogs.products_in_boxes(c, regions) for c in (catalogs.read_catalog_a(spark, a), catalogs.read_catalog_b(spark, b))]
-    return tuple(stage(f, "box-products") for f in found)
+    return tuple(catalogs.products_in_boxes(c, regions) for c in (catalogs.read_catalog_a(spark, a), catalogs.read_catalog_b(spark, b)))
 
 
 @query("SELECT region_id, CAST(product_id AS VARCHAR) AS product_id, product_time, CASE product_id % 2 WHEN 0 THEN 'a' ELSE 'b' END AS catalog FROM box_hits", ("box_hits",))

@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 from tarnwatch import schemas
 from tarnwatch.operators import footprints
 from tarnwatch.operators.nearby import rank_within
+from tarnwatch.session import stage
 from tarnwatch.sources import jsonarrays
 
 # Fixed values, defaults of product_dates: newest products looked at per region and catalog; dates
@@ -84,7 +85,8 @@ def product_dates(
         kept = newest(products, limit, since).where(F.coalesce("product_time", F.lit("")) != "")
         return kept.select("region_id", F.substring("product_time", 1, 10).alias("date")).distinct()
 
-    a, b = dates(catalog_a, newest_a), dates(catalog_b, newest_b)
+    # the dates of A are read twice
+    a, b = stage(dates(catalog_a, newest_a), "product-dates"), dates(catalog_b, newest_b)
     sufficient = a.groupBy("region_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= enough)
     added = b.join(sufficient, "region_id", "left_anti")
     return a.unionByName(added).distinct().withColumn("date", F.to_date("date"))

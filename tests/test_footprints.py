@@ -144,6 +144,29 @@ def test_holes_poles_parts_and_odd_footprints(spark):
     assert found == [("cap", 6), ("cap", 7), ("closed", 9), ("hole", 2), ("two", 3), ("two", 5)]
 
 
+def test_pairs_are_not_shuffled_and_repeated_ids_meet_once(spark, monkeypatch):
+    square = lambda x, y: [[[float(a), float(b)] for a, b in _corners(x, y, 3)]]
+    rng = random.Random(5)
+    rows = [(rng.choice([None, *range(12)]), f"t{rng.randrange(9)}" if n % 7 else None, [square(rng.uniform(-180, 177), rng.uniform(-20, 20)) for _ in range(n % 3 + 1)]) for n in range(80)]
+    boxes = [(rng.choice([None, *range(15)]), rng.uniform(-20, 20), rng.uniform(-180, 180)) for _ in range(60)]
+    products = spark.createDataFrame(rows, "product_id int, product_time string, footprint array<array<array<array<double>>>>")
+    regions = spark.createDataFrame(boxes, "region_id int, lat double, lon double")
+    expected = {}
+    for i, t, shape in rows:
+        for j, lat, lon in boxes:
+            if any(abs((x + 3) - lon + turn) <= 3.5 and abs((y + 3) - lat) <= 3.5 for (((x, y), *_),) in shape for turn in (-360, 0, 360)):
+                expected.setdefault((j, i), set()).add(t)
+    first = {k: None if None in v else min(v) for k, v in expected.items()}
+    for most in (200, 4):
+        monkeypatch.setattr(footprints, "MOST_PARTS", most, raising=False)
+        found = [((r["region_id"], r["product_id"]), r["product_time"]) for r in footprints.meeting_boxes(products, regions).collect()]
+        assert len(found) == len(first) and dict(found) == first
+    single = products.withColumn("product_id", F.monotonically_increasing_id())
+    plan = footprints.meeting_boxes(single, regions.where("region_id IS NULL").limit(1).union(regions.dropDuplicates(["region_id"]).where("region_id IS NOT NULL")))
+    lines = plan._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert not any("Exchange" in line for line in lines[:next(i for i, line in enumerate(lines) if "Join" in line)])
+
+
 def test_catalogs_keep_the_products_of_a_box(spark, tmp_path):
     feature = lambda i, x: {"id": f"a{i}", "properties": {"datetime": f"2024-01-0{i}T00:00:00Z"}, "geometry": {"type": "Polygon", "coordinates": [[[x, 0], [x + 3, 0], [x + 3, 3], [x, 3], [x, 0]]]}}
     (tmp_path / "a").mkdir()
