@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from tarnwatch.functions.geo import SphereGrid, haversine_km
 
 
+#: Stored keys of a bin that stand in one row.
+KEYS_PER_LIST = 500
+
+
 def within_radius(
     probe: DataFrame, build: DataFrame, radius_km: float, keys: Sequence[str] = (), bins_across: float = 3.0
 ) -> DataFrame:
@@ -66,24 +70,40 @@ def nearby_keys(requests: DataFrame, keys: DataFrame, tolerance: float = 0.1) ->
     """For each request the stored key within the tolerance in both coordinates, best first.
 
     ``requests`` has ``request_id, request_lat, request_lon, request_key``; ``keys`` has
-    ``cache_key, lat, lon``. An exact key wins, then the closest, then the smallest key. Stored keys
-    have two decimals, so a bin of the tolerance's width holds at most a few hundred of them.
+    ``cache_key, lat, lon``. An exact key wins, then the closest, then the smallest key. The keys of a
+    bin of twice the tolerance travel as lists of bounded length, so a request gives one row per list
+    of the bins it touches, two by two mostly, and not one per key near it.
     """
-    boxed = within_box(keys.select("cache_key", "lat", "lon").distinct(), requests, tolerance)
-    near = boxed.where(
-        (F.abs(F.col("lat") - F.col("request_lat")) <= tolerance)
-        & (F.abs(F.col("lon") - F.col("request_lon")) <= tolerance)
-    )
-    dlat, dlon = F.col("lat") - F.col("request_lat"), F.col("lon") - F.col("request_lon")
-    exact = F.when(F.col("cache_key") == F.col("request_key"), 0).otherwise(1)
-    # min_by keeps one candidate per request on the map side already.
-    best = near.groupBy("request_id").agg(
-        F.min_by(
-            F.struct("cache_key", "lat", "lon", (exact == 0).alias("exact")),
-            F.struct(exact, dlat * dlat + dlon * dlon, F.col("cache_key")),
-        ).alias("hit")
-    )
-    return best.select("request_id", "hit.*")
+    width = 2.0 * tolerance
+    bins = ["_lat_bin", "_lon_bin"]
+    stored = keys.select("cache_key", "lat", "lon").distinct()
+    binned = stored.withColumns({"_lat_bin": F.floor(F.col("lat") / width), "_lon_bin": F.floor(F.col("lon") / width)})
+    listed = binned.withColumn("_list", F.floor((rank_within(bins, "cache_key", "lat", "lon") - 1) / KEYS_PER_LIST))
+    lists = listed.groupBy(*bins, "_list").agg(F.collect_list(F.struct("cache_key", "lat", "lon")).alias("_keys"))
+
+    def span(centre: str) -> Column:
+        return F.sequence(F.floor((F.col(centre) - tolerance) / width), F.floor((F.col(centre) + tolerance) / width))
+
+    asked = requests.select("request_id", "request_lat", "request_lon", "request_key")
+    asked = asked.withColumn("_lat_bin", F.explode(span("request_lat"))).withColumn("_lon_bin", F.explode(span("request_lon")))
+
+    def inside(key: Column) -> Column:
+        def near(own: str, centre: str) -> Column:
+            at = F.col(centre)
+            return key[own].between(at - tolerance, at + tolerance) & (F.abs(key[own] - at) <= tolerance)
+
+        return near("lat", "request_lat") & near("lon", "request_lon")
+
+    def ranked(key: Column) -> Column:
+        dlat, dlon = key["lat"] - F.col("request_lat"), key["lon"] - F.col("request_lon")
+        other = F.when(key["cache_key"] == F.col("request_key"), 0).otherwise(1)
+        return F.struct(other.alias("other"), (dlat * dlat + dlon * dlon).alias("square"), *(key[c].alias(c) for c in ("cache_key", "lat", "lon")))
+
+    best = F.array_min(F.transform(F.filter("_keys", inside), ranked))
+    # chosen before rows are sorted by request, so the lists don't take part in that
+    chosen = asked.join(lists, bins).select("request_id", best.alias("hit"))
+    found = chosen.groupBy("request_id").agg(F.min("hit").alias("hit")).where("hit IS NOT NULL")
+    return found.select("request_id", "hit.cache_key", "hit.lat", "hit.lon", (F.col("hit.other") == 0).alias("exact"))
 
 
 def rank_within(keys: Sequence[str], *order: Column | str) -> Column:

@@ -162,6 +162,24 @@ def test_nearby_keys(spark):
     assert got == {1: ("41.60_-83.00", False), 2: ("41.60_-83.00", True)}
 
 
+def test_nearby_keys_of_crowded_bins_travel_as_lists(spark, monkeypatch):
+    monkeypatch.setattr(nearby, "KEYS_PER_LIST", 7)
+    rng = random.Random(2)
+    at = lambda: (round(rng.uniform(10, 10.5), 2), round(rng.uniform(-0.3, 0.3), 2))
+    stored = {(f"{lat:.2f}_{lon:.2f}", lat, lon) for lat, lon in (at() for _ in range(400))}
+    wanted = [(rng.choice([None, *range(90)]), *at()) for _ in range(150)]
+    wanted = [(i, lat, lon, rng.choice([None, f"{lat:.2f}_{lon:.2f}"])) for i, lat, lon in wanted]
+    expected = {}
+    for i, lat, lon, key in wanted:
+        near = [(k != key, (a - lat) * (a - lat) + (b - lon) * (b - lon), k) for k, a, b in stored if abs(a - lat) <= 0.1 and abs(b - lon) <= 0.1]
+        expected[i] = min([*near, *([expected[i]] if i in expected else [])], default=None)
+    keys = spark.createDataFrame(sorted(stored) * 2, "cache_key string, lat double, lon double")
+    requests = spark.createDataFrame(wanted, "request_id int, request_lat double, request_lon double, request_key string")
+    found = nearby.nearby_keys(requests, keys).collect()
+    assert {r["request_id"]: (not r["exact"], r["cache_key"]) for r in found} == {i: (hit[0], hit[2]) for i, hit in expected.items() if hit}
+    assert len(found) == len({r["request_id"] for r in found})
+
+
 EVENT = "event_id long, region_id string, date date, lat double, lon double, severity string, confidence double, chl_a_value double, chl_a_baseline double, z_score double, weather_context string"
 
 
