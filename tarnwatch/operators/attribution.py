@@ -114,10 +114,12 @@ def search(events: DataFrame, corpus: DataFrame, embedder: Embedder, k: int = re
     best = retrieval.vector_topk(searched, copies.where("copy = 1").select(named, "collection", "embedding"), k, ("vector",))
     found = best.select("vector", "collection", "distance", F.substring_index("doc_id", "\0", -1).alias("digest"))
     all_copies = found.join(copies.select(*own, "doc_id", "n_chars"), own)
-    hits = all_copies.withColumn("rank", rank_within(["vector", "collection"], "distance", "doc_id")).where(F.col("rank") <= k)
+    hits = all_copies.withColumn("rank", rank_within(["vector", "collection"], "distance", "doc_id")).where(F.col("rank") <= k).drop("rank")
+    # rows that repeat an event's id share its ranks
+    ranked = asked.join(hits, "vector").withColumn("rank", rank_within(["event_id", "query_no", "collection"], "distance", "doc_id")).where(F.col("rank") <= k)
     order = F.array_position(F.array(*map(F.lit, COLLECTIONS)), F.col("collection")) - 1
     position = ((F.col("query_no") * len(COLLECTIONS) + order) * k + F.col("rank")).cast("int")
-    return asked.join(hits, "vector").withColumn("position", position).select("event_id", "position", "digest", "n_chars")
+    return ranked.withColumn("position", position).select("event_id", "position", "digest", "n_chars")
 
 
 def budgeted_context(hits: DataFrame, texts: DataFrame, limit: int = retrieval.CONTEXT_CHARS) -> DataFrame:
