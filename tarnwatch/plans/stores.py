@@ -71,16 +71,15 @@ FROM (SELECT r.collection, c.source || '_' || c.doc_id || printf('_%04d', c.chun
   FROM chunks c JOIN routed r USING (doc_id) LEFT JOIN (SELECT doc_id, MIN(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)) x""", ("chunks", "routed"))
 def collection_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks stored, revised twice in one batch, and overtaken by a late batch."""
-    rows = chunks.fixed_chunks(views.routed_documents(spark, sf_dir))
-    file_name = F.concat_ws("_", "source", F.col("doc_id").cast("string"))
-    rows = stage(rows.select("doc_id", "collection", text.chunk_id(file_name, F.col("chunk_index")).alias("chunk_id"), "chunk"), "chunks")
     labels = views.table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rated = rows.join(labels, "doc_id")
+    rows = chunks.fixed_chunks(views.routed_documents(spark, sf_dir).join(labels, "doc_id", "left"))
+    file_name = F.concat_ws("_", "source", F.col("doc_id").cast("string"))
+    rows = stage(rows.select("quality", "collection", text.chunk_id(file_name, F.col("chunk_index")).alias("chunk_id"), "chunk"), "chunks")
     store = documents.open_collections(spark, fresh(spark, "collections"), STORE_BUCKETS)
     documents.upsert_chunks(store, rows.withColumn("ordinal", F.lit(0)))
-    twice = rated.where("quality = 1").withColumn("ordinal", F.explode(F.array(F.lit(2), F.lit(1))))
+    twice = rows.where("quality = 1").withColumn("ordinal", F.explode(F.array(F.lit(2), F.lit(1))))
     documents.upsert_chunks(store, twice.withColumn("chunk", F.concat(F.lit("revised "), F.col("ordinal").cast("string"), F.lit(": "), "chunk")))
-    late = rated.where("quality IS NOT NULL").withColumn("ordinal", F.lit(1))
+    late = rows.where("quality IS NOT NULL").withColumn("ordinal", F.lit(1))
     documents.upsert_chunks(store, late.withColumn("chunk", F.concat(F.lit("late: "), "chunk")))
     return store.read().select("collection", "chunk_id", "ordinal", F.md5("chunk").alias("digest"))
 

@@ -178,7 +178,7 @@ def routed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source string, document_type string, collection string",
     )
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return documents.join(routing, "source")
+    return documents.join(F.broadcast(routing), "source")  # a fixed list: documents are not shuffled
 
 
 def labelled_events(spark: SparkSession, sf_dir: str) -> DataFrame:

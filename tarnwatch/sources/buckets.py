@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUCKETS = 256
+#: Rows of one key above which a batch is reduced before it is dealt by ranges.
+REPEATS = 1000
 MANIFEST = "unit string, commit string, buckets int"
 
 
@@ -106,18 +108,19 @@ class BucketStore:
         named = (self.unit() == F.col("_unit")) & (F.col("commit") == F.col("_commit"))
         return rows.join(live, named, "left_semi").drop("commit")
 
-    def replace(self, rows: DataFrame, touched: Iterable[str]) -> None:
+    def replace(self, rows: DataFrame, touched: Iterable[str], ranged: bool = False) -> None:
         """Make ``rows`` (with the unit columns) the whole content of the ``touched`` units.
 
         Rows are written by ranges of unit and cluster columns: a unit with most of the rows is
-        written by many tasks.
+        written by many tasks. ``ranged`` rows lie in such ranges already and are not shuffled again.
         """
         touched, commit = set(touched), uuid.uuid4().hex
         if not touched:
             return
         folder, order = f"{self.path}/data/commit={commit}", [*self.units, *self.cluster]
-        ranged = rows.select(*self.columns, *self.units).repartitionByRange(*order).sortWithinPartitions(*order)
-        ranged.write.partitionBy(*self.units).parquet(folder)
+        rows = rows.select(*self.columns, *self.units)
+        placed = rows if ranged else rows.repartitionByRange(*order)
+        placed.sortWithinPartitions(*order).write.partitionBy(*self.units).parquet(folder)
         schema = T.StructType([f for f in self.schema.fields if f.name != "commit"])
         stored = self.spark.read.schema(schema).parquet(folder)
         written = self.names(stored)
@@ -158,14 +161,22 @@ def upsert(store: BucketStore, incoming: DataFrame, key: Sequence[str], ordinal:
     ``ordinal`` is the order of arrival. It is stored, so rows that arrive late don't replace newer
     ones. Rows equal in key and ordinal are decided by the order of their other values. Only the
     buckets of the incoming keys are read and written.
+
+    Rows move once: they are dealt by ranges of bucket and key, reduced there and written from there.
+    An ordering of the store by other columns than the key takes a second shuffle.
     """
     placed = incoming.select(*store.columns).withColumn("bucket", bucket_of(*map(F.col, key), buckets=store.buckets))
-    touched = store.names(placed)
-    merged = store.read(touched).unionByName(placed)
-    # one aggregate, partial on the map side: a key repeated very often sends one row per task
-    others = [c for c in store.columns if c not in (*key, ordinal)]
-    newest = merged.groupBy("bucket", *key).agg(F.max(F.struct(ordinal, *others)).alias("row"))
-    store.replace(newest.select("bucket", *key, "row.*"), touched)
+    by, others = ["bucket", *key], [c for c in store.columns if c not in (*key, ordinal)]
+
+    def newest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*by).agg(F.max(F.struct(ordinal, *others)).alias("row")).select(*by, "row.*")
+
+    repeats = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("rows")).groupBy("bucket").agg(F.max("rows").alias("most"))
+    most = {r[0]: r[1] for r in repeats.select(store.unit(), "most").collect()}
+    # a key repeated very often is reduced on the map side first and sends one row per task
+    batch = newest(placed) if max(most.values(), default=0) > REPEATS else placed
+    ranged = store.read(most).unionByName(batch).repartitionByRange(*by)
+    store.replace(newest(ranged), most, ranged=[*store.units, *store.cluster] == by)
 
 
 def remove(store: BucketStore, keys: DataFrame, key: Sequence[str]) -> None:

@@ -54,6 +54,27 @@ def test_only_touched_buckets_are_written(spark, tmp_path):
     assert store.vacuum() == 1 and store.read().count() == 400
 
 
+def test_upsert_moves_rows_once(spark, tmp_path, monkeypatch):
+    plans, write = [], buckets.BucketStore.replace
+
+    def replace(store, rows, touched, **how):
+        plans.append((rows._jdf.queryExecution().optimizedPlan().toString(), rows._jdf.queryExecution().executedPlan().toString(), how))
+        write(store, rows, touched, **how)
+
+    monkeypatch.setattr(buckets.BucketStore, "replace", replace)
+    store = documents.open_collections(spark, str(tmp_path / "c"), 8)
+    documents.upsert_chunks(store, chunk_rows(spark, [("p", f"id{i}", "x", 0) for i in range(50)]))
+    documents.upsert_chunks(store, chunk_rows(spark, [("p", f"id{i}", "y", 1) for i in range(25)]))
+    for _, physical, how in plans:
+        assert physical.count("Exchange") == 1 and "rangepartitioning" in physical and how == {"ranged": True}
+    # a key repeated very often is reduced before it is dealt by ranges
+    many = spark.range(3000).select(F.lit("p").alias("collection"), F.lit("id1").alias("chunk_id"), F.concat(F.lit("v"), "id").alias("chunk"), F.col("id").alias("ordinal"))
+    documents.upsert_chunks(store, many)
+    assert plans[-1][1].count("Exchange hashpartitioning") == 1
+    values = stored(store)
+    assert values[("p", "id1")] == ("v2999", 2999) and values[("p", "id2")] == ("y", 1) and values[("p", "id40")] == ("x", 0) and len(values) == 50
+
+
 def test_many_keys_lie_in_few_files(spark, tmp_path):
     store = documents.open_collections(spark, str(tmp_path / "c"), 8)
     rows = spark.range(200_000).select(F.lit("p").alias("collection"), F.concat(F.lit("id"), "id").alias("chunk_id"), F.lit("x").alias("chunk"), F.lit(0).alias("ordinal"))
