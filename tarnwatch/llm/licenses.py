@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwatch.llm.words import lower_ascii
+from tarnwatch.session import stage
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -89,9 +90,10 @@ def license_spans(documents: DataFrame, phrases: dict[str, str] = PHRASES, templ
         .withColumn("diagonal", F.col("at") - F.col("place"))
     )
     key = ["doc_id", "text_hash", "template", "label", "phrase", "grams"]
-    diagonals = hits.groupBy(*key, "diagonal").agg(
+    # staged: phrases and templates both read it, and the texts are cut into words only once
+    diagonals = stage(hits.groupBy(*key, "diagonal").agg(
         F.collect_set("place").alias("places"), F.min("at").alias("first"), F.max("at").alias("last")
-    )
+    ), "license-diagonals")
     exact = diagonals.where(F.col("phrase") & (F.size("places") == F.col("grams"))).select(
         "doc_id", "text_hash", "label", "phrase", F.col("diagonal").alias("start"),
         (F.col("diagonal") + F.col("grams")).alias("stop"), F.lit(1.0).alias("score"),

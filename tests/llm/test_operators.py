@@ -205,6 +205,15 @@ def test_license_phrases_match_brute_force(spark):
         assert 0 <= r["score"] <= 1
 
 
+def test_license_scan_cuts_texts_once(spark):
+    frame = spark.createDataFrame([(1, "free under the mit license now"), (2, "MIT License")], "doc_id long, text string")
+    spans = licenses.license_spans(frame)
+    # phrases and templates read the matches from files: neither cuts the texts again
+    assert "regexp_extract_all" not in spans._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["doc_id"], r["label"], r["phrase"], r["start"], r["stop"]) for r in spans.collect()) == [
+        (1, "mit", False, 3, 4), (1, "mit", True, 1, 4), (2, "mit", False, 0, 1)]
+
+
 def test_license_phrases_are_those_of_the_contract(spark):
     texts = ["the mit license", "MIT License here", "released Under the MIT-License, under the mit license", "under mit license", "under the apache license, version 2", "by cc by nc"]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
