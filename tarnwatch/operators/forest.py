@@ -56,8 +56,10 @@ def grow_from(sample: np.ndarray, rng: np.random.Generator):
         slot = tree * at_level + (node - first)
         low = np.full((trees * at_level, width), np.inf)
         high = np.full((trees * at_level, width), -np.inf)
-        np.minimum.at(low, slot, flat)
-        np.maximum.at(high, slot, flat)
+        by_slot = np.argsort(slot, kind="stable")
+        taken, starts = np.unique(slot[by_slot], return_index=True)
+        low[taken] = np.minimum.reduceat(flat[by_slot], starts)
+        high[taken] = np.maximum.reduceat(flat[by_slot], starts)
         splittable = high > low
         draw = np.where(splittable, rng.random(splittable.shape), -1.0)
         pick = draw.argmax(axis=1)
@@ -84,22 +86,31 @@ def score_points(points: np.ndarray, feature, threshold, path, size: int) -> np.
     """Anomaly score in (0, 1]: ``2 ** (-mean path / average path)``."""
     trees, inner = feature.shape
     height = int(np.log2(inner + 1))
-    width = points.shape[1]
     scores = np.empty(len(points))
     for start in range(0, len(points), SCORING_CHUNK):
         chunk = points[start : start + SCORING_CHUNK]
-        values, origin = chunk.ravel(), np.arange(len(chunk)) * width
-        total = np.zeros(len(chunk))
+        rows, count = np.arange(len(chunk)), len(chunk)
+        # column by column, so a node's input is found at its column's offset plus the row
+        by_column = np.ascontiguousarray(chunk.T)
+        values, offset = by_column.ravel(), feature.astype(np.int64) * count
+        node, at = np.empty(count, np.int64), np.empty(count, np.int64)
+        value, cut, right = np.empty(count), np.empty(count), np.empty(count, bool)
+        total = np.zeros(count)
         for t in range(trees):
-            node = np.zeros(len(chunk), dtype=np.int64)
-            for _ in range(height):
-                right = values.take(origin + feature[t].take(node)) > threshold[t].take(node)
+            np.greater(by_column[feature[t, 0]], threshold[t, 0], out=right)
+            np.add(right, 1, out=node)
+            for _ in range(height - 1):
+                offset[t].take(node, out=at, mode="clip")
+                at += rows
+                values.take(at, out=value, mode="clip")
+                threshold[t].take(node, out=cut, mode="clip")
+                np.greater(value, cut, out=right)
                 node *= 2
                 node += 1
                 node += right
             node -= inner
             total += path[t].take(node)
-        scores[start : start + len(chunk)] = total / trees
+        scores[start : start + count] = total / trees
     return np.exp2(-scores / average_path(np.array([size]))[0]) if size > 1 else np.full(len(points), 0.5)
 
 
@@ -130,8 +141,9 @@ def tree_samples(rows: DataFrame, trees: int, sample_size: int, seed: int) -> Da
     first = F.when(F.col("_chance") >= 1.0, F.lit(0.0)).otherwise(F.floor(F.log(unit("_id", F.lit("first"))) / F.log1p(-F.col("_chance"))))
     taken = hashed.withColumn("_first", first).where(F.col("_first") < trees).withColumn("_first", F.col("_first").cast("int"))
     # after the first one every tree decides for itself
-    later = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: (t > F.col("_first")) & (unit("_id", t) < F.col("_chance")))
-    dealt = taken.withColumn("tree", F.explode(F.concat(F.array("_first"), later)))
+    dealt = taken.withColumn("tree", F.explode(F.sequence("_first", F.lit(trees - 1)))).where(
+        (F.col("tree") == F.col("_first")) | (unit("_id", "tree") < F.col("_chance"))
+    )
     return dealt.withColumn("priority", F.xxhash64("_id", "tree", F.lit("priority"))).drop("_id", "_chance", "_first", "_rows")
 
 

@@ -103,6 +103,14 @@ def test_every_tree_draws_from_all_rows(spark):
         assert len(set(drawn.ravel())) > 0.8 * sizes[region] * (1 - np.exp(-25_600 / sizes[region]))
 
 
+def test_trees_are_decided_in_compiled_code(spark):
+    rows = spark.range(10).select(F.lit("r").alias("region_id"), F.col("id").alias("cell_id"), F.lit("2020-01-01").cast("date").alias("date"))
+    sample = forest.tree_samples(rows, 20, 256, 1)
+    # lambdas over arrays are interpreted, which made one hash per row and tree the slowest step
+    assert "lambda" not in sample._jdf.queryExecution().optimizedPlan().toString()
+    assert sample.groupBy("cell_id").agg(F.countDistinct("tree").alias("n")).where("n = 20").count() == 10
+
+
 def test_small_regions_are_drawn_whole(spark):
     rows = spark.range(300).selectExpr("case when id < 10 then 'small' else 'most' end as region_id", "id as cell_id", "date'2020-01-01' as date", "cast(id as double) as v")
     sample = forest.tree_samples(rows, 20, 256, 1).toPandas()
