@@ -383,6 +383,56 @@ def test_large_groups_and_chains_match_brute_force(spark):
     assert found == brute_components(rows, 3, 90)
 
 
+def test_copies_that_nearly_link_are_not_paired_with_each_other(spark, monkeypatch):
+    rng = random.Random(21)
+    origin, rows, proposed = prose(rng, 130).split(), [], []
+    for i in range(300):  # copies of one text with three edits each, few of them within the limit
+        words = list(origin)
+        for _ in range(1 if i % 30 == 0 else 3):
+            words[rng.randrange(len(words))] = f"edit{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    whole = ngram_join.across_crowds
+
+    def counted(*arguments):
+        proposed.append(whole(*arguments))
+        return proposed[-1]
+
+    monkeypatch.setattr(ngram_join, "across_crowds", counted)
+    monkeypatch.setattr(ngram_join, "discard", lambda *staged: None)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    found = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.similar_documents(frame, 3, 90).collect())
+    assert found == brute_components(rows, 3, 90)
+    assert len({component for *_, component in found}) > 100 and proposed
+    assert proposed[0].count() < 10 * len(rows)  # of 44850 pairs
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_linked_sets_share_a_part(percent):
+    rng = np.random.default_rng(3)
+    pairs = []
+    while len(pairs) < 300:
+        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 500)).astype(np.uint64))
+        b = np.unique(np.concatenate([rng.permutation(a)[rng.integers(0, len(a) // 5 + 1):], rng.integers(0, 2**63, rng.integers(0, len(a) // 5 + 1)).astype(np.uint64)]))
+        if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)) and len(np.setxor1d(a, b)):
+            pairs += [a, b]
+    # tokens that are nearly all in one part: most parts are empty
+    crowded = np.arange(1, 5 * 10**5, dtype=np.uint64)
+    crowded = crowded[ngram_join.mix(crowded, 223) >> np.uint64(57) == 0][:300]
+    pairs += [crowded, crowded[1:]]
+    keys, sets = ngram_join.part_keys(np.concatenate(pairs), np.array([len(p) for p in pairs]), percent)
+    own = [set(keys[sets == i].tolist()) for i in range(len(pairs))]
+    assert all(own[i] & own[i + 1] for i in range(0, len(pairs), 2))
+
+
+def test_a_shared_passage_proposes_hardly_any_pair():
+    rng = np.random.default_rng(4)
+    passage = rng.integers(0, 2**63, 40).astype(np.uint64)
+    docs = [np.concatenate([passage, rng.integers(0, 2**63, 100).astype(np.uint64)]) for _ in range(400)]
+    keys, _ = ngram_join.part_keys(np.concatenate(docs), np.full(400, 140), 90)
+    members = np.unique(keys, return_counts=True)[1]
+    assert (members * (members - 1) // 2).sum() < 400  # of 79800 pairs
+
+
 # toxicity
 
 
