@@ -55,7 +55,7 @@ MORE_ORDERS = 2
 #: Ratio of the sizes at both ends of a level, if sets may link at all over that ratio.
 LEVEL_RATIO = 1.25
 #: Share of sets that may have more empty parts than their level has to spare.
-SPARSE = 1e-3
+SPARSE = 1e-2
 #: Members of a part up to which its pairs across components are all proposed.
 CROWD = 32
 #: Copies of a pivot among which its members are dealt.
@@ -406,15 +406,17 @@ def marked_documents(documents: DataFrame, n: int = 5, percent: int = 80) -> Dat
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     sets = stage(rows.mapInArrow(_sets(n, percent), SETS), "ngram-sets")
     classes = spark.sparkContext.broadcast(_token_weights(sets))
-    measured = sets.where("block IS NULL").select("doc_id", "text_hash", "node", "size")
+    measured = stage(sets.where("block IS NULL").select("doc_id", "text_hash", "node", "size"), "ngram-measured")
     nodes = measured.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"))
 
-    distinct = stage(sets.where("node IS NOT NULL").select("node", "size", "sketch", "parts").dropDuplicates(["node"]), "ngram-distinct")
-    filters = distinct.select("node", "size", "sketch")
-    parts = distinct.select("node", F.col("size").cast("int").alias("size"), F.explode("parts").alias("part"))
+    filters = stage(sets.where("node IS NOT NULL").select("node", "size", "sketch").dropDuplicates(["node"]), "ngram-filters")
+    parts = sets.where("node IS NOT NULL").select("node", F.col("size").cast("int").alias("size"), F.explode("parts").alias("part"))
     repeated = spark.sparkContext.broadcast(bit_filter(parts.groupBy("part").count().where("count > 1"), "part"))
+    spark._jvm.System.gc()  # lets Spark remove the shuffle files of the counts
     maybe = parts.mapInArrow(_passing("part", repeated), "node binary, size int, part long")
-    shared = stage(maybe, "ngram-shared")
+    shared = stage(maybe.groupBy("part", "node").agg(F.max("size").alias("size")), "ngram-shared")
+    discard(sets)
+    spark._jvm.System.gc()
 
     def side(sets: DataFrame, s: str, columns: list[str]) -> DataFrame:
         return sets.select(F.col("node").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in columns))
@@ -490,7 +492,7 @@ def marked_documents(documents: DataFrame, n: int = 5, percent: int = 80) -> Dat
         links = stage(links.unionByName(verified(ranked.where(F.col("place") <= share).select("x", "y"), cross_sets)), "ngram-links")
         labels = stage(components(links), "ngram-labels")
         open_pairs, share = ranked.where(F.col("place") > share).select("x", "y"), share * 8
-    discard(shared, distinct, pivots, open_parts, cross_pairs, cross_sets)
+    discard(shared, filters, pivots, open_parts, cross_pairs, cross_sets)
 
     named = (
         nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("node", "first_id", "label")

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -436,6 +437,18 @@ def test_a_shared_passage_proposes_hardly_any_pair():
 # toxicity
 
 
+def test_counting_grams_holds_few_copies_of_the_texts():
+    rng = random.Random(5)
+    texts = [prose(rng, 200).encode() for _ in range(400)]
+    tracemalloc.start()
+    codes, counts = toxicity._grams(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    seen = {(t[i:i + 5], t[max(0, i - 6):i]) for t in (b" " + t.lower() + b" " for t in texts) for i in range(len(t) - 4)}
+    assert dict(zip(codes.tolist(), counts.tolist())) == Counter(int.from_bytes(gram, "big") for gram, _ in seen)
+    assert peak < 60 * sum(map(len, texts))
+
+
 def test_toxic_words_are_learned_and_scored_on_held_out_rows(spark):
     rng = random.Random(2)
     bad = ["grobian", "mistkerl", "lumpenhund"]
