@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwatch.session import shuffles_freed
+
 FILTER_BITS = 26
 
 
@@ -58,16 +60,17 @@ def bit_filter(hashes: DataFrame, column: str) -> np.ndarray:
     or-ed in Spark; what reaches the driver is at most ``2 ** (FILTER_BITS - 6)`` rows. A set bit
     only says "maybe": who uses the filter must check what passes it.
     """
-    words = (
-        hashes.select(F.shiftrightunsigned(F.col(column), 64 - FILTER_BITS).alias("index"))
-        .select(
-            F.expr("cast(shiftright(index, 6) as int)").alias("word"),
-            F.expr("shiftleft(1L, cast(index & 63 as int))").alias("bit"),
+    with shuffles_freed(hashes.sparkSession):
+        words = (
+            hashes.select(F.shiftrightunsigned(F.col(column), 64 - FILTER_BITS).alias("index"))
+            .select(
+                F.expr("cast(shiftright(index, 6) as int)").alias("word"),
+                F.expr("shiftleft(1L, cast(index & 63 as int))").alias("bit"),
+            )
+            .groupBy("word")
+            .agg(F.expr("bit_or(bit)").alias("bits"))
+            .toArrow()
         )
-        .groupBy("word")
-        .agg(F.expr("bit_or(bit)").alias("bits"))
-        .toArrow()
-    )
     out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return out

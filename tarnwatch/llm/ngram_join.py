@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from tarnwatch.llm.bits import bit_filter, passes
 from tarnwatch.llm.scratch import discard
-from tarnwatch.session import stage
+from tarnwatch.session import shuffles_freed, stage
 
 #: log2 of the number of counters in the table of token weights (4 MiB as 64-bit counters).
 COUNTER_BITS = 19
@@ -56,8 +56,12 @@ MORE_ORDERS = 2
 LEVEL_RATIO = 1.25
 #: Share of sets that may have more empty parts than their level has to spare.
 SPARSE = 1e-2
+#: Bytes of text whose parts are counted at once: some 20 million parts, so that a filter is nearly empty.
+SLICE_BYTES = 256 << 20
 #: Members of a part up to which its pairs across components are all proposed.
 CROWD = 32
+#: Members of crowds that are compared at once: so many, or a share of all sets if that is more.
+CROWD_ROWS, CROWD_SHARE = 20_000, 1 / 16
 #: Copies of a pivot among which its members are dealt.
 SALTS = 16
 #: Bytes of text whose sets are held as arrays at once.
@@ -211,13 +215,20 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
 
 
-SETS = "doc_id long, text_hash long, node binary, size long, sketch array<long>, parts array<long>, block int, counts binary"
+SETS = "doc_id long, text_hash long, node binary, size long, sketch array<long>, block int, counts binary"
 
 
-def _sets(n: int, percent: int, rows: int = 256):
-    """Keys, sizes, sketches and parts of all sets, and at the end of a task its token counters in blocks."""
+def _parts_schema(slices: int) -> str:
+    return ", ".join(f"parts{k} array<long>" for k in range(slices))
 
-    names = [c.split()[0] for c in SETS.split(", ")]
+
+def _sets(n: int, percent: int, slices: int, rows: int = 256):
+    """Keys, sizes, sketches and parts of all sets, and at the end of a task its token counters in blocks.
+
+    Parts are dealt by their key to a column for each slice.
+    """
+
+    names = [c.split()[0] for c in f"{SETS}, {_parts_schema(slices)}".split(", ")]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(1 << COUNTER_BITS, np.int64)
@@ -229,19 +240,23 @@ def _sets(n: int, percent: int, rows: int = 256):
                 grams, owner = np.concatenate(found), np.repeat(np.arange(len(found)), sizes)
                 held += np.bincount(_bucket(grams), minlength=1 << COUNTER_BITS)
                 keys, of = part_keys(grams, sizes, percent)
-                order = np.argsort(of, kind="stable")
+                # by low bits, as filters tell keys apart by the high ones
+                dealt = ((keys & np.uint64(0xFFFFFFFF)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64) * len(found) + of
+                keys = keys[np.argsort(dealt, kind="stable")].view(np.int64)
+                counts = np.bincount(dealt, minlength=slices * len(found)).reshape(slices, -1)
+                cuts = np.cumsum(counts.sum(axis=1))[:-1]
                 sketches = odd_sketches(grams, owner, len(found))
                 none = pa.nulls(len(found))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(2), pa.array([set_key(g) for g in found], pa.binary()), pa.array(sizes),
-                     _lists(sketches.ravel(), np.full(len(found), sketches.shape[1])),
-                     _lists(keys[order].view(np.int64), np.bincount(of, minlength=len(found))), none.cast(pa.int32()), none.cast(pa.binary())], names)
+                     _lists(sketches.ravel(), np.full(len(found), sketches.shape[1])), none.cast(pa.int32()), none.cast(pa.binary()),
+                     *map(_lists, np.split(keys, cuts), counts)], names)
         blocks = [(i, part.astype(np.uint32).tobytes()) for i, part in enumerate(held.reshape(rows, -1)) if part.any()]
         none = pa.nulls(len(blocks))
         longs = none.cast(pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays(
-            [none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.int64()), longs, longs,
-             pa.array([b[0] for b in blocks], pa.int32()), pa.array([b[1] for b in blocks], pa.binary())], names)
+            [none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.int64()), longs,
+             pa.array([b[0] for b in blocks], pa.int32()), pa.array([b[1] for b in blocks], pa.binary()), *[longs] * slices], names)
 
     return sets
 
@@ -256,7 +271,8 @@ def _add_counters(parts: pa.Table) -> pa.Table:
 def _token_weights(sets: DataFrame) -> np.ndarray:
     """Classes of all counters; ``2 ** COUNTER_BITS`` numbers whatever the input."""
     counters = np.zeros(1 << COUNTER_BITS, np.int64)
-    added = sets.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(_add_counters, "block int, counts binary").toArrow()
+    with shuffles_freed(sets.sparkSession):
+        added = sets.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(_add_counters, "block int, counts binary").toArrow()
     for block, counts in zip(added["block"].to_pylist(), added["counts"].to_pylist()):
         part = np.frombuffer(counts, np.int64)
         counters[block * len(part):(block + 1) * len(part)] = part
@@ -331,7 +347,8 @@ def across_crowds(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     grams = grams.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     pairs = members.select(F.col("pivot").alias("y"), F.col("node").alias("x"), "size", "label").withColumn("salt", salted)
     both = pairs.join(sets.select(F.col("node").alias("x"), F.col("grams").alias("x_grams")), "x").join(grams, ["y", "salt"])
-    rows = stage(both.select("y", "x", "size", "label", "x_grams", "y_grams").mapInArrow(_differing(percent), MEMBERS), "ngram-members")
+    compared = both.select("y", "x", "size", "label", "x_grams", "y_grams").mapInArrow(_differing(percent), MEMBERS)
+    members = rows = stage(compared.withColumn("member", F.monotonically_increasing_id()), "ngram-members")
     most = rows.groupBy("pivot").agg(F.max(F.struct("room", "node", "label")).alias("most"))
     rows = rows.join(most.select("pivot", F.col("most.room").alias("most"), F.col("most.node").alias("hub"), F.col("most.label").alias("hub_label")), "pivot")
     star = F.col("room") + F.col("most") >= 0
@@ -342,18 +359,24 @@ def across_crowds(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     count = F.size("differ")
     common = F.greatest(F.ceil(other / (2 * (100 + percent))), count - F.floor((100 - percent) * F.col("size") / max(1, percent)), F.lit(1))
     length = F.greatest(count - common + 1, F.lit(0)).cast("int")
-    # rare is what few members of the pivot have: what it has alone is in all differences
-    tokens = rows.select("pivot", "node", "size", "label", "room", count.alias("count"), length.alias("length"), F.explode("differ").alias("token"))
-    tokens = tokens.join(rows.select("pivot", F.explode("differ").alias("token")).groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("members")), ["pivot", "token"])
-    tokens = tokens.withColumn("place", F.row_number().over(Window.partitionBy("pivot", "node").orderBy("members", "token"))).where("place <= length")
-    tokens = stage(tokens.select("pivot", "token", "node", "size", "label", "room", (F.col("count") - F.col("place") + 1).alias("rest")), "ngram-differ")
-    own = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("size", "label", "room", "rest")]
-    left = tokens.select("pivot", "token", F.col("node").alias("x"), *own("x"))
-    right = tokens.select("pivot", "token", F.col("node").alias("y"), *own("y"))
+    # rare is what few members of the pivot have: what it has alone is in all differences; pivots stand
+    # as hashes, as two that are taken for one only offer more pairs
+    crowd = F.xxhash64("pivot").alias("crowd")
+    shared = rows.select(crowd, F.explode("differ").alias("token")).groupBy("crowd", "token").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    tokens = rows.select(crowd, "member", count.alias("count"), length.alias("length"), F.explode("differ").alias("token")).join(shared, ["crowd", "token"])
+    # tokens of one member alone come first and meet nobody
+    mine = Window.partitionBy("member")
+    alone = F.col("count") - F.count(F.lit(1)).over(mine)
+    tokens = tokens.withColumn("place", alone + F.row_number().over(mine.orderBy("members", "token"))).where("place <= length")
+    tokens = stage(tokens.select("crowd", "token", "member", (F.col("count") - F.col("place") + 1).alias("rest")), "ngram-differ")
+    whose = tokens.join(members.select("member", "node", "size", "label", "room"), "member")
+    side = lambda s: whose.select("crowd", "token", F.col("node").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("size", "label", "room", "rest")))
     # from the first token that two have in common on, both must hold as many as their rooms ask for
     enough = 2 * (100 + percent) * F.least("x_rest", "y_rest") + F.col("x_room") + F.col("y_room") >= 0
-    meet = left.join(right, ["pivot", "token"]).where((F.col("x_label") < F.col("y_label")) & _sizes_allow("x_size", "y_size", percent) & enough)
-    return stage(meet.select("x", "y").unionByName(hubs).distinct(), "ngram-crowds")
+    meet = side("x").join(side("y"), ["crowd", "token"]).where((F.col("x_label") < F.col("y_label")) & _sizes_allow("x_size", "y_size", percent) & enough)
+    pairs = stage(meet.select("x", "y").unionByName(hubs).distinct(), "ngram-crowds")
+    discard(members, tokens)
+    return pairs
 
 
 def _sizes_allow(a: str, b: str, percent: int) -> Column:
@@ -404,19 +427,23 @@ def marked_documents(documents: DataFrame, n: int = 5, percent: int = 80) -> Dat
     ``component``, which tells components of the same name apart (null: no n-grams)."""
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
-    sets = stage(rows.mapInArrow(_sets(n, percent), SETS), "ngram-sets")
+    slices = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SLICE_BYTES))
+    sets = stage(rows.mapInArrow(_sets(n, percent, slices), f"{SETS}, {_parts_schema(slices)}"), "ngram-sets")
     classes = spark.sparkContext.broadcast(_token_weights(sets))
     measured = stage(sets.where("block IS NULL").select("doc_id", "text_hash", "node", "size"), "ngram-measured")
     nodes = measured.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"))
 
     filters = stage(sets.where("node IS NOT NULL").select("node", "size", "sketch").dropDuplicates(["node"]), "ngram-filters")
-    parts = sets.where("node IS NOT NULL").select("node", F.col("size").cast("int").alias("size"), F.explode("parts").alias("part"))
-    repeated = spark.sparkContext.broadcast(bit_filter(parts.groupBy("part").count().where("count > 1"), "part"))
-    spark._jvm.System.gc()  # lets Spark remove the shuffle files of the counts
-    maybe = parts.mapInArrow(_passing("part", repeated), "node binary, size int, part long")
-    shared = stage(maybe.groupBy("part", "node").agg(F.max("size").alias("size")), "ngram-shared")
+    # slices of the parts one after another: a filter of fixed size is for a bounded number of parts, and
+    # what is shuffled at once does not grow
+    shared = None
+    for k in range(slices):
+        parts = sets.where("node IS NOT NULL").select("node", F.col("size").cast("int").alias("size"), F.explode(f"parts{k}").alias("part"))
+        repeated = spark.sparkContext.broadcast(bit_filter(parts.groupBy("part").count().where("count > 1"), "part"))
+        maybe = parts.mapInArrow(_passing("part", repeated), "node binary, size int, part long")
+        shared = stage(maybe.groupBy("part", "node").agg(F.max("size").alias("size")), "ngram-shared", shared)
+        repeated.destroy()
     discard(sets)
-    spark._jvm.System.gc()
 
     def side(sets: DataFrame, s: str, columns: list[str]) -> DataFrame:
         return sets.select(F.col("node").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in columns))
@@ -469,7 +496,10 @@ def marked_documents(documents: DataFrame, n: int = 5, percent: int = 80) -> Dat
     crowds = stage(open_parts.where(F.col("members") > CROWD).select("pivot", "node", "size", "label").distinct(), "ngram-crowds")
     if not crowds.isEmpty():
         crowd_sets = whole(crowds.select(F.col("node").alias("x"), F.col("pivot").alias("y")), "ngram-crowd")
-        across = across.unionByName(across_crowds(crowds, crowd_sets, percent))
+        turns = ceil(crowds.count() / max(CROWD_ROWS, CROWD_SHARE * filters.count()))
+        for k in range(turns):
+            some = crowds.where(F.pmod(F.xxhash64("pivot"), F.lit(turns)) == k)
+            across = across.unionByName(across_crowds(some, crowd_sets, percent))
         discard(crowd_sets)
     cross_pairs = close(across.distinct(), "ngram-cross")
     cross_sets = whole(cross_pairs, "ngram-cross")

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -407,6 +408,50 @@ def test_copies_that_nearly_link_are_not_paired_with_each_other(spark, monkeypat
     assert proposed[0].count() < 10 * len(rows)  # of 44850 pairs
 
 
+def test_parts_and_crowds_in_slices_match_brute_force(spark, monkeypatch):
+    rng = random.Random(22)
+    origin, rows, staged = prose(rng, 100).split(), [], Counter()
+    for i in range(150):
+        words = list(origin) if i % 2 else prose(rng, 60).split()
+        for _ in range(1 if i % 10 == 0 else 3):
+            words[rng.randrange(len(words))] = f"edit{rng.randrange(10**6)}"
+        rows += [(i, " ".join(words))] * (1 + (i % 50 == 1))
+    whole = ngram_join.stage
+
+    def counted(frame, name, *more):
+        staged[name] += 1
+        return whole(frame, name, *more)
+
+    monkeypatch.setattr(ngram_join, "stage", counted)
+    monkeypatch.setattr(ngram_join, "SLICE_BYTES", 20_000)
+    monkeypatch.setattr(ngram_join, "CROWD_ROWS", 15)
+    monkeypatch.setattr(ngram_join, "CROWD_SHARE", 0.0)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.similar_documents(frame, 3, 90).collect())
+    assert found == brute_components(rows, 3, 90)
+    assert staged["ngram-shared"] > 2 and staged["ngram-members"] > 1
+
+
+def test_no_shuffle_files_stay_behind_the_join(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        names = set()
+        while found.hasNext():
+            names.add(found.next().getName())
+        return {n for n in names if n.startswith("shuffle_")}
+
+    rng = random.Random(23)
+    text = prose(rng, 60)
+    frame = spark.createDataFrame([(i, f"{text} {i % 9}") for i in range(40)], "doc_id long, text string")
+    before = files()
+    ngram_join.marked_documents(frame, 3, 90)
+    for _ in range(50):
+        if len(left := files() - before) == 0:
+            break
+        time.sleep(0.1)
+    assert len(left) == 0
+
+
 @pytest.mark.parametrize("percent", [60, 80, 90])
 def test_linked_sets_share_a_part(percent):
     rng = np.random.default_rng(3)
