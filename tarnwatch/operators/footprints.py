@@ -2,16 +2,26 @@
 
 Footprints are polygons with holes, given as arrays of polygons, rings and ``[lon, lat]`` points.
 Their longitudes are unwrapped first, so a ring that crosses the antimeridian is one piece, and a
-ring around a pole is closed along it. A product is copied to the grid cells in which the south-west
-corner of a box that meets it may lie, by bands of latitude; a box lies in the one cell of its corner.
-Cells meet by an equi-join, so a product and a box come together once at most, and are tested exactly
-where they meet: pairs are neither shuffled nor stored.
+ring around a pole is closed along it.
+
+Boxes that fit in memory are sent to every task, sorted by bands of latitude and their western edges.
+A task looks up the boxes that the extents of its polygons reach and tests these pairs exactly, as
+arrays; only which boxes a polygon meets is sent on. Otherwise a product is copied to the grid cells
+in which the south-west corner of a box that meets it may lie, by bands of latitude; a box lies in the
+one cell of its corner. Cells meet by an equi-join, so a product and a box come together once at most,
+and are tested exactly where they meet. Either way pairs are neither shuffled nor stored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnwatch.session import small_side, stage, without_blind_broadcast
 
@@ -19,6 +29,8 @@ from tarnwatch.session import small_side, stage, without_blind_broadcast
 CELL = 2.0
 #: Polygons of one product id that may stand in one row.
 MOST_PARTS = 200
+#: Pairs, and pairs of edge and box, that a task tests at once.
+PAIRS, EDGE_PAIRS = 1 << 18, 1 << 18
 RING = "array<array<double>>"
 EDGES = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
 
@@ -175,6 +187,97 @@ def _hits(shapes: DataFrame, boxes: DataFrame, delta: float, cell: float, turn:
     return met.select("region_id", "product_id", first.alias("first"))
 
 
+def _met(edges: np.ndarray, first: np.ndarray, count: np.ndarray, west: np.ndarray, south: np.ndarray, east: np.ndarray, north: np.ndarray) -> np.ndarray:
+    """:func:`meets_box` for pairs of a polygon, whose edges are ``count`` from ``first`` on, and a box."""
+    out, ends, start = np.zeros(len(first), bool), np.cumsum(count), 0
+    while start < len(first):
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + EDGE_PAIRS, "right")))
+        size = count[start:stop]
+        begin = ends[start:stop] - size - done
+        x1, y1, x2, y2 = edges[:, np.arange(int(size.sum())) + np.repeat(first[start:stop] - begin, size)]
+        w, s, e, n = (np.repeat(side[start:stop], size) for side in (west, south, east, north))
+        dx, dy = x2 - x1, y2 - y1
+        near = (np.minimum(x1, x2) <= e) & (np.maximum(x1, x2) >= w) & (np.minimum(y1, y2) <= n) & (np.maximum(y1, y2) >= s)
+        at_south, at_north, at_west, at_east = dx * (s - y1), dx * (n - y1), dy * (w - x1), dy * (e - x1)
+        sides = at_south - at_west, at_north - at_west, at_south - at_east, at_north - at_east
+        crosses = near & (np.minimum.reduce(sides) <= 0) & (np.maximum.reduce(sides) >= 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            passed = ((y1 > s) != (y2 > s)) & (w < at_south / dy + x1)
+        out[start:stop] = np.logical_or.reduceat(crosses, begin) | (np.add.reduceat(passed, begin, dtype=np.int64) % 2 == 1)
+        start = stop
+    return out
+
+
+def _meeting(boxes, delta: float, cell: float):
+    """Parts that meet boxes, with the places of these; a place counts for the first part of its product.
+
+    ``boxes`` has arrays sorted by row and western edge: row, west, south, north, and the place, as a
+    position in the last array, of the places.
+    """
+    def lookups(extent: dict[str, np.ndarray], box_row: np.ndarray, box_west: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Part, shift and range of boxes of each band that a part reaches, by part."""
+        # more than enough room for rounding, as extents are compared exactly afterwards
+        hair, width = 1e-6, 1024.0
+        low = np.floor((extent["south"] - 2 * delta - hair) / cell).astype(np.int64)
+        bands = np.floor((extent["north"] + hair) / cell).astype(np.int64) - low + 1
+        part = np.repeat(np.arange(len(low)), bands)
+        row = low[part] + np.arange(len(part)) - np.repeat(np.cumsum(bands) - bands, bands)
+        keys, found = box_row * width + box_west, []
+        # polygons begin in [-180, 180) and span one turn at most
+        for shift, of in ((0.0, part >= 0), (360.0, extent["east"][part] >= 180.0), (-360.0, part >= 0)):
+            at = row[of] * width
+            ends = (extent["west"][part[of]] - 2 * delta - shift - hair, extent["east"][part[of]] - shift + hair)
+            first, last = (np.searchsorted(keys, at + np.clip(lon, -200.0, 200.0), side) for lon, side in zip(ends, ("left", "right")))
+            found.append((part[of], np.full(len(first), shift), first, np.maximum(last - first, 0)))
+        part, shift, first, count = (np.concatenate(c) for c in zip(*found))
+        order = np.argsort(part, kind="stable")
+        order = order[count[order] > 0]
+        return part[order], shift[order], first[order], count[order]
+
+    def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        box_row, box_west, box_south, box_north, place, places = boxes.value
+        for batch in batches:
+            listed = batch.column("parts")
+            flat = listed.flatten()
+            product = np.repeat(np.arange(batch.num_rows), pc.list_value_length(listed).to_numpy(zero_copy_only=False))
+            extent = {name: flat.field(name).to_numpy(zero_copy_only=False) for name in ("west", "east", "south", "north")}
+            n_edges = pc.list_value_length(flat.field("edges")).to_numpy(zero_copy_only=False).astype(np.int64)
+            lines, first_edge = flat.field("edges").flatten(), np.cumsum(n_edges) - n_edges
+            edges = np.stack([lines.field(name).to_numpy(zero_copy_only=False) for name in ("x1", "y1", "x2", "y2")])
+            part, shift, first, count = lookups(extent, box_row, box_west)
+            # products stay whole, as a place counts for one part of each
+            ends = np.flatnonzero(np.diff(product[part], append=-1)) + 1
+            totals, done, start = np.cumsum(count)[ends - 1], 0, 0
+            while start < len(ends):
+                stop = max(start + 1, int(np.searchsorted(totals, done + PAIRS, "right")))
+                some = slice(ends[start - 1] if start else 0, ends[stop - 1])
+                size = count[some]
+                box = np.arange(int(size.sum())) + np.repeat(first[some] - (np.cumsum(size) - size), size)
+                of, west = np.repeat(part[some], size), box_west[box] + np.repeat(shift[some], size)
+                east, south, north = west + 2 * delta, box_south[box], box_north[box]
+                near = np.flatnonzero((extent["west"][of] <= east) & (extent["east"][of] >= west) & (extent["south"][of] <= north) & (extent["north"][of] >= south))
+                near = near[_met(edges, first_edge[of[near]], n_edges[of[near]], west[near], south[near], east[near], north[near])]
+                key = product[of[near]] * len(places) + place[box[near]]
+                order = np.argsort(key, kind="stable")
+                once = np.sort(order[np.diff(key[order], prepend=-1) != 0])
+                parts, starts = np.unique(of[near][once], return_index=True)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(once)).astype(np.int32)), pa.array(places[place[box[near][once]]]))
+                yield pa.RecordBatch.from_arrays([batch.column("product_id").take(pa.array(product[parts])), flat.field("own").take(pa.array(parts)), lists], ["product_id", "first", "places"])
+                done, start = totals[stop - 1], stop
+
+    return meeting
+
+
+def _sent(boxes: DataFrame):
+    """The boxes as arrays, as :func:`_meeting` takes them, for every task."""
+    found = boxes.select("row", "box_west", "box_south", "box_north", "place").toArrow()
+    row, west, south, north, place = (found[c].to_numpy() for c in found.column_names)
+    order = np.lexsort((west, row))
+    places, place = np.unique(place, return_inverse=True)
+    return boxes.sparkSession.sparkContext.broadcast((row[order], west[order], south[order], north[order], place[order], places))
+
+
 def meeting_boxes(products: DataFrame, regions: DataFrame, delta: float = 0.5, cell: float = CELL) -> DataFrame:
     """Products and the regions whose box of ``delta`` degrees around ``lat, lon`` their footprint meets.
 
@@ -183,8 +286,9 @@ def meeting_boxes(products: DataFrame, regions: DataFrame, delta: float = 0.5, c
     their other columns. Boxes may cross the antimeridian. Products without a footprint and regions
     without a position meet nothing.
 
-    The polygons of a product travel in one row. Only pairs of a region id that stands for several
-    boxes, or of a product id of more than ``MOST_PARTS`` polygons, are grouped afterwards.
+    The polygons of a product travel in one row. Only pairs of a product id of more than ``MOST_PARTS``
+    polygons are grouped afterwards, and those of a region id that stands for several boxes if the boxes
+    are too many for one task.
     """
     others = [c for c in products.columns if c not in ("product_id", "footprint")]
     turn = max(1, round(360.0 / cell))
@@ -204,11 +308,25 @@ def meeting_boxes(products: DataFrame, regions: DataFrame, delta: float = 0.5, c
     boxes = regions.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(
         "region_id", (F.col("lat") - delta).alias("box_south"), (F.col("lat") + delta).alias("box_north"), (west + home).alias("box_west"),
     ).withColumns({"row": F.floor(F.col("box_south") / cell), "column": F.pmod(F.floor(F.col("box_west") / (360.0 / turn)), F.lit(turn))})
-    boxes = stage(boxes.withColumn("again", F.count(F.lit(1)).over(Window.partitionBy("region_id")) > 1), "boxes")
-    once, again = boxes.where("NOT again"), boxes.where("again")
-
-    found = _hits(shapes, once, delta, cell, turn)
-    several = ([_hits(shapes, again, delta, cell, turn)] if not again.isEmpty() else []) + ([_hits(heavy, boxes, delta, cell, turn)] if heavy is not None else [])
+    # all boxes of a region have one place
+    own_region = Window.partitionBy("region_id")
+    boxes = boxes.withColumn("number", F.monotonically_increasing_id()).withColumns({"again": F.count(F.lit(1)).over(own_region) > 1, "place": F.min("number").over(own_region)})
+    boxes = stage(boxes, "boxes")
+
+    if small_side(boxes) is not boxes:
+        sent, names = _sent(boxes), F.broadcast(boxes.where("number = place").select("place", "region_id"))
+        sorted_parts = shapes.select("product_id", F.array_sort("parts").alias("parts"))
+        schema = T.StructType([shapes.schema["product_id"], T.StructField("first", polygons.schema["part"].dataType["own"].dataType), T.StructField("places", T.ArrayType(T.LongType()))])
+
+        def hits(shapes: DataFrame) -> DataFrame:
+            met = shapes.mapInArrow(_meeting(sent, delta, cell), schema)
+            return met.select("product_id", "first", F.explode("places").alias("place")).join(names, "place").select("region_id", "product_id", "first")
+
+        found, several = hits(sorted_parts), [hits(heavy)] if heavy is not None else []
+    else:
+        once, again = boxes.where("NOT again"), boxes.where("again")
+        found = _hits(shapes, once, delta, cell, turn)
+        several = ([_hits(shapes, again, delta, cell, turn)] if not again.isEmpty() else []) + ([_hits(heavy, boxes, delta, cell, turn)] if heavy is not None else [])
     if several:
         pairs = several[0] if len(several) == 1 else several[0].unionByName(several[1])
         found = found.unionByName(pairs.groupBy("region_id", "product_id").agg(F.min("first").alias("first")))

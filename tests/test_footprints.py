@@ -167,6 +167,31 @@ def test_pairs_are_not_shuffled_and_repeated_ids_meet_once(spark, monkeypatch):
     assert not any("Exchange" in line for line in lines[:next(i for i, line in enumerate(lines) if "Join" in line)])
 
 
+def test_pairs_are_tested_as_arrays_if_boxes_fit_in_memory(spark, monkeypatch):
+    rng = random.Random(31)
+    ring = lambda x, y, r, k: [[x + r * math.cos(2 * math.pi * i / k), y + r * math.sin(2 * math.pi * i / k)] for i in range(k)]
+    wrap = lambda points: [[(a + 180) % 360 - 180, b] for a, b in points]
+    rows = []
+    for n in range(120):
+        x, y, r = rng.uniform(-180, 180), rng.uniform(-70, 70), rng.choice([0.4, 3.0, 12.0])
+        shape = [[wrap(ring(x, y, r, 7)), wrap(ring(x, y, r / 2, 5))], [wrap(ring(x + 20, y, r, 4))]]
+        rows.append((rng.choice([None, *range(90)]), rng.choice([None, "a", "b"]), shape))
+    boxes = [(rng.choice([None, *range(150)]), rng.uniform(-80, 80), rng.choice([rng.uniform(-180, 180), 179.9, -179.9])) for _ in range(200)]
+    products = spark.createDataFrame(rows, "product_id int, product_time string, footprint array<array<array<array<double>>>>")
+    regions = spark.createDataFrame(boxes, "region_id int, lat double, lon double")
+    found = []
+    for side in (footprints.small_side, lambda stored: stored):
+        monkeypatch.setattr(footprints, "small_side", side)
+        met = footprints.meeting_boxes(products, regions)
+        found.append(sorted(map(str, met.collect())))
+        plans = met._jdf.queryExecution().executedPlan().toString()
+        assert ("exists(" in plans) == (len(found) == 2)  # pairs are not tested one by one
+    assert found[0] == found[1] and len(found[0]) > 60
+    monkeypatch.undo()
+    empty = footprints.meeting_boxes(products, regions.where("lat > 100"))
+    assert empty.count() == 0 and empty.columns == ["region_id", "product_id", "product_time"]
+
+
 def test_catalogs_keep_the_products_of_a_box(spark, tmp_path):
     feature = lambda i, x: {"id": f"a{i}", "properties": {"datetime": f"2024-01-0{i}T00:00:00Z"}, "geometry": {"type": "Polygon", "coordinates": [[[x, 0], [x + 3, 0], [x + 3, 3], [x, 3], [x, 0]]]}}
     (tmp_path / "a").mkdir()
